@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _sql(value: object) -> str:
@@ -21,3 +22,15 @@ def literal_table(spark: SparkSession, columns: list[str], rows: list[tuple]) ->
     """Configuration rows as a local relation: its exact size lets the planner broadcast it by itself."""
     body = ", ".join("(" + ", ".join(_sql(v) for v in row) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
+
+
+def with_struct(df: DataFrame, name: str, parts: dict[str, Column]) -> DataFrame:
+    """Add a struct whose fields are columns of their own underneath.
+
+    Readers of single fields then refer to those columns. A struct of inline
+    expressions would be taken apart by the optimizer and every expression
+    repeated at each place that reads it.
+    """
+    temporary = {f"__{name}_{k}": c for k, c in parts.items()}
+    packed = F.struct(*[F.col(f"__{name}_{k}").alias(k) for k in parts])
+    return df.withColumns(temporary).withColumn(name, packed).drop(*temporary)

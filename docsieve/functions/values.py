@@ -95,9 +95,14 @@ def _norm_field(value: Column, spec: FieldSpec) -> Column:
     )
 
 
+def canonical_fields(raw: Column, definition: Definition) -> dict[str, Column]:
+    """Every field of a raw record (all strings) as its canonical type."""
+    return {n: _norm_field(raw[n], s) for n, s in definition.fields.items()}
+
+
 def normalize_record(raw: Column, definition: Definition) -> Column:
-    """A raw record struct (all strings) into a struct of canonical types."""
-    return F.struct(*[_norm_field(raw[n], s).alias(n) for n, s in definition.fields.items()])
+    """B5 as one struct."""
+    return F.struct(*[c.alias(n) for n, c in canonical_fields(raw, definition).items()])
 
 
 def _plain(value: Column, kind: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.functions.tables import with_struct
 from docsieve.functions.values import hash_draw
 
 # Fault classes, the field each one spoils, replacement names and legal forms.
@@ -85,7 +86,5 @@ def apply_corruption(df: DataFrame, key: Column, seed: int, record: str = "recor
             planned == "shifted_date", F.date_sub(rec["invoice_date"], (draw("days") % 18 + 3).cast("int"))
         ),
     }
-    parts = [
-        (F.coalesce(spoiled[n], rec[n]) if n in spoiled else rec[n]).alias(n) for n in kind.fieldNames()
-    ]
-    return df.withColumn(record, F.struct(*parts))
+    parts = {n: F.coalesce(spoiled[n], rec[n]) if n in spoiled else rec[n] for n in kind.fieldNames()}
+    return with_struct(df, record, parts)

@@ -8,8 +8,10 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsieve.definition import Definition
+from docsieve.functions.tables import with_struct
 from docsieve.functions.values import bind, squash
 from docsieve.operators import rules
 
@@ -40,22 +42,26 @@ ISO_DATE = "\\b\\d{4}-\\d{2}-\\d{2}\\b"
 TERM_PATTERNS = ("(?i)innerhalb\\s+von\\s+(\\d{1,3})\\s+Tagen", "(?i)\\bnet\\s*(\\d{1,3})\\b")
 
 
-def _aligned_share(needle: str, haystack: str) -> float:
-    blocks = SequenceMatcher(None, needle, haystack, autojunk=False).get_matching_blocks()
-    found = sum(block.size for block in blocks if block.size >= MIN_RUN)
-    return round(min(1.0, found / len(needle)), 4)
+def _fuzzy_scores():
+    """Alignment of the values that are not literally on the page; NULL rows pass through untouched.
 
+    Everything lives inside this function, so executors need no copy of the package.
+    """
+    shortest = MIN_RUN
 
-@F.pandas_udf("array<double>")
-def _fuzzy_scores(needles: pd.Series, haystack: pd.Series) -> pd.Series:
-    """Alignment of the values that are not literally on the page; NULL rows pass through untouched."""
+    def aligned(needle: str, haystack: str) -> float:
+        blocks = SequenceMatcher(None, needle, haystack, autojunk=False).get_matching_blocks()
+        found = sum(block.size for block in blocks if block.size >= shortest)
+        return round(min(1.0, found / len(needle)), 4)
 
-    def one(values, text):
-        if values is None or text is None:
-            return None
-        return [None if v is None else _aligned_share(v, text) for v in values]
+    def score(needles: pd.Series, haystacks: pd.Series) -> pd.Series:
+        rows = (
+            None if values is None or text is None else [None if v is None else aligned(v, text) for v in values]
+            for values, text in zip(needles, haystacks)
+        )
+        return pd.Series(list(rows), dtype="object")
 
-    return pd.Series([one(v, t) for v, t in zip(needles, haystack)])
+    return F.pandas_udf(score, T.ArrayType(T.DoubleType()))
 
 
 def grounded_scores(needles: Column, haystack: Column) -> Column:
@@ -68,13 +74,13 @@ def grounded_scores(needles: Column, haystack: Column) -> Column:
         needles, lambda n: F.when((n != "") & (haystack != "") & ~F.contains(haystack, n), n)
     )
     any_missed = F.exists(missed, lambda n: n.isNotNull())
-    fuzzy = _fuzzy_scores(F.when(any_missed, missed), F.when(any_missed, haystack))
+    fuzzy = _fuzzy_scores()(F.when(any_missed, missed), F.when(any_missed, haystack))
 
-    def score(n: Column, i: Column) -> Column:
+    def score(n: Column, aligned: Column) -> Column:
         empty = n.isNull() | (n == "") | haystack.isNull() | (haystack == "")
-        return F.when(empty, F.lit(0.0)).when(F.contains(haystack, n), F.lit(1.0)).otherwise(F.get(fuzzy, i))
+        return F.when(empty, F.lit(0.0)).otherwise(F.coalesce(aligned, F.lit(1.0)))
 
-    return F.transform(needles, score)
+    return F.zip_with(needles, F.coalesce(fuzzy, F.array().cast("array<double>")), score)
 
 
 def groundedness(value: Column, text: Column) -> Column:
@@ -182,13 +188,9 @@ def with_signals(
     so that the scorers read them instead of recomputing them per field.
     """
     rec = F.col(record)
-    out = df.withColumns(
-        {
-            "outcomes": rules.evaluate_rules(rec, definition),
-            "misses": rules.residuals(rec, definition),
-            "attempts": F.col(attempts) if attempts else F.lit(1),
-        }
-    )
+    out = df.withColumn("attempts", F.col(attempts) if attempts else F.lit(1))
+    out = with_struct(out, "outcomes", rules.rule_outcomes(rec, definition))
+    out = with_struct(out, "misses", rules.rule_misses(rec, definition))
     parts: dict[str, Column] = {"scale": money_scale(rec, definition)}
     for name in definition.text_fields:
         tokens, short = shape_flags(rec[name])
@@ -201,7 +203,7 @@ def with_signals(
     for table, bad in rules.inconsistent_rows(rec, definition).items():
         parts[f"{table}_bad_rows"] = bad
     if text is None:
-        return out.withColumn("evidence", F.struct(*[c.alias(n) for n, c in parts.items()]))
+        return with_struct(out, "evidence", parts)
 
     body = F.col(text)
     scalar_needles = F.array(*[squash(F.coalesce(rec[n], F.lit(""))) for n in definition.text_fields])
@@ -240,5 +242,5 @@ def with_signals(
     ]
     worst = F.least(*terms) if len(terms) > 1 else (terms[0] if terms else F.lit(None).cast("double"))
     parts["payment_term"] = worst
-    out = out.withColumn("evidence", F.struct(*[c.alias(n) for n, c in parts.items()]))
+    out = with_struct(out, "evidence", parts)
     return out.drop("_squashed", "_dates", "_term", "_needles", "_grounded")

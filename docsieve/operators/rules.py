@@ -93,9 +93,14 @@ def evaluate_rule(rule: Rule, record: Column, definition: Definition) -> Column:
     return strict(COMPILERS[rule.type](rule, record))
 
 
+def rule_outcomes(record: Column, definition: Definition) -> dict[str, Column]:
+    """Outcome per document-level rule; row rules are reported by `inconsistent_rows`."""
+    return {r.name: evaluate_rule(r, record, definition) for r in definition.document_rules}
+
+
 def evaluate_rules(record: Column, definition: Definition) -> Column:
-    """Struct of document-level rule outcomes; row rules are reported by `inconsistent_rows`."""
-    return F.struct(*[evaluate_rule(r, record, definition).alias(r.name) for r in definition.document_rules])
+    """C9 as one struct."""
+    return F.struct(*[c.alias(n) for n, c in rule_outcomes(record, definition).items()])
 
 
 def validation_passed(outcomes: Column, definition: Definition, record: Column | None = None) -> Column:
@@ -105,14 +110,18 @@ def validation_passed(outcomes: Column, definition: Definition, record: Column |
     return passed if record is None else F.when(record.isNull(), F.lit(False)).otherwise(passed)
 
 
-def residuals(record: Column, definition: Definition) -> Column:
+def rule_misses(record: Column, definition: Definition) -> dict[str, Column]:
     """Signed miss per document-level arithmetic rule, 0.0 when it cannot be evaluated."""
-    parts = [
-        F.coalesce(residual(r, record).cast("double"), F.lit(0.0)).alias(r.name)
+    return {
+        r.name: F.coalesce(residual(r, record).cast("double"), F.lit(0.0))
         for r in definition.document_rules
         if r.arithmetic
-    ]
-    return F.struct(*parts)
+    }
+
+
+def residuals(record: Column, definition: Definition) -> Column:
+    """C8 as one struct."""
+    return F.struct(*[c.alias(n) for n, c in rule_misses(record, definition).items()])
 
 
 def bad_rows(rule: Rule, record: Column) -> Column:

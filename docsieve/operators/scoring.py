@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.definition import ConfidenceModel, Definition, RoutingPolicy, load_settings
-from docsieve.functions.tables import literal_table
+from docsieve.functions.tables import literal_table, with_struct
 from docsieve.operators.evidence import DATE_CORROBORATED_AT, GROUNDED_AT
 
 # The prior penalties of the heuristic score.
@@ -165,16 +165,13 @@ def with_features(df: DataFrame, definition: Definition, with_text: bool = True)
 
 def route_extraction(df: DataFrame, definition: Definition, model: ConfidenceModel, with_text: bool = True) -> DataFrame:
     """A field below the threshold is flagged, a flagged document needs review."""
-    probabilities = [
-        probability(features_for(n, definition, with_text), model).alias(n) for n in definition.fields
-    ]
-    out = df.withColumn("field_confidence", F.struct(*probabilities))
+    probabilities = {n: probability(features_for(n, definition, with_text), model) for n in definition.fields}
+    out = with_struct(df, "field_confidence", probabilities)
     p = {n: F.col("field_confidence")[n] for n in definition.fields}
     flagged = F.array_compact(F.array(*[F.when(c < model.threshold, F.lit(n)) for n, c in p.items()]))
-    return out.withColumns(
+    return out.withColumn("flagged_fields", flagged).withColumns(
         {
-            "flagged_fields": flagged,
-            "decision": F.when(F.size(flagged) > 0, "needs_review").otherwise("approved"),
+            "decision": F.when(F.size("flagged_fields") > 0, "needs_review").otherwise("approved"),
             "doc_confidence": F.least(*p.values()),
             "calibration": F.lit(model.calibration_tag(definition.slug)),
         }

@@ -37,7 +37,7 @@ joined AS (
          coalesce(line_items, []) AS line_items,
          CASE WHEN currency = 'EUR' THEN 'euro' WHEN o_orderkey % 2 = 0 THEN 'classic' ELSE 'modern' END AS layout
   FROM orders JOIN cust ON o_custkey = c_custkey LEFT JOIN items ON o_orderkey = l_orderkey
-), clean AS (
+), clean AS MATERIALIZED (
   SELECT *, CAST(round(subtotal * tax_rate, 2) AS DECIMAL(18,4)) AS tax,
          CAST(subtotal + CAST(round(subtotal * tax_rate, 2) AS DECIMAL(18,4)) AS DECIMAL(18,4)) AS total
   FROM joined
@@ -66,7 +66,7 @@ planned AS (
   FROM clean
 ), placed AS (
   SELECT *, (i + 1 + {draw('second', 'doc_key')} % greatest(n - 1, 1)) % greatest(n, 1) AS j FROM planned
-), faulty AS (
+), faulty AS MATERIALIZED (
   SELECT doc_id, doc_key, tenant_id, layout, error_class, invoice_number, due_date, currency, subtotal, tax_rate, tax,
     vendor AS x_vendor, invoice_date AS x_invoice_date, total AS x_total, line_items AS x_line_items,
     CASE WHEN error_class = 'arithmetic_drift' THEN
@@ -122,10 +122,10 @@ PRINTED = f"""
 
 def faulty_text(classes: tuple[str, ...] = TRACEABLE) -> str:
     """`ft`: faulty records beside the page of their clean version."""
-    return f"{faulty(classes)}, ft AS (SELECT *, {PRINTED} AS text FROM faulty)"
+    return f"{faulty(classes)}, ft AS MATERIALIZED (SELECT *, {PRINTED} AS text FROM faulty)"
 
 
-PAGES = f"""{CLEAN}, pages_ AS (
+PAGES = f"""{CLEAN}, pages_ AS MATERIALIZED (
   SELECT *, {PRINTED} AS text FROM (SELECT *, vendor AS x_vendor, invoice_date AS x_invoice_date, total AS x_total,
                                            line_items AS x_line_items FROM clean))"""
 

@@ -1 +1,358 @@
+"""Queries over evidence, confidence and routing."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docsieve.definition import load_confidence_model, load_definition
+from docsieve.functions.values import squash
+from docsieve.operators import evidence, metering, rules, scoring
+from docsieve.plans import oracle_views as O
+from docsieve.plans import views
+from docsieve.plans.catalog import query
+from docsieve.plans.queries_records import SQL_BAD_ROWS, SQL_RULES, SQL_SQUASH
+
+INVOICE = load_definition("invoice")
+MODEL = load_confidence_model()
+FIELDS = list(INVOICE.fields)
+
+
+def signals(spark, sf, classes=views.TRACEABLE):
+    return evidence.with_signals(views.faulty_records(spark, sf, classes, text=True), INVOICE)
+
+
+@query()
+def groundedness(spark, sf):
+    """All fault classes: invented and truncated names take the fuzzy path. Checked against difflib in the tests."""
+    ev = F.col("evidence")
+    return signals(spark, sf, views.ERROR_CLASSES).select(
+        "doc_id", ev["vendor_grounded"].alias("vendor"), ev["invoice_number_grounded"].alias("invoice_number")
+    )
+
+
+@query(
+    f"""WITH {O.faulty_text(O.ALL_CLASSES)} SELECT doc_id, contains({SQL_SQUASH('text')}, {SQL_SQUASH('vendor')}) AS vendor_on_page
+        FROM ft"""
+)
+def groundedness_literal(spark, sf):
+    """D1's containment test, the part that decides most values without leaving the JVM."""
+    page = views.faulty_records(spark, sf, text=True)
+    return page.select("doc_id", F.contains(squash(F.col("text")), squash(F.col("record.vendor"))).alias("vendor_on_page"))
+
+
+@query(
+    f"""WITH {O.faulty_text()} SELECT doc_id,
+        coalesce(list_min(list_transform(line_items, lambda r: CASE WHEN contains({SQL_SQUASH('text')}, {SQL_SQUASH('r.description')}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)), 1.0::DOUBLE) AS weakest,
+        coalesce(list_avg(list_transform(line_items, lambda r: CASE WHEN contains({SQL_SQUASH('text')}, {SQL_SQUASH('r.description')}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)), 1.0::DOUBLE) AS mean
+        FROM ft"""
+)
+def table_groundedness(spark, sf):
+    ev = F.col("evidence")
+    return signals(spark, sf).select(
+        "doc_id", ev["line_items_grounded_min"].alias("weakest"), ev["line_items_grounded_mean"].alias("mean")
+    )
+
+
+def _with_mixed_currency(df):
+    swapped = F.when(F.col("doc_id") % 4 == 0, "GBP").when(F.col("doc_id") % 4 == 1, "XXX").otherwise(F.col("record.currency"))
+    return df.select("doc_id", "text", swapped.alias("currency"))
+
+
+@query(
+    f"""WITH {O.faulty_text()}, c AS (SELECT doc_id, {SQL_SQUASH('text')} AS sq,
+          CASE doc_id % 4 WHEN 0 THEN 'GBP' WHEN 1 THEN 'XXX' ELSE currency END AS currency FROM ft)
+        SELECT doc_id, CASE currency WHEN 'GBP' THEN CASE WHEN contains(sq, '£') OR contains(sq, 'gbp') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+          WHEN 'EUR' THEN CASE WHEN contains(sq, '€') OR contains(sq, 'eur') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+          WHEN 'USD' THEN CASE WHEN contains(sq, '$') OR contains(sq, 'usd') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS score FROM c"""
+)
+def enum_grounding(spark, sf):
+    df = _with_mixed_currency(views.faulty_records(spark, sf, views.TRACEABLE, text=True))
+    forms = INVOICE.fields["currency"].surface_forms
+    score = evidence.enum_grounding(F.col("currency"), F.col("sq"), forms)
+    return df.withColumn("sq", squash(F.col("text"))).select("doc_id", score.alias("score"))
+
+
+_NUMERIC = (
+    r"list_concat(regexp_extract_all(text, '\b\d{1,2}\s*\.\s*\d{1,2}\s*\.\s*\d{4}\b'), "
+    r"regexp_extract_all(text, '\b\d{1,2}\s*/\s*\d{1,2}\s*/\s*\d{4}\b'))"
+)
+_PARTS = r"string_split(replace(regexp_replace(x, '\s', '', 'g'), '/', '.'), '.')"
+_YMD = lambda m, d: f"try_cast({_PARTS}[3] || '-' || lpad({_PARTS}[{m}], 2, '0') || '-' || lpad({_PARTS}[{d}], 2, '0') AS DATE)"
+SQL_DATES = (
+    "list_distinct(list_filter(list_concat("
+    f"list_transform({_NUMERIC}, lambda x: {_YMD(1, 2)}), list_transform({_NUMERIC}, lambda x: {_YMD(2, 1)}), "
+    r"list_transform(regexp_extract_all(text, '\b[A-Z][a-z]{2} \d{1,2}, \d{4}\b'), lambda x: CAST(try_strptime(x, '%b %d, %Y') AS DATE)), "
+    r"list_transform(regexp_extract_all(text, '\b\d{4}-\d{2}-\d{2}\b'), lambda x: try_cast(x AS DATE))"
+    "), lambda x: x IS NOT NULL))"
+)
+SQL_TERM = r"CAST(nullif(regexp_extract(text, '(?i)innerhalb\s+von\s+(\d{1,3})\s+Tagen', 1), '') AS INT)"
+
+
+def SQL_DATE_SCORE(value: str) -> str:
+    return (
+        f"CASE WHEN len(dates) = 0 THEN 1.0::DOUBLE ELSE round_even(1.0::DOUBLE / (1 + list_min(list_transform(dates, "
+        f"lambda d: abs({value} - d)))), 4) END"
+    )
+
+
+@query(
+    f"""WITH {O.faulty_text()} SELECT doc_id, array_to_string(list_sort(list_transform({SQL_DATES}, lambda d: strftime(d, '%Y-%m-%d'))), ',') AS dates
+        FROM ft"""
+)
+def dates_in_text(spark, sf):
+    df = views.faulty_records(spark, sf, views.TRACEABLE, text=True)
+    dates = F.transform(evidence.dates_in_text(F.col("text")), lambda d: F.date_format(d, "yyyy-MM-dd"))
+    return df.select("doc_id", F.array_join(F.array_sort(dates), ",").alias("dates"))
+
+
+@query(
+    f"""WITH {O.faulty_text()}, d AS (SELECT *, {SQL_DATES} AS dates FROM ft)
+        SELECT doc_id, {SQL_DATE_SCORE('invoice_date')} AS invoice_date, {SQL_DATE_SCORE('due_date')} AS due_date FROM d"""
+)
+def corroborate_date(spark, sf):
+    ev = F.col("evidence")
+    return signals(spark, sf).select(
+        "doc_id", ev["invoice_date_corroborated"].alias("invoice_date"), ev["due_date_corroborated"].alias("due_date")
+    )
+
+
+@query(f"WITH {O.faulty_text()} SELECT doc_id, {SQL_TERM} AS term FROM ft")
+def stated_payment_term(spark, sf):
+    df = views.faulty_records(spark, sf, views.TRACEABLE, text=True)
+    return df.select("doc_id", evidence.stated_payment_term(F.col("text")).alias("term"))
+
+
+@query(
+    f"""WITH {O.faulty_text()} SELECT doc_id, round_even(1.0::DOUBLE / (1 + abs(due_date - invoice_date - {SQL_TERM})), 4) AS score FROM ft"""
+)
+def corroborate_payment_term(spark, sf):
+    return signals(spark, sf).select("doc_id", F.col("evidence.payment_term").alias("score"))
+
+
+_TOK = "list_filter(regexp_split_to_array(vendor, '\\s+'), lambda t: t <> '')"
+SQL_FRAGMENTED = (
+    f"CASE WHEN len({_TOK}) < 2 THEN false ELSE length(array_to_string({_TOK}, '')) / len({_TOK}) < 2.0 OR (len({_TOK}) >= 4 AND "
+    f"len(list_filter({_TOK}, lambda t: regexp_full_match(t, '[\\p{{L}}\\p{{N}}]'))) / len({_TOK}) >= 0.4) END"
+)
+
+
+@query(f"WITH {O.faulty()} SELECT doc_id, {SQL_FRAGMENTED} AS fragmented FROM faulty")
+def looks_fragmented(spark, sf):
+    return views.faulty_records(spark, sf).select(
+        "doc_id", evidence.looks_fragmented(F.col("record.vendor")).alias("fragmented")
+    )
+
+
+@query(
+    f"""WITH {O.faulty()} SELECT doc_id, len({_TOK}) AS tokens, length(trim(vendor)) < 2 AS short, total <= 0 AS nonpositive FROM faulty"""
+)
+def shape_flags(spark, sf):
+    tokens, short = evidence.shape_flags(F.col("record.vendor"))
+    return views.faulty_records(spark, sf).select(
+        "doc_id",
+        tokens.cast("bigint").alias("tokens"),
+        short.alias("short"),
+        evidence.nonpositive(F.col("record.total")).alias("nonpositive"),
+    )
+
+
+@query(
+    f"""WITH {O.faulty()} SELECT doc_id, greatest(abs(subtotal), abs(tax), abs(total))::DOUBLE AS scale, len(line_items) AS n FROM faulty"""
+)
+def scale_and_count(spark, sf):
+    return views.faulty_records(spark, sf).select(
+        "doc_id",
+        evidence.money_scale(F.col("record"), INVOICE).alias("scale"),
+        F.size("record.line_items").cast("bigint").alias("n"),
+    )
+
+
+# --- scoring: the SQL twins follow the traceable fault classes, where every value is on the page ---
+
+_R = {name: f"r{i}" for i, name in enumerate(SQL_RULES)}
+_MISS = {
+    "line_items_sum_to_subtotal": "CAST(coalesce(list_sum(list_transform(line_items, lambda r: r.amount)), 0) - subtotal AS DOUBLE)",
+    "subtotal_plus_tax_equals_total": "CAST(subtotal + tax - total AS DOUBLE)",
+    "tax_matches_rate": "CAST(subtotal * tax_rate - tax AS DOUBLE)",
+}
+SQL_SIGNALS = f"""{O.faulty_text()}, dated AS MATERIALIZED (SELECT *, {SQL_DATES} AS dates FROM ft), sig AS MATERIALIZED (
+  SELECT doc_id, tenant_id, layout, error_class, currency, {', '.join(f'{s} AS {_R[n]}' for n, s in SQL_RULES.items())},
+    {', '.join(f'{s} AS m_{_R[n]}' for n, s in _MISS.items())},
+    greatest(abs(subtotal), abs(tax), abs(total))::DOUBLE AS scale, {SQL_FRAGMENTED} AS fragmented, total <= 0 AS nonpositive,
+    {SQL_BAD_ROWS} AS bad, {SQL_DATE_SCORE('invoice_date')} AS d_invoice_date, {SQL_DATE_SCORE('due_date')} AS d_due_date,
+    round_even(1.0::DOUBLE / (1 + abs(due_date - invoice_date - {SQL_TERM})), 4) AS term
+  FROM dated)"""
+
+
+def _sql_penalties() -> tuple[list[tuple[str, float, str]], dict[str, list[tuple[str, float]]]]:
+    doc, fields = [], {n: [] for n in FIELDS}
+    for rule in INVOICE.document_rules:
+        w = 0.15 if rule.type in ("date_order", "required") else 0.30
+        doc.append((f"NOT {_R[rule.name]}", w, f"'failed:{rule.name}'"))
+        for f in rule.fields:
+            fields[f].append((f"NOT {_R[rule.name]}", w))
+    doc.append(("fragmented", 0.10, "'vendor_looks_fragmented'"))
+    fields["vendor"].append(("fragmented", 0.20))
+    doc.append(("nonpositive", 0.25, "'nonpositive_total'"))
+    fields["total"].append(("nonpositive", 0.20))
+    fields["line_items"].append(("len(bad) > 0", 0.20))
+    for f in ("invoice_date", "due_date"):
+        doc.append((f"d_{f} < 0.9", 0.35, f"'uncorroborated_date:{f}'"))
+        fields[f].append((f"d_{f} < 0.9", 0.35))
+    doc.append(("coalesce(term < 0.9, false)", 0.35, "'payment_term_mismatch'"))
+    for f in ("due_date", "invoice_date"):
+        fields[f].append(("coalesce(term < 0.9, false)", 0.175))
+    return doc, fields
+
+
+_DOC, _FIELD = _sql_penalties()
+_SUM = lambda es: " + ".join(["0.0::DOUBLE"] + [f"CASE WHEN {e[0]} THEN {e[1]}::DOUBLE ELSE 0.0::DOUBLE END" for e in es])
+_SCORE = lambda es: f"round_even(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - ({_SUM(es)}))), 4)"
+_REASONS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN {r} END" for c, _, r in _DOC) + "], lambda r: r IS NOT NULL), ',')"
+
+
+@query(
+    f"WITH {SQL_SIGNALS} SELECT doc_id, {_SCORE(_DOC)} AS doc_score, {_REASONS} AS reasons, "
+    + ", ".join(f"{_SCORE(_FIELD[f])} AS {f}" for f in FIELDS)
+    + " FROM sig"
+)
+def score_extraction(spark, sf):
+    scored = scoring.score_extraction(signals(spark, sf), INVOICE)
+    per_field = [F.get("field_scores", F.lit(i))["confidence"].alias(f) for i, f in enumerate(FIELDS)]
+    return scored.select("doc_id", "doc_score", F.array_join("doc_reasons", ",").alias("reasons"), *per_field)
+
+
+def _sql_features(field: str) -> list[str]:
+    touching = [r for r in INVOICE.document_rules if field in r.fields]
+    failed = " + ".join(["0.0::DOUBLE"] + [f"CASE WHEN {_R[r.name]} THEN 0 ELSE 1 END" for r in touching])
+    misses = [f"CASE WHEN {_R[r.name]} THEN 0.0::DOUBLE ELSE abs(m_{_R[r.name]}) END" for r in touching if r.name in _MISS]
+    worst = f"greatest(0.0::DOUBLE, {', '.join(misses)})" if misses else "0.0::DOUBLE"
+    flag = {"vendor": "fragmented", "total": "nonpositive"}.get(field)
+    date = f"least(d_{field}, coalesce(term, 1.0::DOUBLE))" if field in ("invoice_date", "due_date") else "1.0::DOUBLE"
+    return [
+        f"({failed})",
+        f"ln(1 + {worst} / greatest(scale, 1.0::DOUBLE))",
+        "1.0::DOUBLE",
+        f"CASE WHEN {flag} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" if flag else "0.0::DOUBLE",
+        "CASE WHEN len(bad) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" if field == "line_items" else "0.0::DOUBLE",
+        "0.0::DOUBLE",
+        date,
+    ]
+
+
+def _sql_probability(field: str) -> str:
+    z = f"{MODEL.bias!r}::DOUBLE"
+    for x, m, s, w in zip(_sql_features(field), MODEL.mean, MODEL.std, MODEL.weights):
+        z += f" + {w!r}::DOUBLE * (({x} - {m!r}::DOUBLE) / {s!r}::DOUBLE)"
+    return f"round_even(1.0::DOUBLE / (1.0::DOUBLE + exp(-({z}))), 6)"
+
+
+@query(
+    f"WITH {SQL_SIGNALS} "
+    + " UNION ALL ".join(
+        f"SELECT doc_id, '{f}' AS field, {x[0]} AS rules_failed, round({x[1]}, 9) AS residual, {x[2]} AS grounded, {x[3]} AS suspect, "
+        f"{x[4]} AS broken, {x[5]} AS retried, {x[6]} AS date_score FROM sig"
+        for f, x in ((f, _sql_features(f)) for f in FIELDS)
+    )
+)
+def features_for(spark, sf):
+    names = ("rules_failed", "residual", "grounded", "suspect", "broken", "retried", "date_score")
+    long = scoring.with_features(signals(spark, sf), INVOICE).select("doc_id", F.inline("features"))
+    x = {n: F.get("x", F.lit(i)) for i, n in enumerate(names)}
+    x["residual"] = F.round(x["residual"], 9)
+    return long.select("doc_id", "field", *[c.alias(n) for n, c in x.items()])
+
+
+SQL_ROUTED = f"""{SQL_SIGNALS}, prob AS MATERIALIZED (SELECT *, {', '.join(f'{_sql_probability(f)} AS p_{f}' for f in FIELDS)} FROM sig),
+  routed AS MATERIALIZED (SELECT *, least({', '.join(f'p_{f}' for f in FIELDS)}) AS doc_confidence,
+    list_filter([{', '.join(f"CASE WHEN p_{f} < {MODEL.threshold} THEN '{f}' END" for f in FIELDS)}], lambda f: f IS NOT NULL) AS flagged,
+    {' AND '.join(f'coalesce({r}, false)' for r in _R.values())} AS passed FROM prob)"""
+
+
+def routed(spark, sf, classes=views.TRACEABLE):
+    return scoring.route_extraction(signals(spark, sf, classes), INVOICE, MODEL)
+
+
+@query(f"WITH {SQL_ROUTED} SELECT doc_id, {', '.join(f'p_{f} AS {f}' for f in FIELDS)} FROM routed")
+def probability(spark, sf):
+    return routed(spark, sf).select("doc_id", "field_confidence.*")
+
+
+@query(
+    f"""WITH {SQL_ROUTED} SELECT doc_id, CASE WHEN len(flagged) > 0 THEN 'needs_review' ELSE 'approved' END AS decision, doc_confidence,
+        array_to_string(flagged, ',') AS flagged, 'invoice' AS calibration FROM routed"""
+)
+def route_extraction(spark, sf):
+    return routed(spark, sf).select(
+        "doc_id", "decision", "doc_confidence", F.array_join("flagged_fields", ",").alias("flagged"), "calibration"
+    )
+
+
+@query("SELECT doc_type, CASE WHEN doc_type = 'invoice' THEN 'invoice' ELSE 'borrowed:invoice' END AS calibration, n FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'invoice' ELSE 'purchase_order' END AS doc_type, count(*) AS n FROM events WHERE event_id % 3 < 2 GROUP BY 1)")
+def calibration_tag(spark, sf):
+    """E5 per document type in use."""
+    used = views.usage(spark, sf).where(F.col("slug").isNotNull()).groupBy(F.col("slug").alias("doc_type")).agg(F.count("*").alias("n"))
+    tags = F.when(F.col("doc_type") == "invoice", MODEL.calibration_tag("invoice")).otherwise(MODEL.calibration_tag("purchase_order"))
+    return used.select("doc_type", tags.alias("calibration"), "n")
+
+
+@query(
+    f"""WITH {SQL_ROUTED}, cells AS (SELECT doc_id, unnest(list_concat(
+          [{', '.join("'" + f + "'" for f in FIELDS if f != 'line_items')}, 'line_items.count', 'unheard_of'],
+          flatten(list_transform(range(n), lambda i: ['line_items.' || i || '.description', 'line_items.' || i || '.quantity',
+            'line_items.' || i || '.unit_price', 'line_items.' || i || '.amount'])))) AS name FROM (SELECT doc_id, len(line_items) AS n FROM ft)),
+        scores AS ({' UNION ALL '.join(f"SELECT doc_id, '{f}' AS field, p_{f} AS confidence FROM routed" for f in FIELDS)})
+        SELECT cells.doc_id, name, confidence FROM cells LEFT JOIN scores ON cells.doc_id = scores.doc_id AND split_part(name, '.', 1) = field"""
+)
+def cell_confidence(spark, sf):
+    from docsieve.functions.values import flatten_fields
+
+    scored = routed(spark, sf)
+    stray = F.array(F.struct(F.lit("unheard_of").alias("name"), F.lit("").alias("value")))
+    cells = scored.select("doc_id", F.inline(F.concat(flatten_fields(F.col("record"), INVOICE), stray)))
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col("field_confidence")[f].alias("confidence")) for f in FIELDS])
+    scores = scored.select("doc_id", F.inline(pairs))
+    return scoring.cell_confidence(cells, scores, "doc_id").select("doc_id", "name", "confidence")
+
+
+@query(
+    f"""WITH {SQL_SIGNALS} SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 0.0::DOUBLE ELSE {_SCORE(_DOC)} END AS doc_score,
+        CASE WHEN doc_id % 9 = 0 THEN 'extraction_failed' ELSE {_REASONS} END AS reasons FROM sig"""
+)
+def failed_report(spark, sf):
+    scored = scoring.score_extraction(signals(spark, sf), INVOICE)
+    partly = scored.withColumn("record", F.when(F.col("doc_id") % 9 != 0, F.col("record")))
+    return scoring.failed_report(partly).select("doc_id", "doc_score", F.array_join("doc_reasons", ",").alias("reasons"))
+
+
+@query(
+    f"""WITH {SQL_ROUTED} SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'extraction_failed' WHEN NOT passed THEN 'validation_failed'
+        WHEN len(flagged) > 0 THEN 'needs_review' END AS reason FROM routed"""
+)
+def escalation_trigger(spark, sf):
+    df = routed(spark, sf)
+    passed = rules.validation_passed(F.col("outcomes"), INVOICE)
+    reason = scoring.escalation_trigger(INVOICE.policy, F.col("doc_id") % 9 == 0, passed, F.col("decision"))
+    return df.select("doc_id", reason.alias("reason"))
+
+
+@query(
+    f"""WITH {O.USAGE} SELECT model, tier, count(*) AS n FROM (SELECT tier,
+        CASE WHEN event_id % 2 = 0 THEN CASE tier WHEN 'small' THEN 'mock-extractor-small-v1' ELSE 'mock-extractor-v1' END
+             ELSE CASE tier WHEN 'small' THEN 'claude-haiku-4-5' ELSE 'claude-opus-5' END END AS model FROM usage) GROUP BY 1, 2"""
+)
+def model_for_tier(spark, sf):
+    provider = F.when(F.col("event_id") % 2 == 0, "mock").otherwise("anthropic")
+    calls = metering.with_price(views.usage(spark, sf)).withColumn("provider", provider)
+    named = calls.select(F.col("model_tier").alias("tier"), scoring.model_for_tier(F.col("provider"), F.col("model_tier")).alias("model"))
+    return named.groupBy("model", "tier").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {SQL_ROUTED}, f AS ({' UNION ALL '.join(f"SELECT doc_id, {i} AS pos, '{f}' AS field, p_{f} AS p FROM routed" for i, f in enumerate(FIELDS))})
+        SELECT doc_id, string_agg(field, ',' ORDER BY p, pos) AS weakest FROM
+        (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p, pos) AS rn FROM f) WHERE rn <= 3 GROUP BY 1"""
+)
+def weakest_fields(spark, sf):
+    picked = scoring.weakest_fields(F.col("field_confidence"), INVOICE)
+    return routed(spark, sf).select("doc_id", F.array_join(picked, ",").alias("weakest"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docsieve.definition import latest_definition as newest_versions
 from docsieve.definition import load_definition, rule_field_attribution as attribution
 from docsieve.functions import values as V
+from docsieve.functions.tables import with_struct
 from docsieve.operators import metering, rules, validation
 from docsieve.plans import oracle_views as O
 from docsieve.plans import views
@@ -355,7 +356,7 @@ _ALL_RULES = " AND ".join(f"({s})" for s in SQL_RULES.values())
     f"WITH {O.faulty()} SELECT doc_id, {', '.join(f'{s} AS {n}' for n, s in SQL_RULES.items())}, {_ALL_RULES} AS passed FROM faulty"
 )
 def evaluate_rules(spark, sf):
-    df = views.faulty_records(spark, sf).withColumn("outcomes", rules.evaluate_rules(F.col("record"), INVOICE))
+    df = with_struct(views.faulty_records(spark, sf), "outcomes", rules.rule_outcomes(F.col("record"), INVOICE))
     return df.select("doc_id", "outcomes.*", rules.validation_passed(F.col("outcomes"), INVOICE, F.col("record")).alias("passed"))
 
 

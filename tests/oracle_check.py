@@ -34,7 +34,9 @@ def _key(value):
 
 def compare(df, con, sql: str) -> tuple[bool, str]:
     cols = sorted(df.columns)
+    start = time.time()
     got = [tuple(r[c] for c in cols) for r in df.collect()]
+    spark_s, start = time.time() - start, time.time()
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     if sorted(names) != cols:
@@ -48,7 +50,7 @@ def compare(df, con, sql: str) -> tuple[bool, str]:
     bad = [(a, b) for a, b in zip(g, w) if a != b]
     if bad:
         return False, f"{len(bad)} of {len(g)} rows differ, e.g.\n   cols   {cols}\n   spark  {bad[0][0]}\n   oracle {bad[0][1]}"
-    return True, f"{len(g)} rows"
+    return True, f"{len(g)} rows, spark {spark_s:.1f}s, sql {time.time() - start:.1f}s"
 
 
 def main(argv: list[str]) -> int:
@@ -72,7 +74,7 @@ def main(argv: list[str]) -> int:
             else:
                 ok, note = True, f"{run(spark, sf).count()} rows, no oracle"
         except Exception as exc:  # noqa: BLE001 - the report is the point
-            ok, note = False, f"{type(exc).__name__}: {str(exc)[:1500]}"
+            ok, note = False, f"{type(exc).__name__}: {" | ".join(str(exc).split(chr(10))[-4:] if "PythonException" in type(exc).__name__ else [str(exc)])[:700]}"
         failed += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name:32s} {time.time() - start:6.2f}s  {note}", flush=True)
     print(f"{failed} failed")
