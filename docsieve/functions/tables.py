@@ -34,3 +34,18 @@ def with_struct(df: DataFrame, name: str, parts: dict[str, Column]) -> DataFrame
     temporary = {f"__{name}_{k}": c for k, c in parts.items()}
     packed = F.struct(*[F.col(f"__{name}_{k}").alias(k) for k in parts])
     return df.withColumns(temporary).withColumn(name, packed).drop(*temporary)
+
+
+def with_prefixed(df: DataFrame, prefix: str, parts: dict[str, Column]) -> DataFrame:
+    """Add flat columns `{prefix}_{name}`; wide flat plans stay cheap to optimize where nested ones do not."""
+    return df.withColumns({f"{prefix}_{k}": c for k, c in parts.items()})
+
+
+class Prefixed:
+    """Read access to the columns of `with_prefixed`: `Prefixed("ev")["scale"]`."""
+
+    def __init__(self, prefix: str):
+        self.prefix = prefix
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"{self.prefix}_{name}")

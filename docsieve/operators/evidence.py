@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsieve.definition import Definition
-from docsieve.functions.tables import with_struct
+from docsieve.functions.tables import with_prefixed
 from docsieve.functions.values import bind, squash
 from docsieve.operators import rules
 
@@ -88,9 +88,13 @@ def groundedness(value: Column, text: Column) -> Column:
     return F.get(grounded_scores(F.array(squash(value)), squash(text)), F.lit(0))
 
 
+def _squashed(form: str) -> str:
+    return "".join(form.split()).casefold()
+
+
 def enum_grounding(value: Column, squashed_text: Column, forms: dict[str, tuple[str, ...]]) -> Column:
     """D3: does any printed form of the value occur; NULL when the value is outside the declared set."""
-    pairs = [part for k, v in forms.items() for part in (F.lit(k), F.array(*[squash(F.lit(f)) for f in v]))]
+    pairs = [part for k, v in forms.items() for part in (F.lit(k), F.array(*[F.lit(_squashed(f)) for f in v]))]
     printed = F.try_element_at(F.create_map(*pairs), value)
     hit = F.exists(printed, lambda form: F.contains(squashed_text, form))
     return F.when(printed.isNotNull(), F.when(hit, F.lit(1.0)).otherwise(F.lit(0.0)))
@@ -182,15 +186,15 @@ def table_needles(record: Column, definition: Definition, table: str) -> Column:
 def with_signals(
     df: DataFrame, definition: Definition, record: str = "record", text: str | None = "text", attempts: str | None = None
 ) -> DataFrame:
-    """Add `outcomes`, `misses` and `evidence` structs: every raw input to scoring.
+    """Add `rule_*`, `residual_*` and `ev_*` columns: every raw input to scoring.
 
     Squashed text, printed dates and needles become columns of their own first,
     so that the scorers read them instead of recomputing them per field.
     """
     rec = F.col(record)
     out = df.withColumn("attempts", F.col(attempts) if attempts else F.lit(1))
-    out = with_struct(out, "outcomes", rules.rule_outcomes(rec, definition))
-    out = with_struct(out, "misses", rules.rule_misses(rec, definition))
+    out = with_prefixed(out, "rule", rules.rule_outcomes(rec, definition))
+    out = with_prefixed(out, "residual", rules.rule_misses(rec, definition))
     parts: dict[str, Column] = {"scale": money_scale(rec, definition)}
     for name in definition.text_fields:
         tokens, short = shape_flags(rec[name])
@@ -203,7 +207,7 @@ def with_signals(
     for table, bad in rules.inconsistent_rows(rec, definition).items():
         parts[f"{table}_bad_rows"] = bad
     if text is None:
-        return with_struct(out, "evidence", parts)
+        return with_prefixed(out, "ev", parts)
 
     body = F.col(text)
     scalar_needles = F.array(*[squash(F.coalesce(rec[n], F.lit(""))) for n in definition.text_fields])
@@ -242,5 +246,5 @@ def with_signals(
     ]
     worst = F.least(*terms) if len(terms) > 1 else (terms[0] if terms else F.lit(None).cast("double"))
     parts["payment_term"] = worst
-    out = with_struct(out, "evidence", parts)
+    out = with_prefixed(out, "ev", parts)
     return out.drop("_squashed", "_dates", "_term", "_needles", "_grounded")

@@ -103,7 +103,8 @@ def evaluate_rules(record: Column, definition: Definition) -> Column:
     return F.struct(*[c.alias(n) for n, c in rule_outcomes(record, definition).items()])
 
 
-def validation_passed(outcomes: Column, definition: Definition, record: Column | None = None) -> Column:
+def validation_passed(outcomes, definition: Definition, record: Column | None = None) -> Column:
+    """All document rules passed; `outcomes` is anything indexed by rule name. No record means not passed."""
     passed = F.lit(True)
     for rule in definition.document_rules:
         passed = passed & outcomes[rule.name]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.definition import ConfidenceModel, Definition, RoutingPolicy, load_settings
-from docsieve.functions.tables import literal_table, with_struct
+from docsieve.functions.tables import Prefixed, literal_table, with_prefixed
 from docsieve.operators.evidence import DATE_CORROBORATED_AT, GROUNDED_AT
 
 # The prior penalties of the heuristic score.
@@ -22,6 +22,9 @@ UNGROUNDED = 0.35
 UNCORROBORATED = 0.35
 
 
+RULE, RESIDUAL, EV, P = Prefixed("rule"), Prefixed("residual"), Prefixed("ev"), Prefixed("p")
+
+
 def _total(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(0.0))
 
@@ -58,11 +61,11 @@ class _Ledger:
 
 def score_extraction(df: DataFrame, definition: Definition, with_text: bool = True) -> DataFrame:
     """Penalties with reasons; `doc_score`, `doc_reasons` and `field_scores` (name, confidence, reasons)."""
-    ev, book = F.col("evidence"), _Ledger(definition)
+    ev, book = EV, _Ledger(definition)
     for rule in definition.document_rules:
         weight = FAILED_SOFT_RULE if rule.soft else FAILED_RULE
         reason = f"failed:{rule.name}"
-        book.charge(~F.col("outcomes")[rule.name], weight, reason, {f: (weight, reason) for f in rule.fields})
+        book.charge(~RULE[rule.name], weight, reason, {f: (weight, reason) for f in rule.fields})
     book.charge(F.col("attempts") > 1, RETRY, "needed_schema_retry", {})
     for n in definition.text_fields:
         book.charge(ev[f"{n}_fragmented"], FRAGMENTED_DOC, f"{n}_looks_fragmented", {n: (SUSPECT_FIELD, "looks_fragmented")})
@@ -119,7 +122,7 @@ def field_confidence(field_scores: Column, name: Column) -> Column:
 
 def features_for(field: str, definition: Definition, with_text: bool = True) -> list[Column]:
     """The seven features of one field, in fitted order."""
-    ev, outcomes, misses = F.col("evidence"), F.col("outcomes"), F.col("misses")
+    ev, outcomes, misses = EV, RULE, RESIDUAL
     touching = [r for r in definition.document_rules if field in r.fields]
     failed = _total([(~outcomes[r.name]).cast("double") for r in touching])
     sizes = [F.when(~outcomes[r.name], F.abs(misses[r.name])).otherwise(F.lit(0.0)) for r in touching if r.arithmetic]
@@ -166,8 +169,8 @@ def with_features(df: DataFrame, definition: Definition, with_text: bool = True)
 def route_extraction(df: DataFrame, definition: Definition, model: ConfidenceModel, with_text: bool = True) -> DataFrame:
     """A field below the threshold is flagged, a flagged document needs review."""
     probabilities = {n: probability(features_for(n, definition, with_text), model) for n in definition.fields}
-    out = with_struct(df, "field_confidence", probabilities)
-    p = {n: F.col("field_confidence")[n] for n in definition.fields}
+    out = with_prefixed(df, "p", probabilities)
+    p = {n: P[n] for n in definition.fields}
     flagged = F.array_compact(F.array(*[F.when(c < model.threshold, F.lit(n)) for n, c in p.items()]))
     return out.withColumn("flagged_fields", flagged).withColumns(
         {
@@ -236,11 +239,16 @@ def model_for_tier(provider: Column, tier: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.concat_ws("/", provider, tier))
 
 
-def weakest_fields(field_confidence: Column, definition: Definition, n: int = 3) -> Column:
+def field_confidences(definition: Definition) -> Column:
+    """The routed probabilities as an array of (field, confidence), for storage and long form."""
+    return F.array(*[F.struct(F.lit(n).alias("field"), P[n].alias("confidence")) for n in definition.fields])
+
+
+def weakest_fields(definition: Definition, n: int = 3) -> Column:
     """The n least certain fields, weakest first, declared order among equals."""
     pairs = F.array(
         *[
-            F.struct(field_confidence[f].alias("p"), F.lit(i).alias("at"), F.lit(f).alias("field"))
+            F.struct(P[f].alias("p"), F.lit(i).alias("at"), F.lit(f).alias("field"))
             for i, f in enumerate(definition.fields)
         ]
     )

@@ -24,7 +24,7 @@ def signals(spark, sf, classes=views.TRACEABLE):
 @query()
 def groundedness(spark, sf):
     """All fault classes: invented and truncated names take the fuzzy path. Checked against difflib in the tests."""
-    ev = F.col("evidence")
+    ev = scoring.EV
     return signals(spark, sf, views.ERROR_CLASSES).select(
         "doc_id", ev["vendor_grounded"].alias("vendor"), ev["invoice_number_grounded"].alias("invoice_number")
     )
@@ -47,7 +47,7 @@ def groundedness_literal(spark, sf):
         FROM ft"""
 )
 def table_groundedness(spark, sf):
-    ev = F.col("evidence")
+    ev = scoring.EV
     return signals(spark, sf).select(
         "doc_id", ev["line_items_grounded_min"].alias("weakest"), ev["line_items_grounded_mean"].alias("mean")
     )
@@ -110,7 +110,7 @@ def dates_in_text(spark, sf):
         SELECT doc_id, {SQL_DATE_SCORE('invoice_date')} AS invoice_date, {SQL_DATE_SCORE('due_date')} AS due_date FROM d"""
 )
 def corroborate_date(spark, sf):
-    ev = F.col("evidence")
+    ev = scoring.EV
     return signals(spark, sf).select(
         "doc_id", ev["invoice_date_corroborated"].alias("invoice_date"), ev["due_date_corroborated"].alias("due_date")
     )
@@ -126,7 +126,7 @@ def stated_payment_term(spark, sf):
     f"""WITH {O.faulty_text()} SELECT doc_id, round_even(1.0::DOUBLE / (1 + abs(due_date - invoice_date - {SQL_TERM})), 4) AS score FROM ft"""
 )
 def corroborate_payment_term(spark, sf):
-    return signals(spark, sf).select("doc_id", F.col("evidence.payment_term").alias("score"))
+    return signals(spark, sf).select("doc_id", F.col("ev_payment_term").alias("score"))
 
 
 _TOK = "list_filter(regexp_split_to_array(vendor, '\\s+'), lambda t: t <> '')"
@@ -257,7 +257,7 @@ def _sql_probability(field: str) -> str:
 )
 def features_for(spark, sf):
     names = ("rules_failed", "residual", "grounded", "suspect", "broken", "retried", "date_score")
-    long = scoring.with_features(signals(spark, sf), INVOICE).select("doc_id", F.inline("features"))
+    long = scoring.with_features(signals(spark, sf), INVOICE).select("doc_id", F.inline_outer("features"))
     x = {n: F.get("x", F.lit(i)) for i, n in enumerate(names)}
     x["residual"] = F.round(x["residual"], 9)
     return long.select("doc_id", "field", *[c.alias(n) for n, c in x.items()])
@@ -275,7 +275,7 @@ def routed(spark, sf, classes=views.TRACEABLE):
 
 @query(f"WITH {SQL_ROUTED} SELECT doc_id, {', '.join(f'p_{f} AS {f}' for f in FIELDS)} FROM routed")
 def probability(spark, sf):
-    return routed(spark, sf).select("doc_id", "field_confidence.*")
+    return routed(spark, sf).select("doc_id", *[scoring.P[f].alias(f) for f in FIELDS])
 
 
 @query(
@@ -309,9 +309,8 @@ def cell_confidence(spark, sf):
 
     scored = routed(spark, sf)
     stray = F.array(F.struct(F.lit("unheard_of").alias("name"), F.lit("").alias("value")))
-    cells = scored.select("doc_id", F.inline(F.concat(flatten_fields(F.col("record"), INVOICE), stray)))
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col("field_confidence")[f].alias("confidence")) for f in FIELDS])
-    scores = scored.select("doc_id", F.inline(pairs))
+    cells = scored.select("doc_id", F.inline_outer(F.concat(flatten_fields(F.col("record"), INVOICE), stray)))
+    scores = scored.select("doc_id", F.inline_outer(scoring.field_confidences(INVOICE)))
     return scoring.cell_confidence(cells, scores, "doc_id").select("doc_id", "name", "confidence")
 
 
@@ -331,7 +330,7 @@ def failed_report(spark, sf):
 )
 def escalation_trigger(spark, sf):
     df = routed(spark, sf)
-    passed = rules.validation_passed(F.col("outcomes"), INVOICE)
+    passed = rules.validation_passed(scoring.RULE, INVOICE)
     reason = scoring.escalation_trigger(INVOICE.policy, F.col("doc_id") % 9 == 0, passed, F.col("decision"))
     return df.select("doc_id", reason.alias("reason"))
 
@@ -354,5 +353,5 @@ def model_for_tier(spark, sf):
         (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p, pos) AS rn FROM f) WHERE rn <= 3 GROUP BY 1"""
 )
 def weakest_fields(spark, sf):
-    picked = scoring.weakest_fields(F.col("field_confidence"), INVOICE)
+    picked = scoring.weakest_fields(INVOICE)
     return routed(spark, sf).select("doc_id", F.array_join(picked, ",").alias("weakest"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docsieve.definition import latest_definition as newest_versions
 from docsieve.definition import load_definition, rule_field_attribution as attribution
 from docsieve.functions import values as V
-from docsieve.functions.tables import with_struct
+from docsieve.functions.tables import Prefixed, with_prefixed
 from docsieve.operators import metering, rules, validation
 from docsieve.plans import oracle_views as O
 from docsieve.plans import views
@@ -174,7 +174,7 @@ def json_record(spark, sf):
         SELECT doc_id, c.name AS name, c.value AS value FROM cells"""
 )
 def flatten_fields(spark, sf):
-    cells = F.inline(V.flatten_fields(F.col("record"), INVOICE))
+    cells = F.inline_outer(V.flatten_fields(F.col("record"), INVOICE))
     return views.clean_records(spark, sf).select("doc_id", cells)
 
 
@@ -356,8 +356,10 @@ _ALL_RULES = " AND ".join(f"({s})" for s in SQL_RULES.values())
     f"WITH {O.faulty()} SELECT doc_id, {', '.join(f'{s} AS {n}' for n, s in SQL_RULES.items())}, {_ALL_RULES} AS passed FROM faulty"
 )
 def evaluate_rules(spark, sf):
-    df = with_struct(views.faulty_records(spark, sf), "outcomes", rules.rule_outcomes(F.col("record"), INVOICE))
-    return df.select("doc_id", "outcomes.*", rules.validation_passed(F.col("outcomes"), INVOICE, F.col("record")).alias("passed"))
+    df = with_prefixed(views.faulty_records(spark, sf), "rule", rules.rule_outcomes(F.col("record"), INVOICE))
+    outcome = Prefixed("rule")
+    passed = rules.validation_passed(outcome, INVOICE, F.col("record"))
+    return df.select("doc_id", *[outcome[r.name].alias(r.name) for r in INVOICE.document_rules], passed.alias("passed"))
 
 
 @query(
