@@ -48,7 +48,7 @@ def queue_depth(tasks: DataFrame, now: Column) -> DataFrame:
     return tasks.agg(
         F.count_if(is_open).alias("open"),
         F.count_if(is_open & (F.col("sla_due_at") < now)).alias("breached"),
-        F.coalesce(F.floor(F.unix_micros(now) / 1e6 - F.unix_micros(oldest) / 1e6).cast("bigint"), F.lit(0)).alias("oldest_seconds"),
+        F.coalesce(F.timestamp_diff("SECOND", oldest, now), F.lit(0)).alias("oldest_seconds"),
     )
 
 

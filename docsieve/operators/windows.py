@@ -76,6 +76,38 @@ def running(
     return whole.withColumns(out).drop("_chunk", *drop)
 
 
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, value: str, parts: int | None = None) -> DataFrame:
+    """Add the value of the row before, for a value that grows with the order (a timestamp, a sequence number)."""
+    chunks = chunked(df, keys, order, parts)
+    whole = _attach(chunks, _carry(chunks, keys, {name: ("max", F.max(value))}), keys)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    return whole.withColumn(name, F.coalesce(F.lag(value).over(inside), F.col(f"_carry_{name}"))).drop("_chunk", f"_carry_{name}")
+
+
+def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, name: str, parts: int | None = None) -> DataFrame:
+    """Add the length of the unbroken run of true `flag`s that ends at each row (0 where the flag is false).
+
+    A run that enters a chunk from the left is handed over by the trailing runs
+    of the earlier chunks, one row per (key, chunk).
+    """
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = (
+        chunked(df, keys, order, parts)
+        .withColumn("_rn", F.row_number().over(inside))
+        .withColumn("_reset", F.max(F.when(~F.col(flag), F.col("_rn"))).over(upto))
+    )
+    ends = local.groupBy(*keys, "_chunk").agg(F.max("_rn").alias("_n"), F.max("_reset").alias("_last"))
+    along = Window.partitionBy(*keys).orderBy("_chunk")
+    grouped = ends.withColumn("_group", F.count("_last").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    in_group = Window.partitionBy(*keys, "_group").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    trailing = grouped.withColumn("_open", F.sum(F.col("_n") - F.coalesce("_last", F.lit(0))).over(in_group))
+    carry = trailing.select(*keys, "_chunk", F.lag("_open").over(along).alias("_in"))
+    joined = local.join(carry, [*keys, "_chunk"], "left")
+    length = F.when(F.col("_reset").isNull(), F.col("_rn") + F.coalesce("_in", F.lit(0))).otherwise(F.col("_rn") - F.col("_reset"))
+    return joined.withColumn(name, length.cast("bigint")).drop("_chunk", "_rn", "_reset", "_in")
+
+
 def local_type(kind) -> str:
     return f"decimal({min(38, kind.precision + 10)},{kind.scale})"
 

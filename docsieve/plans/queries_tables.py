@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docsieve.definition import load_definition
-from docsieve.functions.values import hash_draw
 from docsieve.operators import intake, metering, review, rules, tenancy, triage, windows
 from docsieve.plans import oracle_views as O
 from docsieve.plans import views
@@ -15,7 +14,7 @@ from docsieve.sources import tables as T
 
 INVOICE = load_definition("invoice")
 SLUGS = ("invoice", "purchase_order")
-NOW = F.lit(views.NOW).cast("timestamp")
+NOW = F.lit(views.NOW).cast("timestamp_ntz")
 TS = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 DBL = lambda c: F.col(c).cast("double") if isinstance(c, str) else c.cast("double")
 SQL_TS = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
@@ -311,7 +310,7 @@ def review_detail(spark, sf):
 
 @query(f"WITH {_TASKS} SELECT count(*) FILTER (WHERE status = 'open') AS open, count(*) FILTER (WHERE status = 'open' AND sla_due_at < TIMESTAMP '2024-01-20') AS breached, CAST(floor(epoch(TIMESTAMP '2024-01-20') - epoch(min(created_at) FILTER (WHERE status = 'open'))) AS BIGINT) AS oldest_seconds FROM tasks")
 def queue_depth(spark, sf):
-    return review.queue_depth(_tasks(spark, sf), F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    return review.queue_depth(_tasks(spark, sf), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
 
 
 @query(f"WITH {_TASKS} SELECT extraction_id FROM tasks WHERE status = 'open' ORDER BY created_at, task_id LIMIT 50")
@@ -321,7 +320,7 @@ def open_tasks(spark, sf):
 
 @query(f"WITH {_TASKS} SELECT extraction_id, {SQL_TS('sla_due_at')} AS due FROM tasks WHERE status = 'open' AND sla_due_at < TIMESTAMP '2024-01-20'")
 def breached_tasks(spark, sf):
-    late = review.breached_tasks(_tasks(spark, sf), F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    late = review.breached_tasks(_tasks(spark, sf), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
     return late.select("extraction_id", TS("sla_due_at").alias("due"))
 
 
@@ -406,7 +405,7 @@ def _stored(spark, sf):
 
 
 def _sweep(spark, sf):
-    return triage.stranded_documents(_stored(spark, sf), F.lit("2024-01-01 12:00:00").cast("timestamp"), 60)
+    return triage.stranded_documents(_stored(spark, sf), F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"), 60)
 
 
 _STRANDED = f"""{O.DOCS}, stranded AS (SELECT *, CASE WHEN status IN ('received','parsing') THEN 'parse' ELSE 'extract' END AS stage, CASE WHEN doc_id % 2 = 0 THEN 'boom' END AS last_error FROM

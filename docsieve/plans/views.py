@@ -254,7 +254,8 @@ def document_rows(spark: SparkSession, sf: str) -> DataFrame:
     doc = F.col("doc_id")
     draw = hash_draw(SEED, "status", doc.cast("string"))
     statuses = ("received", "parsing", "parsed", "extracting", "approved", "needs_review", "failed", "budget_exceeded")
-    arrived = F.timestamp_seconds(F.lit(1704067200) + doc * 60)
+    start = F.lit(EPOCH).cast("timestamp_ntz")
+    minutes = doc.cast("int")
     return table(spark, sf, "documents").select(
         "doc_id",
         F.col("lang").alias("tenant_id"),
@@ -265,7 +266,7 @@ def document_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("n_chars") < 100, "needs_ocr")
         .otherwise(F.get(F.array(*[F.lit(s) for s in statuses]), draw % 8))
         .alias("status"),
-        arrived.alias("received_at"),
-        F.timestamp_seconds(F.lit(1704067200) + doc * 60 + draw % 3600).alias("updated_at"),
+        (start + F.make_dt_interval(mins=minutes)).alias("received_at"),
+        (start + F.make_dt_interval(mins=minutes, secs=draw % 3600)).alias("updated_at"),
         (draw % 8).cast("int").alias("reap_count"),
     )
