@@ -1 +1,336 @@
+"""Queries over corruption, calibration, evaluation and experiments (O, P, E9, G6-G14, H2-H5, J)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docsieve.definition import FEATURES, load_confidence_model, load_definition, load_hints, load_settings
+from docsieve.functions import values as V
+from docsieve.functions.tables import with_prefixed, with_struct
+from docsieve.operators import calibrate, corruption, evaluate, evidence, metering, reading, rules, scoring
+from docsieve.plans import oracle_views as O
+from docsieve.plans import queries_drift as drift_queries
+from docsieve.plans import views
+from docsieve.plans.catalog import query
+from docsieve.plans.queries_evidence import FIELDS, SQL_ROUTED, routed
+from docsieve.session import cut
+
+INVOICE = load_definition("invoice")
+MODEL = load_confidence_model()
+HINTS = load_hints("invoice")
+TIERS = load_settings("reader_tiers")
+DBL = lambda c: F.col(c).cast("double")
+
+
+@query(f"WITH {O.faulty()} SELECT doc_id, error_class FROM faulty")
+def plan_corruption(spark, sf):
+    planned = corruption.plan_corruption(F.col("doc_key"), views.FAULT_RATE, views.SEED)
+    return views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey").cast("string").alias("doc_key")).select("doc_id", planned.alias("error_class"))
+
+
+@query(
+    f"""WITH {O.faulty()} SELECT doc_id, vendor, strftime(invoice_date, '%Y-%m-%d') AS invoice_date, CAST(total AS DOUBLE) AS total,
+        array_to_string(list_transform(line_items, lambda r: CAST(r.quantity AS VARCHAR) || 'x' || CAST(r.unit_price AS VARCHAR) || '=' || CAST(r.amount AS VARCHAR)), '|') AS items FROM faulty"""
+)
+def apply_corruption(spark, sf):
+    r = F.col("record")
+    shown = F.transform(r["line_items"], lambda i: F.concat(i["quantity"].cast("string"), F.lit("x"), i["unit_price"].cast("string"), F.lit("="), i["amount"].cast("string")))
+    return views.faulty_records(spark, sf).select(
+        "doc_id", r["vendor"].alias("vendor"), F.date_format(r["invoice_date"], "yyyy-MM-dd").alias("invoice_date"), r["total"].cast("double").alias("total"), F.array_join(shown, "|").alias("items")
+    )
+
+
+def scored_fields(spark, sf):
+    """Long (doc, field): p of the shipped model, y = field is right, layout and fault class."""
+    df = routed(spark, sf)
+    df = with_prefixed(df, "ok", evaluate.compare(F.col("record"), F.col("expected"), INVOICE))
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), scoring.P[f].alias("p"), F.col(f"ok_{f}").cast("int").alias("y")) for f in FIELDS])
+    return df.select("doc_id", "layout", F.coalesce("error_class", F.lit("none")).alias("error_class"), F.inline_outer(rows))
+
+
+_WRONG = {"total": "error_class = 'arithmetic_drift'", "invoice_date": "error_class = 'shifted_date'", "line_items": "error_class = 'transposed_line_amounts' AND spoiled"}
+SQL_SCORED = f"""{SQL_ROUTED}, spoil AS (SELECT doc_id, line_items <> x_line_items AS spoiled FROM faulty),
+scored AS MATERIALIZED ({' UNION ALL '.join(f"SELECT routed.doc_id, layout, coalesce(error_class, 'none') AS error_class, '{f}' AS field, p_{f} AS p, CASE WHEN coalesce({_WRONG.get(f, 'false')}, false) THEN 0 ELSE 1 END AS y FROM routed JOIN spoil ON routed.doc_id = spoil.doc_id" for f in FIELDS)})"""
+
+
+@query(f"WITH {SQL_SCORED} SELECT error_class, field, count(*) AS n, CAST(sum(y) AS BIGINT) AS correct FROM scored GROUP BY 1, 2")
+def calibration_rows(spark, sf):
+    """O3 summarised: features joined to correctness and fault class, counted per class and field."""
+    df = cut(with_prefixed(routed(spark, sf), "ok", evaluate.compare(F.col("record"), F.col("expected"), INVOICE)).select(
+        "doc_id", "error_class", *[f"ok_{f}" for f in FIELDS], scoring.field_confidences(INVOICE).alias("_p")))
+    features = df.select("doc_id", F.inline_outer("_p"))
+    wrong = evaluate.field_results(df, INVOICE, ["doc_id"]).where(~F.col("correct")).select("doc_id", "field", F.lit(0).alias("correct"))
+    classes = df.select("doc_id", F.coalesce("error_class", F.lit("none")).alias("error_class"))
+    rows = calibrate.calibration_rows(features, wrong, classes)
+    return rows.groupBy("error_class", "field").agg(F.count("*").alias("n"), F.sum("correct").cast("bigint").alias("correct"))
+
+
+_SQL_CURVE = f"""{SQL_SCORED}, bins AS (SELECT CAST(i AS INT) AS i, count(p) AS n, coalesce(sum(y), 0) AS r FROM range(201) g(i) LEFT JOIN scored ON p >= i / 200.0::DOUBLE AND (i = 200 OR p < (i + 1) / 200.0::DOUBLE) GROUP BY 1),
+cum AS (SELECT i, sum(n) OVER (ORDER BY i DESC) AS approved, sum(r) OVER (ORDER BY i DESC) AS correct, sum(n) OVER () AS total FROM bins),
+curve AS (SELECT i / 200.0::DOUBLE AS threshold, CAST(approved AS DOUBLE) / CAST(total AS DOUBLE) AS rate, CASE WHEN approved > 0 THEN CAST(correct AS DOUBLE) / CAST(approved AS DOUBLE) ELSE 1.0::DOUBLE END AS precision FROM cum)"""
+
+
+@query(f"WITH {_SQL_CURVE} SELECT threshold, round(rate, 9) AS rate, round(precision, 9) AS precision FROM curve")
+def sweep(spark, sf):
+    return calibrate.sweep(scored_fields(spark, sf)).select("threshold", F.round("rate", 9).alias("rate"), F.round("precision", 9).alias("precision"))
+
+
+def _sql_points(targets: str) -> str:
+    return f"""{_SQL_CURVE}, t AS (SELECT unnest({targets}) AS target), rows AS (SELECT * FROM curve CROSS JOIN t),
+    w AS (SELECT *, max(rate) FILTER (WHERE precision >= target AND rate >= 0.05) OVER (PARTITION BY target) AS widest FROM rows),
+    pick AS (SELECT target, widest IS NOT NULL AS met, threshold, rate, precision, row_number() OVER (PARTITION BY target ORDER BY precision DESC, rate DESC, threshold) AS rn FROM w
+      WHERE rate >= 0.05 AND (widest IS NULL OR (precision >= target AND rate >= widest - 0.02)))
+    SELECT target, met, threshold, round(rate, 9) AS rate, round(precision, 9) AS precision FROM pick WHERE rn = 1"""
+
+
+def _rounded(df):
+    return df.withColumns({"rate": F.round("rate", 9), "precision": F.round("precision", 9)})
+
+
+@query(f"WITH {_sql_points('[0.99::DOUBLE]')}")
+def operating_point(spark, sf):
+    return _rounded(calibrate.operating_point(calibrate.sweep(scored_fields(spark, sf))))
+
+
+@query(f"WITH {_sql_points('[0.995::DOUBLE, 0.99::DOUBLE, 0.985::DOUBLE, 0.98::DOUBLE, 0.97::DOUBLE, 0.95::DOUBLE]')}")
+def frontier(spark, sf):
+    return _rounded(calibrate.frontier(calibrate.sweep(scored_fields(spark, sf))))
+
+
+@query(f"WITH {SQL_SCORED}, b AS (SELECT *, CAST(least(floor(p * 10), 9) AS INT) AS bin FROM scored) SELECT bin, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS mean_y, count(*) AS n FROM b GROUP BY 1")
+def reliability_bins(spark, sf):
+    return calibrate.reliability_bins(scored_fields(spark, sf)).select("bin", F.round("mean_p", 6).alias("mean_p"), F.round("mean_y", 6).alias("mean_y"), "n")
+
+
+_BREAK = lambda key: f"SELECT '{key}' AS by, {key} AS name, count(*) AS n, round(avg(CASE WHEN p >= {MODEL.threshold} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS approve_rate, round(coalesce(avg(y) FILTER (WHERE p >= {MODEL.threshold}), -1), 6) AS precision, round(1 - count(*) FILTER (WHERE p >= {MODEL.threshold} AND y = 0) / greatest(count(*) FILTER (WHERE y = 0), 1), 6) AS recall FROM scored GROUP BY {key}"
+
+
+@query(f"WITH {SQL_SCORED} {_BREAK('layout')} UNION ALL {_BREAK('error_class')}")
+def breakdown(spark, sf):
+    scores = cut(scored_fields(spark, sf))
+    one = lambda key: calibrate.breakdown(scores, key, MODEL.threshold).select(
+        F.lit(key).alias("by"), F.col(key).alias("name"), "n", F.round("approve_rate", 6).alias("approve_rate"),
+        F.round(F.nanvl("precision", F.lit(-1.0)), 6).alias("precision"), F.round("recall_of_errors", 6).alias("recall"),
+    )
+    return one("layout").unionByName(one("error_class"))
+
+
+@query(f"WITH {SQL_SCORED} SELECT error_class, field, count(*) AS n FROM scored WHERE p >= {MODEL.threshold} AND y = 0 GROUP BY 1, 2")
+def surviving_errors(spark, sf):
+    return calibrate.surviving_errors(scored_fields(spark, sf), MODEL.threshold)
+
+
+def training_rows(spark, sf):
+    """Flat feature columns with correctness, all fault classes."""
+    df = evidence.with_signals(views.faulty_records(spark, sf, text=True), INVOICE)
+    df = with_prefixed(df, "ok", evaluate.compare(F.col("record"), F.col("expected"), INVOICE))
+    df = with_prefixed(df, "x", {f: F.array(*scoring.features_for(f, INVOICE)) for f in FIELDS})
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"x_{f}").alias("x"), F.col(f"ok_{f}").cast("int").alias("correct")) for f in FIELDS])
+    long = df.select("doc_id", F.inline_outer(rows))
+    return cut(long.select("doc_id", "field", "correct", *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(FEATURES)]))
+
+
+@query()
+def fit_logistic(spark, sf):
+    """Fitted weights per feature; the fit is compared with plain gradient descent in the tests."""
+    fit = calibrate.fit_logistic(training_rows(spark, sf))
+    from docsieve.functions.tables import literal_table
+
+    rows = [(n, w, m, s) for n, w, m, s in zip([*FEATURES, "bias"], [*fit["weights"], fit["bias"]], [*fit["mean"], 0.0], [*fit["std"], 1.0])]
+    return literal_table(spark, ["feature", "weight", "mean", "std"], [tuple(map(lambda v: float(v) if not isinstance(v, str) else v, r)) for r in rows])
+
+
+@query()
+def model_artifact(spark, sf):
+    rows = training_rows(spark, sf)
+    fit = calibrate.fit_logistic(rows)
+    scores = calibrate.predict(rows, fit).select("p", F.col("correct").alias("y"))
+    point = calibrate.operating_point(calibrate.sweep(scores))
+    return calibrate.model_artifact(spark, fit, point, "invoice", 1)
+
+
+# --- evaluation -------------------------------------------------------------------------------
+
+
+def assessed(spark, sf):
+    """Pages read by both tiers: canonical records, cost, the small tier's escalation reason and comparisons."""
+    pages = views.pages(spark, sf).withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.lit("scan")).otherwise(F.col("text")))
+    pages = pages.withColumn("needs_ocr", V.parse_gate(F.col("text")) == "needs_ocr")
+    names = list(INVOICE.fields)
+    for tier in ("small", "frontier"):
+        pages = reading.extract_record(pages, HINTS, TIERS[tier], names, output=f"raw_{tier}")
+        pages = with_struct(pages, f"rec_{tier}", V.canonical_fields(F.col(f"raw_{tier}"), INVOICE)).drop(f"raw_{tier}")
+    tokens = V.estimate_tokens(F.col("text"))
+    price = {"small": (1, 5), "frontier": (5, 25)}
+    for tier, (i, o) in price.items():
+        pages = pages.withColumn(f"cost_{tier}", ((tokens * i + 256 * o).cast("decimal(18,0)") * F.expr("0.000001BD")).cast("decimal(12,6)"))
+    judged = scoring.route_extraction(evidence.with_signals(pages, INVOICE, record="rec_small"), INVOICE, MODEL)
+    passed = rules.validation_passed(scoring.RULE, INVOICE)
+    reason = scoring.escalation_trigger(INVOICE.policy, F.lit(False), passed, F.col("decision"))
+    return judged.withColumn("trigger", F.when(~F.col("needs_ocr"), reason)).select(
+        "doc_id", "layout", "needs_ocr", "trigger", "expected", "rec_small", "rec_frontier", "cost_small", "cost_frontier"
+    )
+
+
+_EU_ = O._EU
+_READ = f"""{O.PAGES}, seen AS MATERIALIZED (SELECT doc_id, layout, vendor, len(line_items) AS n, doc_id % 10 = 0 AS needs_ocr, length(text) AS chars,
+  len(list_filter(line_items, lambda r: layout = 'euro' AND {_EU_('r.amount')} <> {_EU_('r.unit_price')} AND contains({_EU_('r.amount')}, {_EU_('r.unit_price')}))) > 0 AS quirk
+  FROM pages_), costed AS (SELECT *, CASE WHEN needs_ocr THEN NULL WHEN n > 5 THEN 'validation_failed' WHEN n = 0 OR quirk THEN 'needs_review' END AS reason,
+  CAST(floor((CASE WHEN needs_ocr THEN 4 ELSE chars END) / 4) + 1 + 256 * 5 AS DOUBLE) / 1000000 AS c_small, CAST((floor((CASE WHEN needs_ocr THEN 4 ELSE chars END) / 4) + 1) * 5 + 256 * 25 AS DOUBLE) / 1000000 AS c_front FROM seen)"""
+
+
+@query(f"WITH {_READ} SELECT doc_id, reason, reason IS NOT NULL AS escalated, CASE WHEN reason IS NULL THEN 1 ELSE 2 END AS calls, CASE WHEN reason IS NULL AND layout = 'euro' THEN substr(vendor, 2) ELSE vendor END AS vendor, round(c_small + CASE WHEN reason IS NULL THEN 0 ELSE c_front END, 6) AS cost FROM costed WHERE NOT needs_ocr")
+def two_tier_select(spark, sf):
+    both = cut(assessed(spark, sf).where(~F.col("needs_ocr")))
+    first = both.select("doc_id", "trigger", F.col("rec_small").alias("record"), F.col("cost_small").alias("cost_usd"))
+    second = both.where(F.col("trigger").isNotNull()).select("doc_id", F.col("rec_frontier").alias("record"), F.col("cost_frontier").alias("cost_usd"))
+    out = scoring.two_tier_select(first, second, "doc_id")
+    return out.select("doc_id", F.col("trigger").alias("reason"), "escalated", "calls", "record.vendor", F.round(DBL("cost_usd"), 6).alias("cost"))
+
+
+def evaluated(spark, sf):
+    """One row per (document, mode): comparisons, cost, escalation."""
+    both = assessed(spark, sf)
+    escalated = F.col("trigger").isNotNull()
+    single = both.select("doc_id", "layout", "needs_ocr", "expected", F.lit("single").alias("mode"), F.lit(False).alias("escalated"), F.col("rec_frontier").alias("record"), F.col("cost_frontier").alias("cost_usd"))
+    routed_ = both.select(
+        "doc_id", "layout", "needs_ocr", "expected", F.lit("routed").alias("mode"), escalated.alias("escalated"),
+        F.when(escalated, F.col("rec_frontier")).otherwise(F.col("rec_small")).alias("record"),
+        (F.col("cost_small") + F.when(escalated, F.col("cost_frontier")).otherwise(F.lit(0))).cast("decimal(12,6)").alias("cost_usd"),
+    )
+    modes = single.unionByName(routed_)
+    return with_prefixed(modes, "ok", evaluate.compare(F.col("record"), F.col("expected"), INVOICE)).drop("record", "expected")
+
+
+_CELLS = f"""{_READ}, modes AS (SELECT *, 'single' AS mode FROM costed UNION ALL SELECT *, 'routed' FROM costed),
+cells AS MATERIALIZED (SELECT doc_id, layout, mode, unnest([{', '.join("'" + f + "'" for f in FIELDS)}]) AS field,
+  n > 0 AND NOT quirk AS items_ok, NOT (mode = 'routed' AND reason IS NULL AND layout = 'euro') AS vendor_ok FROM modes WHERE NOT needs_ocr),
+ok AS (SELECT *, CASE field WHEN 'line_items' THEN items_ok WHEN 'vendor' THEN vendor_ok ELSE true END AS correct FROM cells)"""
+
+
+@query(f"WITH {_CELLS} SELECT mode, field, CAST(count(*) FILTER (WHERE correct) AS BIGINT) AS correct, count(*) AS n FROM ok GROUP BY 1, 2")
+def evaluate_documents(spark, sf):
+    """Both passes over all digital pages, correct fields counted per mode."""
+    long = evaluate.field_results(evaluated(spark, sf).where(~F.col("needs_ocr")), INVOICE, ["mode"])
+    return long.groupBy("mode", "field").agg(F.count_if("correct").alias("correct"), F.count("*").alias("n"))
+
+
+@query(f"WITH {_CELLS} SELECT mode, coalesce(field, 'all') AS field, coalesce(layout, 'all') AS layout, count(*) AS cells, round(100.0::DOUBLE * count(*) FILTER (WHERE correct) / count(*), 6) AS accuracy FROM ok GROUP BY GROUPING SETS ((mode, field, layout), (mode, field), (mode, layout), (mode))")
+def accuracy_matrix(spark, sf):
+    long = evaluate.field_results(evaluated(spark, sf).where(~F.col("needs_ocr")), INVOICE, ["mode", "layout"])
+    return evaluate.accuracy_matrix(long, ["mode"]).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"WITH {_CELLS}, c AS (SELECT avg(c_front) AS single_cost, avg(round(c_small + CASE WHEN reason IS NULL THEN 0 ELSE c_front END, 6)) AS routed_cost, count(*) FILTER (WHERE reason IS NOT NULL) AS escalated, count(*) AS documents FROM costed WHERE NOT needs_ocr) SELECT round(single_cost, 8) AS single_cost, round(routed_cost, 8) AS routed_cost, escalated, documents, round((1 - routed_cost / single_cost) * 100, 4) AS saving, (SELECT round(100.0::DOUBLE * count(*) FILTER (WHERE correct) / count(*), 6) FROM ok WHERE mode = 'routed') AS routed_accuracy FROM c")
+def cost_note(spark, sf):
+    rows = evaluated(spark, sf)
+    right = sum((F.col(f"ok_{f}").cast("int") for f in FIELDS[1:]), F.col(f"ok_{FIELDS[0]}").cast("int"))
+    note = evaluate.cost_note(rows.withColumns({"correct": right, "total": F.lit(len(FIELDS))}))
+    return note.select(F.round("single_cost", 8).alias("single_cost"), F.round("routed_cost", 8).alias("routed_cost"), "escalated", "documents", F.round("saving_percent", 4).alias("saving"), F.round("routed_accuracy", 6).alias("routed_accuracy"))
+
+
+@query(
+    f"""WITH {_CELLS}, acc AS (SELECT mode, coalesce(field, 'all') AS field, 100.0::DOUBLE * count(*) FILTER (WHERE correct) / count(*) AS accuracy FROM ok GROUP BY GROUPING SETS ((mode, field), (mode))),
+    floors(mode, field, floor) AS (VALUES ('single','all',97.5::DOUBLE), ('routed','all',97.0::DOUBLE), ('single','subtotal',99.0::DOUBLE), ('single','tax',99.0::DOUBLE), ('single','total',99.0::DOUBLE), ('single','line_items',99.0::DOUBLE))
+    SELECT 'invoice' AS doc_type, mode, field, round(accuracy, 6) AS accuracy, floor, accuracy >= floor AS passed FROM floors JOIN acc USING (mode, field)
+    UNION ALL SELECT 'letter', 'single', 'threshold configured', 0.0::DOUBLE, 1.0::DOUBLE, false"""
+)
+def gate_checks(spark, sf):
+    long = evaluate.field_results(evaluated(spark, sf).where(~F.col("needs_ocr")), INVOICE, ["mode", "layout"])
+    overall = cut(evaluate.accuracy_matrix(long, ["mode"]).where(F.col("layout") == "all").select(F.lit("invoice").alias("doc_type"), "mode", "field", "accuracy"))
+    ungated = overall.where((F.col("field") == "all") & (F.col("mode") == "single")).withColumn("doc_type", F.lit("letter"))
+    return evaluate.gate_checks(overall.unionByName(ungated)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+def _labels(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("doc_type"))
+
+
+_GOLD = "gold AS (SELECT * FROM (SELECT doc_id, lang AS doc_type, row_number() OVER (PARTITION BY lang ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE rn <= least(100, greatest(1, n // 3)))"
+
+
+@query(f"WITH {_GOLD} SELECT doc_type, doc_id FROM gold")
+def golden_split(spark, sf):
+    return evaluate.golden_split(_labels(spark, sf)).select("doc_type", "doc_id")
+
+
+@query(f"WITH {_GOLD} SELECT l.doc_id, CASE WHEN g.doc_id IS NULL THEN 'train' ELSE 'holdout' END AS part FROM labels l LEFT JOIN gold g ON l.doc_id = g.doc_id")
+def train_holdout(spark, sf):
+    golden = evaluate.golden_split(_labels(spark, sf))
+    train, holdout = evaluate.train_holdout(views.table(spark, sf, "labels").select("doc_id"), golden)
+    return train.withColumn("part", F.lit("train")).unionByName(holdout.withColumn("part", F.lit("holdout")))
+
+
+# --- experiments ------------------------------------------------------------------------------
+
+
+def steps(spark, sf):
+    """A stream per tenant: events up to the 20th are stable, the rest drifted."""
+    e = views.table(spark, sf, "events")
+    i, value = F.col("event_id"), F.col("value")
+    approved = value >= 60
+    base = e.select(
+        F.concat(F.lit("t"), (F.col("user_id") % 10).cast("string")).alias("stream"), "event_id", "ts",
+        approved.alias("approved"), F.lit(10).cast("bigint").alias("fields_total"),
+        (F.lit(10) - F.when(i % 4 == 0, 1).otherwise(0) - F.when((i % 3 == 0) & (F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")), 2).otherwise(0)).cast("bigint").alias("fields_correct"),
+        F.when(i % 23 != 0, F.round(value / 500, 4)).alias("doc_confidence"),
+        (i % 7 != 0).alias("validation_passed"), (F.col("event_type") == "error").alias("escalated"),
+        F.round(value / 10000, 6).alias("cost_usd"), (value > 400).alias("flagged"),
+    ).withColumn("all_correct", F.col("fields_correct") == F.col("fields_total"))
+    edge = F.lit("2024-01-20").cast("timestamp_ntz")
+    return evaluate.concat_streams(base.where(F.col("ts") < edge), base.where(F.col("ts") >= edge), ["stream"], ["ts", "event_id"])
+
+
+_STEPS = """steps AS MATERIALIZED (SELECT *, fields_correct = 10 AS all_correct, row_number() OVER (PARTITION BY stream ORDER BY ts, event_id) - 1 AS idx FROM (
+  SELECT 't' || (user_id % 10) AS stream, event_id, ts, value >= 60 AS approved, 10 - CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END - CASE WHEN event_id % 3 = 0 AND ts >= TIMESTAMP '2024-01-20' THEN 2 ELSE 0 END AS fields_correct,
+  CASE WHEN event_id % 23 <> 0 THEN round(value / 500, 4) END AS doc_confidence, event_id % 7 <> 0 AS passed, event_type = 'error' AS escalated, round(value / 10000, 6) AS cost_usd, value > 400 AS flagged,
+  CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'stable' ELSE 'drifted' END AS phase FROM events))"""
+_ROLL = f"""{_STEPS}, ap AS (SELECT *, row_number() OVER w AS k, sum(fields_correct) OVER (w ROWS 49 PRECEDING) AS c FROM steps WHERE approved WINDOW w AS (PARTITION BY stream ORDER BY idx)),
+prec AS (SELECT stream, idx, CAST(c AS DOUBLE) / 500 AS precision FROM ap WHERE k >= 50)"""
+
+
+@query(f"WITH {_STEPS} SELECT event_id, phase, idx AS index FROM steps")
+def concat_streams(spark, sf):
+    return steps(spark, sf).select("event_id", "phase", "index")
+
+
+@query(f"WITH {_ROLL} SELECT stream, idx AS index, precision FROM prec")
+def rolling_precision(spark, sf):
+    return evaluate.rolling_precision(steps(spark, sf), ["stream"], 50)
+
+
+@query(f"WITH {_STEPS}, r AS (SELECT stream, idx, row_number() OVER w AS k, sum(approved::INT) OVER (w ROWS 49 PRECEDING) AS a FROM steps WINDOW w AS (PARTITION BY stream ORDER BY idx)) SELECT stream, idx AS index, CAST(a AS DOUBLE) / 50 AS rate FROM r WHERE k >= 50")
+def rolling_approve_rate(spark, sf):
+    return evaluate.rolling_approve_rate(steps(spark, sf), ["stream"], 50)
+
+
+_MARKS = "marks AS (SELECT stream, min(idx) FILTER (WHERE phase = 'drifted') AS swap_at, min(idx) FILTER (WHERE flagged) AS detected_at FROM steps GROUP BY 1)"
+
+
+@query(f"WITH {_STEPS}, {_MARKS} SELECT stream, swap_at, detected_at, CASE WHEN swap_at > 0 AND detected_at > 0 THEN detected_at - swap_at + 1 END AS lag FROM marks")
+def stream_marks(spark, sf):
+    return evaluate.stream_marks(steps(spark, sf), ["stream"])
+
+
+@query(f"WITH {_ROLL}, {_MARKS} SELECT stream, min(idx) FILTER (WHERE precision < 0.95) AS first_breach, min(idx) FILTER (WHERE precision < 0.95 AND idx >= swap_at) AS breach_after_swap FROM prec JOIN marks USING (stream) GROUP BY 1")
+def first_breach(spark, sf):
+    s = cut(steps(spark, sf))
+    return evaluate.first_breach(evaluate.rolling_precision(s, ["stream"], 50), evaluate.stream_marks(s, ["stream"]), ["stream"], 0.95)
+
+
+@query(
+    f"""WITH {_STEPS} SELECT stream, phase, count(*) AS n, round(avg(approved::INT), 6) AS approve_rate, round(sum(fields_correct) FILTER (WHERE approved) / (10.0::DOUBLE * count(*) FILTER (WHERE approved)), 6) AS approved_precision,
+        round(avg(all_correct::INT) FILTER (WHERE approved), 6) AS approved_doc_precision, round(sum(fields_correct) / (10.0::DOUBLE * count(*)), 6) AS field_accuracy, round(avg(doc_confidence), 6) AS mean_confidence,
+        round(avg(escalated::INT), 6) AS escalation_rate, round(avg((NOT passed)::INT), 6) AS validation_failure_rate, round(avg(cost_usd), 8) AS cost_per_doc FROM steps GROUP BY 1, 2"""
+)
+def phase_summary(spark, sf):
+    out = evaluate.phase_summary(steps(spark, sf), ["stream"])
+    digits = {c: 8 if c == "cost_per_doc" else 6 for c in out.columns if c not in ("stream", "phase", "n")}
+    return out.withColumns({c: F.round(c, d) for c, d in digits.items()})
+
+
+@query(f"WITH {drift_queries._SIGNALS}, p AS (SELECT *, CASE WHEN doc_id % 1000 < 600 THEN 'stable' ELSE 'drifted' END AS phase FROM scored) SELECT signal, phase, count(*) AS n, round(avg(z), 4) + 0.0 AS mean_z, count(*) FILTER (WHERE breach) AS breaches, round(arg_max(z, abs(z)), 4) AS largest_z FROM p GROUP BY 1, 2")
+def signal_behaviour(spark, sf):
+    phase = F.when(F.col("doc_id") % 1000 < 600, "stable").otherwise("drifted")
+    out = evaluate.signal_behaviour(drift_queries.plan(spark, sf).scored.withColumn("phase", phase))
+    return out.withColumns({"mean_z": F.round("mean_z", 4) + F.lit(0.0), "largest_z": F.round("largest_z", 4)})
