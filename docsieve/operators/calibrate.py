@@ -25,11 +25,16 @@ def calibration_rows(features: DataFrame, correctness: DataFrame, classes: DataF
     )
 
 
-def _grid_index(p: Column) -> Column:
-    """The largest i with i/200 <= p. A plain floor is off by one where i/200 is not exact, so the neighbours decide."""
-    guess = F.floor(p * GRID).cast("int")
-    at = lambda i: i.cast("double") / F.lit(float(GRID))
-    return F.when((guess < GRID) & (at(guess + 1) <= p), guess + 1).when(at(guess) > p, guess - 1).otherwise(guess)
+def _edge(i: Column, parts: int) -> Column:
+    """The i-th of parts + 1 evenly spaced points from 0 to 1, as multiples of the step with an exact end."""
+    return F.when(i >= parts, F.lit(1.0)).otherwise(i.cast("double") * F.lit(1.0 / parts))
+
+
+def _bin_of(p: Column, parts: int) -> Column:
+    """The largest i whose edge is <= p. A plain floor is off by one where edges are inexact, so the neighbours decide."""
+    guess = F.least(F.floor(p * parts).cast("int"), F.lit(parts))
+    up = (guess < parts) & (_edge(guess + 1, parts) <= p)
+    return F.when(up, guess + 1).when(_edge(guess, parts) > p, guess - 1).otherwise(guess)
 
 
 def sweep(scores: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
@@ -37,7 +42,7 @@ def sweep(scores: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
 
     Scores are counted per grid bin; each threshold is then a suffix sum over at most 201 bins.
     """
-    bins = scores.groupBy(_grid_index(F.col(p)).alias("i")).agg(
+    bins = scores.groupBy(_bin_of(F.col(p), GRID).alias("i")).agg(
         F.count("*").alias("n"), F.sum(F.col(y).cast("bigint")).alias("right")
     )
     grid = scores.sparkSession.range(GRID + 1).select(F.col("id").cast("int").alias("i"))
@@ -46,7 +51,7 @@ def sweep(scores: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     everyone = Window.partitionBy()
     approved, right = F.sum("n").over(above), F.sum("right").over(above)
     return filled.select(
-        (F.col("i") / F.lit(float(GRID))).alias("threshold"),
+        _edge(F.col("i"), GRID).alias("threshold"),
         (approved / F.sum("n").over(everyone)).alias("rate"),
         F.when(approved > 0, right / approved).otherwise(F.lit(1.0)).alias("precision"),
     )
@@ -81,10 +86,7 @@ def frontier(curve: DataFrame) -> DataFrame:
 
 def reliability_bins(scores: DataFrame, bins: int = 10, p: str = "p", y: str = "y") -> DataFrame:
     """Mean prediction, share correct and size per bin; the last bin is closed, empty ones are left out."""
-    edge = lambda i: i.cast("double") / F.lit(float(bins))
-    guess = F.floor(F.col(p) * bins).cast("int")
-    exact = F.when(edge(guess + 1) <= F.col(p), guess + 1).when(edge(guess) > F.col(p), guess - 1).otherwise(guess)
-    return scores.groupBy(F.least(exact, F.lit(bins - 1)).alias("bin")).agg(
+    return scores.groupBy(F.least(_bin_of(F.col(p), bins), F.lit(bins - 1)).alias("bin")).agg(
         F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("mean_y"), F.count("*").alias("n")
     )
 

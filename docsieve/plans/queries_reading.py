@@ -14,23 +14,26 @@ from docsieve.plans.catalog import query
 INVOICE = load_definition("invoice")
 HINTS = load_hints("invoice")
 TIERS = load_settings("reader_tiers")
-TEXT = F.col("text")
+
+
+def page_text():
+    return F.col("text")
 
 
 def _lines(spark, sf):
-    joined = reading.rejoin_smallcaps(TEXT)
-    df = views.pages(spark, sf).withColumns({"lines": reading.lines_of(joined), "currency": reading.currency_of(TEXT)})
+    joined = reading.rejoin_smallcaps(page_text())
+    df = views.pages(spark, sf).withColumns({"lines": reading.lines_of(joined), "currency": reading.currency_of(page_text())})
     return df.withColumn("priced", reading.priced_lines(F.col("lines"), F.col("currency")))
 
 
 @query(f"WITH {O.CLEAN} SELECT doc_id, currency FROM clean")
 def printed_currency(spark, sf):
-    return views.pages(spark, sf).select("doc_id", reading.currency_of(TEXT).alias("currency"))
+    return views.pages(spark, sf).select("doc_id", reading.currency_of(page_text()).alias("currency"))
 
 
 @query(f"WITH {O.CLEAN} SELECT doc_id, invoice_number FROM clean")
 def id_by_pattern(spark, sf):
-    found = reading.find_id(TEXT, HINTS["id_fields"]["invoice_number"])
+    found = reading.find_id(page_text(), HINTS["id_fields"]["invoice_number"])
     return views.pages(spark, sf).select("doc_id", found.alias("invoice_number"))
 
 
@@ -44,7 +47,7 @@ _SHOWN = lambda d: (
         {_SHOWN('invoice_date')} AS third_date FROM clean"""
 )
 def nth_date(spark, sf):
-    dates = reading.printed_dates(TEXT)
+    dates = reading.printed_dates(page_text())
     names = ("first_date", "second_date", "third_date")
     return views.pages(spark, sf).withColumn("dates", dates).select(
         "doc_id", *[reading.nth_date(F.col("dates"), i).alias(n) for i, n in enumerate(names)]
@@ -53,7 +56,7 @@ def nth_date(spark, sf):
 
 @query(f"WITH {O.CLEAN} SELECT doc_id, CAST(tax_rate * 100 AS INT) || CASE layout WHEN 'euro' THEN ' %' ELSE '%' END AS rate FROM clean")
 def printed_rate(spark, sf):
-    return views.pages(spark, sf).select("doc_id", reading.find_rate(TEXT).alias("rate"))
+    return views.pages(spark, sf).select("doc_id", reading.find_rate(page_text()).alias("rate"))
 
 
 @query(f"WITH {O.CLEAN} SELECT doc_id, CAST(subtotal AS DOUBLE) AS subtotal, CAST(tax AS DOUBLE) AS tax, CAST(total AS DOUBLE) AS total FROM clean")
@@ -82,7 +85,7 @@ def heading_value(spark, sf):
     return _lines(spark, sf).select(
         "doc_id",
         reading.heading_value(F.col("lines"), rules).alias("with_repair"),
-        reading.heading_value(reading.lines_of(TEXT), rules).alias("without_repair"),
+        reading.heading_value(reading.lines_of(page_text()), rules).alias("without_repair"),
     )
 
 
@@ -108,7 +111,7 @@ def table_rows(spark, sf):
 @query(f"WITH {O.CLEAN} SELECT doc_id, CAST(subtotal AS DOUBLE) AS subtotal, CAST(subtotal AS DOUBLE) AS total FROM clean")
 def amount_fallbacks(spark, sf):
     """Pages whose subtotal and total lines are torn off: the table's sum stands in for both."""
-    torn = F.regexp_replace(TEXT, "(?m)^(Subtotal|Zwischensumme|Total Due|Gesamtbetrag).*$", "")
+    torn = F.regexp_replace(page_text(), "(?m)^(Subtotal|Zwischensumme|Total Due|Gesamtbetrag).*$", "")
     df = views.pages(spark, sf).withColumn("text", torn)
     raw = reading.extract_record(df, HINTS, TIERS["frontier"], list(INVOICE.fields))
     amount = lambda n: V.norm_amount(F.col("raw")[n]).cast("double").alias(n)
@@ -117,7 +120,7 @@ def amount_fallbacks(spark, sf):
 
 @query(f"WITH {O.PAGES} SELECT doc_id, contains(text, chr(10) || vendor || chr(10)) AS whole_before, true AS whole_after, CASE layout WHEN 'euro' THEN 1 ELSE 0 END AS joined FROM (SELECT *, chr(10) || text AS t FROM pages_) WHERE layout = 'euro' UNION ALL SELECT doc_id, true, true, 0 FROM pages_ WHERE layout <> 'euro'")
 def rejoin_smallcaps(spark, sf):
-    padded = F.concat(F.lit("\n"), TEXT)
+    padded = F.concat(F.lit("\n"), page_text())
     line = F.concat(F.lit("\n"), F.col("expected.vendor"), F.lit("\n"))
     joined = reading.rejoin_smallcaps(padded)
     return views.pages(spark, sf).select(

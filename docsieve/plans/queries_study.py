@@ -65,9 +65,9 @@ def calibration_rows(spark, sf):
     return rows.groupBy("error_class", "field").agg(F.count("*").alias("n"), F.sum("correct").cast("bigint").alias("correct"))
 
 
-_SQL_CURVE = f"""{SQL_SCORED}, bins AS (SELECT CAST(i AS INT) AS i, count(p) AS n, coalesce(sum(y), 0) AS r FROM range(201) g(i) LEFT JOIN scored ON p >= i / 200.0::DOUBLE AND (i = 200 OR p < (i + 1) / 200.0::DOUBLE) GROUP BY 1),
+_SQL_CURVE = f"""{SQL_SCORED}, bins AS (SELECT CAST(i AS INT) AS i, count(p) AS n, coalesce(sum(y), 0) AS r FROM range(201) g(i) LEFT JOIN scored ON p >= i * 0.005::DOUBLE AND (i = 200 OR p < (i + 1) * 0.005::DOUBLE) GROUP BY 1),
 cum AS (SELECT i, sum(n) OVER (ORDER BY i DESC) AS approved, sum(r) OVER (ORDER BY i DESC) AS correct, sum(n) OVER () AS total FROM bins),
-curve AS (SELECT i / 200.0::DOUBLE AS threshold, CAST(approved AS DOUBLE) / CAST(total AS DOUBLE) AS rate, CASE WHEN approved > 0 THEN CAST(correct AS DOUBLE) / CAST(approved AS DOUBLE) ELSE 1.0::DOUBLE END AS precision FROM cum)"""
+curve AS (SELECT i * 0.005::DOUBLE AS threshold, CAST(approved AS DOUBLE) / CAST(total AS DOUBLE) AS rate, CASE WHEN approved > 0 THEN CAST(correct AS DOUBLE) / CAST(approved AS DOUBLE) ELSE 1.0::DOUBLE END AS precision FROM cum)"""
 
 
 @query(f"WITH {_SQL_CURVE} SELECT threshold, round(rate, 9) AS rate, round(precision, 9) AS precision FROM curve")
@@ -97,7 +97,7 @@ def frontier(spark, sf):
     return _rounded(calibrate.frontier(calibrate.sweep(scored_fields(spark, sf))))
 
 
-@query(f"WITH {SQL_SCORED}, b AS (SELECT *, CAST(least(floor(p * 10), 9) AS INT) AS bin FROM scored) SELECT bin, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS mean_y, count(*) AS n FROM b GROUP BY 1")
+@query(f"WITH {SQL_SCORED}, b AS (SELECT *, CAST(least(CASE WHEN floor(p * 10) * 0.1::DOUBLE > p THEN floor(p * 10) - 1 WHEN (floor(p * 10) + 1) * 0.1::DOUBLE <= p THEN floor(p * 10) + 1 ELSE floor(p * 10) END, 9) AS INT) AS bin FROM scored) SELECT bin, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS mean_y, count(*) AS n FROM b GROUP BY 1")
 def reliability_bins(spark, sf):
     return calibrate.reliability_bins(scored_fields(spark, sf)).select("bin", F.round("mean_p", 6).alias("mean_p"), F.round("mean_y", 6).alias("mean_y"), "n")
 
@@ -189,17 +189,18 @@ def two_tier_select(spark, sf):
 
 
 def evaluated(spark, sf):
-    """One row per (document, mode): comparisons, cost, escalation."""
+    """One row per (document, mode): comparisons, cost, escalation. Both modes come out of one pass over the pages."""
     both = assessed(spark, sf)
-    escalated = F.col("trigger").isNotNull()
-    single = both.select("doc_id", "layout", "needs_ocr", "expected", F.lit("single").alias("mode"), F.lit(False).alias("escalated"), F.col("rec_frontier").alias("record"), F.col("cost_frontier").alias("cost_usd"))
-    routed_ = both.select(
-        "doc_id", "layout", "needs_ocr", "expected", F.lit("routed").alias("mode"), escalated.alias("escalated"),
-        F.when(escalated, F.col("rec_frontier")).otherwise(F.col("rec_small")).alias("record"),
-        (F.col("cost_small") + F.when(escalated, F.col("cost_frontier")).otherwise(F.lit(0))).cast("decimal(12,6)").alias("cost_usd"),
+    for tier in ("small", "frontier"):
+        both = with_prefixed(both, tier, evaluate.compare(F.col(f"rec_{tier}"), F.col("expected"), INVOICE))
+    again = F.col("trigger").isNotNull()
+    routed_cost = F.col("cost_small") + F.when(again, F.col("cost_frontier")).otherwise(F.lit(0))
+    mode = lambda name, escalated, cost, ok: F.struct(
+        F.lit(name).alias("mode"), escalated.alias("escalated"), cost.cast("decimal(12,6)").alias("cost_usd"), *[ok(f).alias(f"ok_{f}") for f in FIELDS]
     )
-    modes = single.unionByName(routed_)
-    return with_prefixed(modes, "ok", evaluate.compare(F.col("record"), F.col("expected"), INVOICE)).drop("record", "expected")
+    single = mode("single", F.lit(False), F.col("cost_frontier"), lambda f: F.col(f"frontier_{f}"))
+    chosen = mode("routed", again, routed_cost, lambda f: F.when(again, F.col(f"frontier_{f}")).otherwise(F.col(f"small_{f}")))
+    return both.select("doc_id", "layout", "needs_ocr", F.inline_outer(F.array(single, chosen)))
 
 
 _CELLS = f"""{_READ}, modes AS (SELECT *, 'single' AS mode FROM costed UNION ALL SELECT *, 'routed' FROM costed),

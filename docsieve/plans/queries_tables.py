@@ -14,7 +14,6 @@ from docsieve.sources import tables as T
 
 INVOICE = load_definition("invoice")
 SLUGS = ("invoice", "purchase_order")
-NOW = F.lit(views.NOW).cast("timestamp_ntz")
 TS = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 DBL = lambda c: F.col(c).cast("double") if isinstance(c, str) else c.cast("double")
 SQL_TS = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
@@ -296,7 +295,7 @@ _TASKS = f"{_EXTR}, tasks AS (SELECT sha256('task:' || extraction_id) AS task_id
 def ensure_review_tasks(spark, sf):
     extractions = _extractions(spark, sf)
     existing = extractions.where(F.col("extraction_id") % 4 == 0).select("extraction_id")
-    tasks = review.ensure_review_tasks(extractions, existing, NOW)
+    tasks = review.ensure_review_tasks(extractions, existing, F.lit(views.NOW).cast("timestamp_ntz"))
     return tasks.select("task_id", "extraction_id", TS("sla_due_at").alias("due"), F.array_join("flagged_fields", ",").alias("flagged"))
 
 
