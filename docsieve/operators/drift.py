@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docsieve.definition import load_settings
 from docsieve.operators import windows
+from docsieve.session import cut
 
 # The direction in which each signal is bad, and the 0/1 signals.
 DIRECTION = {"doc_confidence": "down", "validation_failure": "up", "text_distance": "up"}
@@ -172,7 +173,8 @@ class DriftPlan:
         self.keys, self.doc, self.order, self.stream = list(keys), doc, order, stream
         self.baseline = baseline_slice(stream, self.keys, order)
         self.later = stream.join(self.baseline.select(doc), doc, "left_anti")
-        self.profiles = text_profile(stream, doc, self.keys)
+        # Read by the running distance, the centroid and the frozen distance: written once, tokens are counted once.
+        self.profiles = cut(text_profile(stream, doc, self.keys))
         self.centers = centroid(self.profiles, self.baseline, self.keys, doc)
         early = running_distance(self.profiles, self.baseline, self.keys, doc)
         late = frozen_distance(self.profiles, self.centers, self.later, self.keys, doc)

@@ -64,15 +64,17 @@ def _fuzzy_scores():
     return F.pandas_udf(score, T.ArrayType(T.DoubleType()))
 
 
-def grounded_scores(needles: Column, haystack: Column) -> Column:
+def missing_needles(needles: Column, haystack: Column) -> Column:
+    """The squashed values that are not literally in the squashed text; the others become NULL."""
+    return F.transform(needles, lambda n: F.when((n != "") & (haystack != "") & ~F.contains(haystack, n), n))
+
+
+def grounded_scores(needles: Column, missed: Column, haystack: Column) -> Column:
     """D1 for an array of squashed values against one squashed text.
 
     Containment is decided in the JVM. Only the values that miss travel to the
     Arrow worker; a document whose values are all on the page sends NULLs.
     """
-    missed = F.transform(
-        needles, lambda n: F.when((n != "") & (haystack != "") & ~F.contains(haystack, n), n)
-    )
     any_missed = F.exists(missed, lambda n: n.isNotNull())
     fuzzy = _fuzzy_scores()(F.when(any_missed, missed), F.when(any_missed, haystack))
 
@@ -85,7 +87,8 @@ def grounded_scores(needles: Column, haystack: Column) -> Column:
 
 def groundedness(value: Column, text: Column) -> Column:
     """D1 for one value of one document."""
-    return F.get(grounded_scores(F.array(squash(value)), squash(text)), F.lit(0))
+    needles, haystack = F.array(squash(value)), squash(text)
+    return F.get(grounded_scores(needles, missing_needles(needles, haystack), haystack), F.lit(0))
 
 
 def _squashed(form: str) -> str:
@@ -221,7 +224,9 @@ def with_signals(
             ),
         }
     )
-    out = out.withColumn("_grounded", grounded_scores(F.col("_needles"), F.col("_squashed")))
+    needles, haystack = F.col("_needles"), F.col("_squashed")
+    out = out.withColumn("_missed", missing_needles(needles, haystack))
+    out = out.withColumn("_grounded", grounded_scores(needles, F.col("_missed"), haystack))
     at = 1
     for name in definition.text_fields:
         parts[f"{name}_grounded"] = F.try_element_at("_grounded", F.lit(at))
@@ -230,9 +235,9 @@ def with_signals(
     for table in definition.table_fields:
         cells = F.size(F.coalesce(rec[table], F.array())) * len(definition.text_columns(table))
         scores = F.slice("_grounded", start, cells)
-        total = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s)
+        mean = bind(scores, lambda x: F.aggregate(x, F.lit(0.0), lambda a, s: a + s) / F.size(x))
         parts[f"{table}_grounded_min"] = F.coalesce(F.array_min(scores), F.lit(1.0))
-        parts[f"{table}_grounded_mean"] = F.when(cells > 0, F.bround(total / cells, 4)).otherwise(F.lit(1.0))
+        parts[f"{table}_grounded_mean"] = F.when(cells > 0, F.bround(mean, 4)).otherwise(F.lit(1.0))
         start = start + cells
     for name in definition.grounded_enums:
         forms = definition.fields[name].surface_forms
@@ -247,4 +252,4 @@ def with_signals(
     worst = F.least(*terms) if len(terms) > 1 else (terms[0] if terms else F.lit(None).cast("double"))
     parts["payment_term"] = worst
     out = with_prefixed(out, "ev", parts)
-    return out.drop("_squashed", "_dates", "_term", "_needles", "_grounded")
+    return out.drop("_squashed", "_dates", "_term", "_needles", "_missed", "_grounded")

@@ -33,6 +33,7 @@ def load() -> tuple[dict[str, Query], dict[str, str]]:
         queries_records,
         queries_tables,
         queries_drift,
+        queries_streams,
         queries_study,
     )
 
