@@ -143,6 +143,32 @@ def inconsistent_rows(record: Column, definition: Definition) -> dict[str, Colum
     return {rule.params["items"]: bad_rows(rule, record) for rule in definition.row_rules}
 
 
+def long_form_rules(headers: DataFrame, rows: DataFrame, definition: Definition, doc: str = "doc_id") -> DataFrame:
+    """C1 and C4 for tables stored one row per line, of any length.
+
+    Nothing is collected per document: sums and counts of bad rows are mergeable
+    aggregates, so a document with very many rows is reduced before the shuffle.
+    `headers` has the scalar fields as columns, `rows` the columns of the table.
+    """
+    aggregates = []
+    for rule in definition.rules:
+        if rule.type == "sum_equals":
+            aggregates.append(F.sum(F.col(rule.params["item_field"]).cast(TOTAL)).alias(f"_{rule.name}"))
+        elif rule.per_row:
+            left, right = (F.col(f) for f in rule.params["factors"])
+            miss = F.abs((left * right).cast(_ROW_MISS) - F.col(rule.params["result"]))
+            aggregates.append(F.count_if(F.coalesce(miss > _tolerance(rule), F.lit(True))).alias(f"_{rule.name}"))
+    out = headers.join(rows.groupBy(doc).agg(*aggregates), doc, "left")
+    for rule in definition.rules:
+        if rule.type == "sum_equals":
+            total = F.coalesce(F.col(f"_{rule.name}"), F.lit(0).cast(TOTAL))
+            passed = strict(F.abs(total - F.col(rule.params["target"])) <= _tolerance(rule))
+            out = out.withColumn(rule.name, passed).drop(f"_{rule.name}")
+        elif rule.per_row:
+            out = out.withColumn(f"{rule.name}_bad", F.coalesce(F.col(f"_{rule.name}"), F.lit(0))).drop(f"_{rule.name}")
+    return out
+
+
 # Document states, the states that need no more work, and the stage that resumes the others.
 STATUSES = (
     "received", "parsing", "parsed", "extracting", "extracted",

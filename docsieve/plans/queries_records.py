@@ -349,6 +349,30 @@ def residuals(spark, sf):
     )
 
 
+@query(
+    f"""WITH {O.CUSTOMERS},{O.ITEMS} SELECT o_orderkey AS doc_id, coalesce(i.subtotal, 0) + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END = coalesce(i.subtotal, 0) AS sums_up,
+        coalesce(b.bad, 0) AS bad_rows FROM orders LEFT JOIN items i ON o_orderkey = i.l_orderkey
+        LEFT JOIN (SELECT l_orderkey, count(*) FILTER (WHERE l_linenumber % 3 = 0) AS bad FROM lines GROUP BY 1) b ON o_orderkey = b.l_orderkey"""
+)
+def long_form_rules(spark, sf):
+    """Sum and row rules over line tables, without building one array per document."""
+    part = views.table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").cast("decimal(18,4)").alias("unit_price"))
+    lines = views.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_quantity").cast("decimal(18,4)").alias("quantity"))
+    exact = (F.col("quantity") * F.col("unit_price")).cast("decimal(18,4)")
+    rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("doc_id"), "quantity", "unit_price", exact.alias("amount"), "l_linenumber"
+    )
+    sums = rows.groupBy("doc_id").agg(F.sum("amount").alias("total"))
+    extra = F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
+    headers = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")).join(sums, "doc_id", "left").select(
+        "doc_id", (F.coalesce("total", F.lit(0)) + extra).cast("decimal(18,4)").alias("subtotal")
+    )
+    summed = rules.long_form_rules(headers, rows, INVOICE).select("doc_id", F.col("line_items_sum_to_subtotal").alias("sums_up"))
+    broken = rows.withColumn("quantity", F.when(F.col("l_linenumber") % 3 != 0, F.col("quantity")))
+    rowwise = rules.long_form_rules(headers, broken, INVOICE).select("doc_id", F.col("row_arithmetic_bad").alias("bad_rows"))
+    return summed.join(rowwise, "doc_id")
+
+
 _ALL_RULES = " AND ".join(f"({s})" for s in SQL_RULES.values())
 
 

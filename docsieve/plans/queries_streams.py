@@ -44,7 +44,7 @@ def observe(spark, sf):
     return long.withColumn("z", F.round("z", 4) + F.lit(0.0))
 
 
-@query(f"WITH {Q._SIGNALS}, f AS (SELECT tenant_id, min(doc_id) AS first_flagged FROM runs WHERE consecutive >= 3 GROUP BY 1) SELECT s.tenant_id, count(*) AS n_observed, CASE WHEN max(first_flagged) IS NOT NULL THEN 'drifting' ELSE 'stable' END AS status, max(first_flagged) AS first_flagged FROM stream s LEFT JOIN f ON s.tenant_id = f.tenant_id GROUP BY 1")
+@query(f"WITH {Q._SIGNALS}, f AS (SELECT tenant_id, min(doc_id) AS first_flagged FROM runs WHERE consecutive >= 3 GROUP BY 1) SELECT s.tenant_id, count(*) AS n_observed, CASE WHEN max(first_flagged) IS NOT NULL THEN 'drifting' WHEN count(*) < 50 THEN 'baseline' ELSE 'stable' END AS status, max(first_flagged) AS first_flagged FROM stream s LEFT JOIN f ON s.tenant_id = f.tenant_id GROUP BY 1")
 def observe_status(spark, sf):
     """M7 / M8: the last state of each stream and the document that raised the flag."""
     seen = drain(spark, stream_drift.observe(replay(spark, Q.stream(spark, sf), "drift")), "observed")
