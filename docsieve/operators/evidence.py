@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from docsieve.definition import Definition
 from docsieve.functions.tables import with_prefixed
-from docsieve.functions.values import bind, squash
+from docsieve.functions.values import SPACES, bind, squash
 from docsieve.operators import rules
 
 # Thresholds and word lists of the evidence signals.
@@ -118,7 +118,7 @@ def dates_in_text(text: Column) -> Column:
     def named(printed: Column) -> Column:
         month = lambda words: F.try_element_at(month_of, F.lower(F.get(words, F.lit(0)))).cast("string")
         read = lambda words: as_date(F.get(words, F.lit(2)), month(words), F.get(words, F.lit(1)))
-        return bind(F.split(F.regexp_replace(printed, "[.,]", " "), "(?U)\\s+"), read)
+        return bind(F.split(F.regexp_replace(printed, "[.,]", " "), SPACES), read)
 
     numeric = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(NUMERIC_DATE), F.lit(0)), both))
     by_name = F.transform(F.regexp_extract_all(text, F.lit(MONTH_NAME_DATE), F.lit(0)), named)
@@ -148,7 +148,7 @@ def corroborate_payment_term(earlier: Column, later: Column, term: Column) -> Co
 
 
 def _tokens(value: Column) -> Column:
-    return F.filter(F.split(value, "(?U)\\s+"), lambda t: t != "")
+    return F.filter(F.split(value, SPACES), lambda t: t != "")
 
 
 def looks_fragmented(value: Column) -> Column:
@@ -165,7 +165,7 @@ def looks_fragmented(value: Column) -> Column:
 def shape_flags(value: Column) -> tuple[Column, Column]:
     """D9 for text: token count, and whether the value is implausibly short."""
     text = F.coalesce(value, F.lit(""))
-    return F.size(_tokens(text)), F.length(F.regexp_replace(text, "^(?U)\\s+|\\s+$", "")) < 2
+    return F.size(_tokens(text)), F.length(F.regexp_replace(text, f"^{SPACES}|{SPACES}$", "")) < 2
 
 
 def nonpositive(value: Column) -> Column:

@@ -18,7 +18,7 @@ PURCHASE = load_definition("purchase_order")
 DAY = lambda c: F.date_format(c, "yyyy-MM-dd")
 DBL = lambda c: c.cast("double")
 
-_WS = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SQL_SQUASH = lambda v: f"replace(lower(regexp_replace({v}, '{_WS}+', '', 'g')), 'ß', 'ss')"
 
 
