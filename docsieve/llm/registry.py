@@ -14,9 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from docsieve.llm import quality_rules, sharding, token_counts
+    from docsieve.llm import near_duplicates, quality_rules, sharding, token_counts
 
-    modules = [sharding, quality_rules, token_counts]
+    modules = [sharding, near_duplicates, quality_rules, token_counts]
     queries = {name: run for m in modules for name, run in m.QUERIES.items()}
     oracles = {name: sql for m in modules for name, sql in m.ORACLES.items()}
     return queries, oracles
