@@ -9,7 +9,7 @@ Every passage of every document is a query. Passages are two neighbouring halves
 equal length, at least as long as the longest item, so each item inside a document lies
 inside one passage. For a slice of documents the block bounds of all passages are added up at once;
 only (passage, block) pairs whose bound reaches 1 are scored item by item,
-and only items that reach 1 are verified. No other pair can reach the threshold, so
+and only items that reach 1 are verified. Words are compared without marks and in lower case. No other pair can reach the threshold, so
 the result equals a full scan. Verification takes the item apart into a question (all
 but the last sentence) and an answer (the last sentence; the second half
 of an item of one sentence) and asks for a share of the five-word runs of each.
@@ -40,6 +40,8 @@ K1, B = 1.2, 0.75
 WIDTH = 5
 BLOCK = 4
 HALF_WORDS = 64
+#: Words are runs of ASCII letters, digits and all other characters beyond ASCII.
+SEPARATOR = ~arrays.byte_class(bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 #: Bytes of item text whose index is sent to the tasks at once.
 GROUP_BYTES = 8 << 20
 
@@ -48,7 +50,7 @@ def text_words(texts: list[str]) -> list[np.ndarray]:
     """The word hashes of each text, A-Z lower-cased."""
     data, offsets = arrays.text_bytes(pa.array(texts, pa.string()))
     data = arrays.LOWER[data]
-    starts, ends, owner = arrays.spans(data, offsets, arrays.SEPARATOR)
+    starts, ends, owner = arrays.spans(data, offsets, SEPARATOR)
     hashes = arrays.span_hashes(data, starts, ends)
     return np.split(hashes, np.searchsorted(owner, np.arange(1, len(texts)))) if texts else []
 
@@ -126,7 +128,7 @@ def searcher(index: Index, half_words: int, overlap: float, kind: pa.DataType) -
         for batch in arrays.slices(batches, "text"):
             data, offsets = arrays.text_bytes(batch.column("text"))
             data = arrays.LOWER[data]
-            starts, ends, owner = arrays.spans(data, offsets, arrays.SEPARATOR)
+            starts, ends, owner = arrays.spans(data, offsets, SEPARATOR)
             if not len(starts):
                 continue
             hashes = arrays.span_hashes(data, starts, ends)
@@ -171,7 +173,7 @@ def searcher(index: Index, half_words: int, overlap: float, kind: pa.DataType) -
 
 def words_of(text: str) -> F.Column:
     lower = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lower, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.filter(F.split(lower, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
