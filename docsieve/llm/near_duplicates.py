@@ -15,7 +15,7 @@ Steps, each on distributed tables:
    in the first round, eight times as many in each further one. Every class is paired with the
    centres of other components. Near copies collapse onto the first centre,
    so the work is linear in a bucket of copies.
-3. A pair whose one-bit signatures differ more than the threshold allows (six standard
+3. A pair whose two-bit signatures differ more than the threshold allows (4.5 standard
    deviations) is dropped inside the join; every other new pair is verified on its full
    sets, once.
 4. Verified links are joined into components. From the second round on, a
@@ -41,22 +41,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsieve.llm import arrays
+from docsieve.llm import arrays, bloom
 from docsieve.llm.registry import table
 from docsieve.session import cut
 
 WIDTH = 5
 #: Chance that a pair at the threshold shares no band.
 MISS = 1e-5
-#: Standard deviations beyond which a pair is dropped on its signatures alone.
-DEVIATIONS = 6
+#: Standard deviations beyond which a pair is dropped on its signatures alone (a chance of 3 in a million).
+DEVIATIONS = 4.5
+#: Coordinates of a signature, at least; the bands use as many of them as they need. Two bits of each are compared.
+COORDINATES = 320
+LOW_BITS = 0x5555555555555555
 #: Centres of a bucket grow by this factor from round to round.
 GROWTH = 8
 
 
 def banding(similarity: float) -> tuple[int, int]:
     """Rows of a band and number of bands for a similarity in (0, 1]."""
-    rows = 8 if similarity >= 0.9 else 6
+    rows = 8 if similarity >= 0.9 else 6 if similarity >= 0.7 else 4
     return rows, math.ceil(math.log(MISS) / math.log(1 - min(similarity, 0.99) ** rows))
 
 
@@ -116,11 +119,16 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 SET_SALT = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
-def class_key(members: np.ndarray) -> str | None:
+def class_key(members: np.ndarray) -> bytes | None:
     """A 128-bit key of a set of hashes; null for the empty set."""
     if not len(members):
         return None
-    return f"{int(arrays.mix(members).sum(dtype=np.uint64)):016x}{int(arrays.mix(members ^ SET_SALT).sum(dtype=np.uint64)):016x}"
+    sums = [arrays.mix(m).sum(dtype=np.uint64) for m in (members, members ^ SET_SALT)]
+    return np.array(sums, np.uint64).tobytes()
+
+
+def coordinates(rows: int, bands: int) -> int:
+    return max(COORDINATES, rows * bands)
 
 
 def lists(values: np.ndarray, has: np.ndarray) -> pa.Array:
@@ -131,23 +139,24 @@ def lists(values: np.ndarray, has: np.ndarray) -> pa.Array:
 
 
 def sketcher(text: str, rows: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The other columns with class, set size, one bit of each coordinate, and band values."""
-    words = -(-rows * bands // 64)
+    """The other columns with class, set size, two bits of each coordinate, and band values."""
+    size = coordinates(rows, bands)
+    words = -(-2 * size // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.slices(batches, text, 2 << 20):
             hashes, counts = shingles(batch.column(text))
             sets = distinct_sets(hashes, counts)
-            sign = signatures(hashes, counts, rows * bands)
+            sign = signatures(hashes, counts, size)
             band = np.zeros((len(sign), bands), np.uint64) + arrays.mix(np.arange(1, bands + 1, dtype=np.uint64))
             for j in range(rows):
-                band += arrays.mix(sign[:, j::rows].astype(np.uint64) + np.uint64(1)) * (arrays.BYTE_VALUE[j] | np.uint64(1))
+                band += arrays.mix(sign[:, j : rows * bands : rows].astype(np.uint64) + np.uint64(1)) * (arrays.BYTE_VALUE[j] | np.uint64(1))
             bits = np.zeros((len(sign), words * 64), np.uint8)
-            bits[:, : rows * bands] = sign & 1
+            bits[:, : 2 * size : 2], bits[:, 1 : 2 * size : 2] = sign & 1, sign >> 1 & 1
             names = [x for x in batch.schema.names if x != text]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(x) for x in names] + [
-                    pa.array([class_key(s) for s in sets], pa.string()),
+                    pa.array([class_key(s) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     lists(np.packbits(bits, axis=1).view(np.int64), counts > 0),
                     lists(arrays.mix(band).view(np.int64), counts > 0),
@@ -158,32 +167,43 @@ def sketcher(text: str, rows: int, bands: int) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
-def set_maker(text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Class and sorted set of each text."""
+def differing(left: str, right: str, words: int) -> Column:
+    """Coordinates in which two signatures differ."""
+    def word(i: int) -> Column:
+        x = F.col(left)[i].bitwiseXOR(F.col(right)[i])
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(LOW_BITS)))
+
+    return sum((word(i) for i in range(1, words)), word(0))
+
+
+def set_maker(wanted: bloom.Filter | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Class and sorted set of each wanted text, once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.slices(batches, text, 2 << 20):
-            sets = distinct_sets(*shingles(batch.column(text)))
-            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([class_key(s) for s in sets], pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["class", "members"],
-            )
+        seen: set[bytes | None] = {None}
+        for batch in batches:
+            if wanted:
+                keys = batch.column("_key").to_numpy()
+                batch = batch.filter(pa.array(wanted.hit(keys, arrays.mix(keys.view(np.uint64)))))
+            for part in arrays.slices([batch], "text", 2 << 20):
+                found = {}
+                for members in distinct_sets(*shingles(part.column("text"))):
+                    key = class_key(members)
+                    if key not in seen:
+                        seen.add(key)
+                        found[key] = members
+                if found:
+                    ends = np.cumsum([0, *map(len, found.values())], dtype=np.int32)
+                    flat = np.concatenate(list(found.values())).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["class", "members"])
 
     return run
 
 
-def intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with the sizes of their sets' intersection and union."""
+def hash_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = batch.column("left"), batch.column("right")
-        sizes = []
-        for i in range(batch.num_rows):
-            a, b = left[i].values.to_numpy(), right[i].values.to_numpy()
-            common = int(np.isin(a, b, assume_unique=True).sum())
-            sizes.append((common, len(a) + len(b) - common))
-        common, union = np.array(sizes, np.int64).reshape(-1, 2).T
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common), pa.array(union)], ["a", "b", "common", "all"])
+        keys = batch.column("_key").to_numpy()
+        yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(arrays.mix(keys.view(np.uint64)).view(np.int64))], ["h1", "h2"])
 
 
 def text_key(key: str, text: str) -> Column:
@@ -191,13 +211,22 @@ def text_key(key: str, text: str) -> Column:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(nodes.select("class", "_key"), "class").withColumnRenamed("class", "_class")
-    texts = docs.select(text_key(key, text).alias("_key"), F.col(text).alias("text")).join(wanted, "_key").select("text")
-    sets = cut(texts.mapInArrow(set_maker("text"), "class string, members array<long>").join(wanted.select(F.col("_class").alias("class")), "class", "left_semi").dropDuplicates(["class"]))
+    """The pairs (a, b) whose full sets are similar enough.
+
+    The texts are read again. A Bloom filter of the wanted rows keeps all others from being
+    worked on and shuffled; beyond `bloom.MAX_BYTES` the wanted rows are joined instead.
+    """
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(nodes.select("class", "_key"), "class").select("class", "_key"))
+    size, hashes = bloom.bits_for(wanted.count(), 0.005)
+    texts = docs.select(text_key(key, text).alias("_key"), F.col(text).alias("text"))
+    if size // 8 <= bloom.MAX_BYTES:
+        held = bloom.build(wanted.select("_key").mapInArrow(hash_pairs, "h1 long, h2 long"), 0, size, hashes)
+    else:
+        held, texts = None, texts.join(wanted.select("_key").distinct(), "_key", "left_semi")
+    sets = texts.mapInArrow(set_maker(held), "class binary, members array<long>").dropDuplicates(["class"])
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("left")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("right")), "b")
-    sizes = both.select("a", "b", "left", "right").mapInArrow(intersections, "a string, b string, common long, all long")
-    return sizes.where(100 * F.col("common") >= percent * F.col("all")).select("a", "b")
+    sizes = both.select("a", "b", (F.size("left") + F.size("right")).alias("total"), F.size(F.array_intersect("left", "right")).alias("common"))
+    return sizes.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -221,15 +250,15 @@ def components(links: DataFrame) -> DataFrame:
 def link(sketches: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """class, root for every class that has a link to another one."""
     rows, bands = banding(percent / 100)
-    size = rows * bands
+    size = coordinates(rows, bands)
     nodes = cut(sketches.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("_key").alias("_key"), F.first("bits").alias("bits"), F.first("bands").alias("bands")))
     member = nodes.select("class", F.explode("bands").alias("bucket"))
     crowded = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     live = cut(member.join(crowded, "bucket"))
     degree = live.groupBy("class").agg(F.sum("n").alias("degree"))
-    # agreeing bits have probability (1 + similarity) / 2
-    share = (1 + percent / 100) / 2
-    most = size - math.floor(size * share - DEVIATIONS * math.sqrt(size * share * (1 - share)))
+    # two bits of a coordinate differ in three of four cases where the coordinate differs
+    share = 0.75 * (1 - percent / 100)
+    most = math.ceil(size * share + DEVIATIONS * math.sqrt(size * share * (1 - share)))
     marked = nodes.select("class", "bits").join(degree, "class")
     roots, links, seen, quota, waiting = None, None, None, 1, True
     while True:
@@ -247,8 +276,8 @@ def link(sketches: DataFrame, docs: DataFrame, key: str, text: str, percent: int
             order = Window.partitionBy("bucket").orderBy(F.desc("degree"), "class")
             centres = outside.withColumn("at", F.row_number().over(order)).where(F.col("at") <= quota)
         centres = centres.select("bucket", F.col("class").alias("centre"), F.col("root").alias("other"), F.col("bits").alias("centre_bits"))
-        differing = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("centre_bits")[i])) for i in range(-(-size // 64))), F.lit(0))
-        pairs = placed.join(centres, "bucket").where((F.col("root") != F.col("other")) & (differing <= most)).select(
+        apart = differing("bits", "centre_bits", -(-2 * size // 64))
+        pairs = placed.join(centres, "bucket").where((F.col("root") != F.col("other")) & (apart <= most)).select(
             F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b"),
         ).distinct()
         if seen is not None:
@@ -274,7 +303,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     rows, bands = banding(percent / 100)
     kind = docs.schema[key].dataType.simpleString()
     sketches = cut(docs.select(F.col(key).alias("doc_id"), text_key(key, text).alias("_key"), F.col(text).alias("text")).mapInArrow(
-        sketcher("text", rows, bands), f"doc_id {kind}, _key long, class string, n_shingles long, bits array<long>, bands array<long>",
+        sketcher("text", rows, bands), f"doc_id {kind}, _key long, class binary, n_shingles long, bits array<long>, bands array<long>",
     ))
     roots = link(sketches, docs, key, text, percent)
     classes = sketches.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first"))

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsieve.llm import bloom
 from docsieve.llm.registry import table
 from docsieve.session import cut
 
@@ -40,9 +41,8 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-#: Mistakes of every filter but the first, and the hash functions that this takes.
-LATER_RATE, LATER_HASHES = 1 / 16, 4
-MAX_BYTES = 64 << 20
+#: Mistakes of every filter but the first.
+LATER_RATE = 1 / 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -66,83 +66,30 @@ def key_hashes(host: Column, path: Column) -> list[Column]:
     return [F.xxhash64(host, path).alias("h1"), F.xxhash64(F.lit("second"), path, host).alias("h2")]
 
 
-def positions(h1: np.ndarray, h2: np.ndarray, level: int, size: int, hashes: int) -> np.ndarray:
-    """Bit positions of each key, one column for each hash function."""
-    step = (np.arange(hashes, dtype=np.uint64) + np.uint64(level * 64 + 1))[None, :]
-    mixed = h1.view(np.uint64)[:, None] + step * (h2.view(np.uint64)[:, None] | np.uint64(1))
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
-    return mixed % np.uint64(size)
-
-
-def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
-
-
-def bit_maker(level: int, size: int, hashes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = positions(*columns(batch), level, size, hashes).ravel()
-            words, where = np.unique(at >> np.uint64(6), return_inverse=True)
-            masks = np.zeros(len(words), np.uint64)
-            np.bitwise_or.at(masks, where, np.uint64(1) << (at & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(masks.view(np.int64))], ["word", "mask"])
-
-    return run
-
-
-class Level:
-    """One filter of the cascade."""
-
-    def __init__(self, number: int, words: np.ndarray, size: int, hashes: int):
-        self.number, self.words, self.size, self.hashes = number, words, size, hashes
-
-    def hit(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        at = positions(h1, h2, self.number, self.size, self.hashes)
-        return ((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
-
-
-def hits(level: Level) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(level.hit(*columns(batch))))
-
-    return run
-
-
-def filter_size(keys: int, rate: float) -> tuple[int, int]:
-    """Bits and hash functions for so many keys at this rate of mistakes."""
-    return max(64, math.ceil(-keys * math.log(rate) / math.log(2) ** 2)), max(1, round(-math.log2(rate)))
-
-
-def build_cascade(universe: DataFrame, max_bytes: int) -> list[Level] | None:
+def build_cascade(universe: DataFrame, max_bytes: int) -> list[bloom.Filter] | None:
     """The filters over distinct keys (h1, h2, listed); none if nothing is listed, null if they are larger than `max_bytes`."""
     sides = [cut(universe.where(flag).select("h1", "h2")) for flag in (F.col("listed"), ~F.col("listed"))]
     counts = [side.count() for side in sides]
-    levels: list[Level] = []
+    levels: list[bloom.Filter] = []
     if not counts[0]:
         return levels
     rate = min(0.5, math.sqrt(0.5) * counts[0] / max(1, counts[1]))
     used = 0
     while True:
         own, other = len(levels) % 2, 1 - len(levels) % 2
-        size, hashes = filter_size(counts[own], rate)
+        size, hashes = bloom.bits_for(counts[own], rate)
         used += size // 8
         if used > max_bytes:
             return None
-        bits = sides[own].mapInArrow(bit_maker(len(levels), size, hashes), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-        words = np.zeros(size // 64 + 1, np.uint64)
-        words[bits["word"].to_numpy()] = bits["mask"].to_numpy().view(np.uint64)
-        levels.append(Level(len(levels), words, size, hashes))
-        sides[other] = cut(sides[other].mapInArrow(hits(levels[-1]), "h1 long, h2 long"))
+        levels.append(bloom.build(sides[own], len(levels), size, hashes))
+        sides[other] = cut(sides[other].mapInArrow(bloom.keeper(levels[-1]), "h1 long, h2 long"))
         counts[other] = sides[other].count()
         if not counts[other]:
             return levels
         rate = LATER_RATE
 
 
-def is_listed(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+def is_listed(levels: list[bloom.Filter], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     """Membership of keys of the universe: the first filter that refuses a key tells its side."""
     out = np.full(len(h1), len(levels) % 2 == 1)
     open_rows = np.arange(len(h1))
@@ -153,17 +100,17 @@ def is_listed(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray
     return out
 
 
-def marker(levels: list[Level]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def marker(levels: list[bloom.Filter]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = [n for n in batch.schema.names if n not in ("h1", "h2")]
-            marks = pa.array(is_listed(levels, *columns(batch)))
+            marks = pa.array(is_listed(levels, *bloom.columns(batch)))
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [marks], [*names, "listed"])
 
     return run
 
 
-def judge(pages: DataFrame, listed: Column, key: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+def judge(pages: DataFrame, listed: Column, key: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] | None = None, max_bytes: int = bloom.MAX_BYTES) -> DataFrame:
     """page_id, host, path, rule and verdict of each page; `listed` marks the pages whose keys make up the list."""
     kind = pages.schema[key].dataType.simpleString()
     host, path = host_and_path(F.col(url))
