@@ -10,18 +10,17 @@ Steps, each on distributed tables:
 
 1. Documents with equal sets are one class (128-bit hash of the set); only
    classes go on, so copies never meet each other.
-2. Rounds over the buckets (one band value each) that hold several components. A
-   bucket names centres, the classes that share most crowded buckets first: one
-   in the first round, eight times as many in each further one. Every class is paired with the
-   centres of other components. Near copies collapse onto the first centre,
-   so the work is linear in a bucket of copies.
+2. First round: a bucket (one band value) with several classes names as its centre the class that
+   shares most crowded buckets; a class is paired with the best centre of
+   its buckets. Near copies collapse onto their centre with one pair each.
 3. A pair whose two-bit signatures differ more than the threshold allows (4.5 standard
    deviations) is dropped inside the join; every other new pair is verified on its full
-   sets, once.
-4. Verified links are joined into components. From the second round on, a
-   bucket's centres are taken from outside its largest component. Once all
-   classes outside it were centres in one round, every pair across components has been compared and
-   the bucket is settled. The rounds end when all buckets are.
+   sets, once. Verified links are joined into components.
+4. Further rounds look at buckets that hold several components. There all classes outside
+   the largest component become centres (`QUOTA` of them in the first such round, as
+   many times more in each next one) and are paired with the classes of other components, each
+   pair in the first bucket that it shares. Once no bucket has more outside classes
+   than centres, every pair across components has been compared and the rounds end.
 
 Nothing is collected; no group is held in one task.
 
@@ -53,8 +52,8 @@ DEVIATIONS = 4.5
 #: Coordinates of a signature, at least; the bands use as many of them as they need. Two bits of each are compared.
 COORDINATES = 320
 LOW_BITS = 0x5555555555555555
-#: Centres of a bucket grow by this factor from round to round.
-GROWTH = 8
+#: Centres of a bucket in the second round; they grow by this factor from round to round.
+QUOTA = 64
 
 
 def banding(similarity: float) -> tuple[int, int]:
@@ -231,68 +230,84 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for every node of a link, by alternating large and small stars."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    state = None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        edges = cut(small)
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = cut(small.select("e.u", "e.v").where("u != v").distinct())
+        # done when all edges are stars: no centre has an edge of its own
+        if edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def close(percent: int, size: int) -> Column:
+    """Whether the signatures `bits` and `other_bits` may belong to a pair at the threshold."""
+    # two bits of a coordinate differ in three of four cases where the coordinate differs
+    share = 0.75 * (1 - percent / 100)
+    most = math.ceil(size * share + DEVIATIONS * math.sqrt(size * share * (1 - share)))
+    return differing("bits", "other_bits", -(-2 * size // 64)) <= most
+
+
+def first_round(live: DataFrame, marked: DataFrame) -> DataFrame:
+    """Each class with the best centre of its buckets, and both signatures."""
+    centres = live.join(marked.select("class", "degree"), "class").groupBy("bucket").agg(F.max(F.struct("degree", "class")).alias("c"))
+    best = live.select("bucket", "class").join(centres, "bucket").groupBy("class").agg(F.max("c")["class"].alias("other")).where("class != other")
+    signed = marked.select("class", "bits")
+    return best.join(signed, "class").join(signed.select(F.col("class").alias("other"), F.col("bits").alias("other_bits")), "other")
+
+
+def further_round(live: DataFrame, marked: DataFrame, roots: DataFrame, bands: int, quota: int) -> tuple[DataFrame, bool]:
+    """Pairs across the components of a bucket with both signatures, and whether some bucket has more classes outside its main component."""
+    named = marked.select("class", "degree").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    placed = live.select("bucket", "class").join(named, "class")
+    shares = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    split = shares.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("all"), F.max("n").alias("most")).where("roots > 1")
+    placed = cut(placed.join(split.select("bucket", "main", (F.col("all") - F.col("most")).alias("outside")), "bucket"))
+    waiting = not placed.where(F.col("outside") > quota).isEmpty()
+    order = Window.partitionBy("bucket").orderBy(F.desc("degree"), "class")
+    centres = placed.where("root != main").withColumn("at", F.row_number().over(order)).where(F.col("at") <= quota)
+    signed = marked.select("class", "bits", "marks")
+    left = placed.select("bucket", "class", "root").join(signed, "class")
+    right = centres.select("bucket", "class", "root").join(signed, "class").select(
+        "bucket", F.col("class").alias("other"), F.col("root").alias("other_root"), F.col("bits").alias("other_bits"), F.col("marks").alias("other_marks"),
+    )
+    # a pair is met in the first bucket that both share
+    shared = F.coalesce(*(F.when(F.col("marks")[i] == F.col("other_marks")[i], F.col("marks")[i]) for i in range(bands)))
+    return left.join(right, "bucket").where((F.col("root") != F.col("other_root")) & (shared == F.shiftright("bucket", 32).cast("int"))), waiting
 
 
 def link(sketches: DataFrame, docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """class, root for every class that has a link to another one."""
+    """node (a class) and root for every class that has a link to another one."""
     rows, bands = banding(percent / 100)
     size = coordinates(rows, bands)
     nodes = cut(sketches.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("_key").alias("_key"), F.first("bits").alias("bits"), F.first("bands").alias("bands")))
     member = nodes.select("class", F.explode("bands").alias("bucket"))
     crowded = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     live = cut(member.join(crowded, "bucket"))
-    degree = live.groupBy("class").agg(F.sum("n").alias("degree"))
-    # two bits of a coordinate differ in three of four cases where the coordinate differs
-    share = 0.75 * (1 - percent / 100)
-    most = math.ceil(size * share + DEVIATIONS * math.sqrt(size * share * (1 - share)))
-    marked = nodes.select("class", "bits").join(degree, "class")
-    roots, links, seen, quota, waiting = None, None, None, 1, True
+    # the upper half of a band value marks it well enough for comparing the bands of two classes
+    marks = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("marks")
+    marked = cut(nodes.select("class", "bits", marks).join(live.groupBy("class").agg(F.sum("n").alias("degree")), "class"))
+    links, roots, seen, quota, waiting = None, None, None, QUOTA, True
     while True:
-        named = marked.withColumn("root", F.col("class")) if roots is None else marked.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        placed = live.select("bucket", "class").join(named, "class")
         if roots is None:
-            centres = placed.groupBy("bucket").agg(F.max(F.struct("degree", "class", "root", "bits")).alias("c")).select("bucket", "c.class", "c.root", "c.bits")
+            met = first_round(live, marked)
         else:
-            # classes of a bucket's largest component need not be centres: all others are compared with them
-            shares = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-            split = shares.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("bucket", "main")
-            placed = cut(placed.join(split, "bucket"))
-            outside = placed.where("root != main")
-            waiting = not outside.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > quota).isEmpty()
-            order = Window.partitionBy("bucket").orderBy(F.desc("degree"), "class")
-            centres = outside.withColumn("at", F.row_number().over(order)).where(F.col("at") <= quota)
-        centres = centres.select("bucket", F.col("class").alias("centre"), F.col("root").alias("other"), F.col("bits").alias("centre_bits"))
-        apart = differing("bits", "centre_bits", -(-2 * size // 64))
-        pairs = placed.join(centres, "bucket").where((F.col("root") != F.col("other")) & (apart <= most)).select(
-            F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b"),
-        ).distinct()
+            met, waiting = further_round(live, marked, roots, bands, quota)
+            quota *= QUOTA
+        pairs = met.where(close(percent, size)).select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        if not pairs.isEmpty():
+        if roots is None or not pairs.isEmpty():
             found = verified(pairs, nodes, docs, key, text, percent)
             links = cut(found if links is None else links.unionByName(found))
             seen = pairs if seen is None else seen.unionByName(pairs)
             roots = components(links)
-        elif roots is None:
-            roots = components(pairs)
         if not waiting:
-            return roots.select(F.col("node").alias("class"), "root")
-        quota *= GROWTH
+            return roots
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -305,7 +320,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     sketches = cut(docs.select(F.col(key).alias("doc_id"), text_key(key, text).alias("_key"), F.col(text).alias("text")).mapInArrow(
         sketcher("text", rows, bands), f"doc_id {kind}, _key long, class binary, n_shingles long, bits array<long>, bands array<long>",
     ))
-    roots = link(sketches, docs, key, text, percent)
+    roots = link(sketches, docs, key, text, percent).withColumnRenamed("node", "class")
     classes = sketches.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first"))
     classes = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("smallest"))
