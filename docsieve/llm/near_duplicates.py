@@ -310,8 +310,8 @@ def link(sketches: DataFrame, docs: DataFrame, key: str, text: str, percent: int
             return roots
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, _key, class, n_shingles and component_id.
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, groups: bool = False) -> DataFrame:
+    """One row per document: doc_id, _key, class, n_shingles and component_id; with `groups`, root (a class, null for empty sets) instead of component_id.
 
     `_key` is `text_key` of the row, for joining the result to the documents.
     """
@@ -323,6 +323,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     roots = link(sketches, docs, key, text, percent).withColumnRenamed("node", "class")
     classes = sketches.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first"))
     classes = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    if groups:
+        return sketches.select("doc_id", "_key", "class", "n_shingles").join(classes.select("class", "root"), "class", "left")
     smallest = classes.groupBy("root").agg(F.min("first").alias("smallest"))
     named = classes.join(smallest, "root").select("class", "smallest")
     return sketches.select("doc_id", "_key", "class", "n_shingles").join(named, "class", "left").select(

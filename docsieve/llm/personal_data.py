@@ -240,6 +240,23 @@ def collector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [pa.array(bases, SPAN), pa.array(found, ZONE)], [*names, "base", "zones"])
 
 
+def zone_maker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Zones alone."""
+    for batch in batches:
+        found = [[{"start": s, "text": t} for s, t in zones(value or "")] for value in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(found, ZONE)], ["zones"])
+
+
+def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with every span replaced by its kind; overlapping spans become one, named after the first."""
+    out, at = [], 0
+    for start, end, kind in sorted(spans):
+        if start >= at:
+            out += [text[at:start], f"<{kind.upper()}>"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def finder(tagger: Tagger) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Replaces base and zones by all spans."""
 

@@ -72,10 +72,10 @@ def measure(column: pa.Array) -> list[np.ndarray]:
     return [np.bincount(owner, minlength=n), *counts, lines, duplicates, repeats, *tail]
 
 
-def measurer(text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def measurer(text: str, keep_text: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.slices(batches, text):
-            kept = [i for i, name in enumerate(batch.schema.names) if name != text]
+            kept = [i for i, name in enumerate(batch.schema.names) if keep_text or name != text]
             columns = [batch.column(i) for i in kept] + [pa.array(x.astype(np.int64)) for x in measure(batch.column(text))]
             yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[i] for i in kept] + MEASURES)
 
