@@ -42,13 +42,19 @@ def text_profile(stream: DataFrame, doc: str, keep: Sequence[str] = (), dim: int
     return raw.withColumn("weight", F.col("weight") / norm).drop("n")
 
 
-def cosine_distance(left: DataFrame, right: DataFrame, on: Sequence[str], ids: tuple[str, str]) -> DataFrame:
-    """M2 for sparse profiles that share the columns `on` (bucket among them): 1 - cosine, clamped to [0, 2]."""
+def cosine_distance(pairs: DataFrame, left: DataFrame, right: DataFrame, on: Sequence[str], ids: tuple[str, str]) -> DataFrame:
+    """M2 for the given pairs of sparse profiles (id, bucket columns `on`, weight): 1 - cosine, clamped to [0, 2].
+
+    Profiles without a common bucket are 1 apart; an empty or zero profile is 0 apart from all.
+    """
     a, b = ids
+    wanted = pairs.select(a, b).distinct()
     norms = lambda df, i, n: df.groupBy(i).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias(n))
-    pairs = left.join(right.withColumnRenamed("weight", "_w"), list(on)).groupBy(a, b).agg(F.sum(F.col("weight") * F.col("_w")).alias("dot"))
-    scaled = pairs.join(norms(left, a, "_na"), a).join(norms(right, b, "_nb"), b)
-    distance = F.lit(1.0) - F.col("dot") / (F.col("_na") * F.col("_nb"))
+    common = wanted.join(left.select(a, *on, "weight"), a).join(right.select(b, *on, F.col("weight").alias("_w")), [b, *on])
+    dots = common.groupBy(a, b).agg(F.sum(F.col("weight") * F.col("_w")).alias("dot"))
+    scaled = wanted.join(norms(left, a, "_na"), a, "left").join(norms(right, b, "_nb"), b, "left").join(dots, [a, b], "left")
+    lengths = F.coalesce(F.col("_na") * F.col("_nb"), F.lit(0.0))
+    distance = F.when(lengths == 0, 0.0).otherwise(F.lit(1.0) - F.coalesce("dot", F.lit(0.0)) / F.nullif(lengths, F.lit(0.0)))
     return scaled.select(a, b, F.greatest(F.lit(0.0), F.least(F.lit(2.0), distance)).alias("distance"))
 
 

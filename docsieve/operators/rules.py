@@ -58,7 +58,7 @@ def _date_order(rule: Rule, record: Column) -> Column:
 
 
 def _regex(rule: Rule, record: Column) -> Column:
-    return record[rule.params["field"]].cast("string").rlike(f"^(?:{rule.params['pattern']})$")
+    return record[rule.params["field"]].cast("string").rlike(f"\\A(?:{rule.params['pattern']})\\z")
 
 
 def required_fields(record: Column, definition: Definition, names: tuple[str, ...]) -> Column:

@@ -81,12 +81,14 @@ def text_profile(spark, sf):
     return drift.text_profile(stream(spark, sf), "doc_id").select("doc_id", "bucket", F.round("weight", 9).alias("weight"))
 
 
-@query(f"WITH {_DISTANCE}, mean AS (SELECT tenant_id, bucket, mean_weight AS w FROM center) SELECT a.tenant_id AS left_id, b.tenant_id AS right_id, round(greatest(0.0::DOUBLE, 1 - sum(a.w * b.w) / ((SELECT sqrt(sum(w * w)) FROM mean WHERE tenant_id = a.tenant_id) * (SELECT sqrt(sum(w * w)) FROM mean WHERE tenant_id = b.tenant_id))), 6) + 0.0 AS distance FROM mean a JOIN mean b USING (bucket) GROUP BY 1, 2")
+@query(f"WITH {_DISTANCE}, own AS (SELECT doc_id, tenant_id, bucket, weight FROM profile), size AS (SELECT doc_id, sqrt(sum(weight * weight)) AS n FROM own GROUP BY 1), clen AS (SELECT tenant_id, sqrt(sum(mean_weight * mean_weight)) AS n FROM center GROUP BY 1), hit AS (SELECT doc_id, sum(weight * mean_weight) AS dot FROM own JOIN center USING (tenant_id, bucket) GROUP BY 1) SELECT s.doc_id, round(greatest(0.0::DOUBLE, least(2.0::DOUBLE, CASE WHEN coalesce(size.n * clen.n, 0) = 0 THEN 0.0::DOUBLE ELSE 1 - coalesce(dot, 0.0::DOUBLE) / (size.n * clen.n) END)), 6) + 0.0 AS distance FROM stream s LEFT JOIN size USING (doc_id) LEFT JOIN clen USING (tenant_id) LEFT JOIN hit USING (doc_id)")
 def cosine_distance(spark, sf):
-    """Distances between the frozen centroids of all keys."""
-    centers = cut(plan(spark, sf).centers).select("tenant_id", "bucket", F.col("mean_weight").alias("weight"))
-    left, right = centers.withColumnRenamed("tenant_id", "left_id"), centers.withColumnRenamed("tenant_id", "right_id")
-    return drift.cosine_distance(left, right, ["bucket"], ("left_id", "right_id")).withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+    """Distance of every document's profile to the frozen centroid of its key."""
+    drifted = plan(spark, sf)
+    centers = drifted.centers.select("tenant_id", "bucket", F.col("mean_weight").alias("weight"))
+    profiles = drifted.profiles.select("doc_id", "bucket", "weight")
+    pairs = drifted.stream.select("doc_id", "tenant_id")
+    return drift.cosine_distance(pairs, profiles, centers, ["bucket"], ("doc_id", "tenant_id")).select("doc_id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
 
 
 @query(f"WITH {_STREAM} SELECT tenant_id, doc_id, pos AS rank FROM stream WHERE pos <= 50")

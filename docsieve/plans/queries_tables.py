@@ -403,13 +403,17 @@ def _stored(spark, sf):
     return views.document_rows(spark, sf).withColumn("last_error", F.when(F.col("doc_id") % 2 == 0, "boom"))
 
 
+def _now():
+    return F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
+
+
 def _sweep(spark, sf):
-    return triage.stranded_documents(_stored(spark, sf), F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"), 60)
+    return triage.stranded_documents(_stored(spark, sf), _now())
 
 
 _STRANDED = f"""{O.DOCS}, stranded AS (SELECT *, CASE WHEN status IN ('received','parsing') THEN 'parse' ELSE 'extract' END AS stage, CASE WHEN doc_id % 2 = 0 THEN 'boom' END AS last_error FROM
   (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY updated_at, doc_id) AS rn FROM docs
-   WHERE status NOT IN ('approved','needs_review','needs_ocr','failed','extracted') AND updated_at < TIMESTAMP '2024-01-01 11:45:00') WHERE rn <= 60)"""
+   WHERE status NOT IN ('approved','needs_review','needs_ocr','failed','extracted') AND updated_at < TIMESTAMP '2024-01-01 11:45:00'))"""
 
 
 @query(f"WITH {_STRANDED} SELECT doc_id, tenant_id, stage FROM stranded")
@@ -417,9 +421,9 @@ def stranded_documents(spark, sf):
     return _sweep(spark, sf).select("doc_id", "tenant_id", "stage")
 
 
-@query(f"WITH {_STRANDED} SELECT tenant_id, rn AS rank, doc_id FROM stranded")
+@query(f"WITH {_STRANDED} SELECT tenant_id, rn AS rank, doc_id FROM stranded WHERE rn <= 60")
 def stale_top_n(spark, sf):
-    return _sweep(spark, sf).select("tenant_id", F.col("_rank").cast("bigint").alias("rank"), "doc_id")
+    return triage.stale_top_n(_stored(spark, sf), _now(), 60).select("tenant_id", F.col("_rank").cast("bigint").alias("rank"), "doc_id")
 
 
 _PLAN = f"""{_STRANDED}, plan AS (SELECT *, CASE WHEN status = 'budget_exceeded' AND tenant_id IN ('en', 'fr') THEN 'skipped_budget'
@@ -470,7 +474,7 @@ def status_guard(spark, sf):
     return triage.status_guard(views.document_rows(spark, sf).withColumn("stage", stage)).select("doc_id")
 
 
-@query(f"WITH {O.DOCS} SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND status NOT IN ('approved','needs_review','needs_ocr','failed','extracted') THEN substr('parse: ' || text, 1, 2000) WHEN doc_id % 2 = 0 THEN 'boom' END AS last_error, CASE WHEN doc_id % 6 = 0 AND status NOT IN ('approved','needs_review','needs_ocr','failed','extracted') THEN 'failed' ELSE status END AS status FROM docs")
+@query(f"WITH {O.DOCS} SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND status NOT IN ('approved','needs_review','needs_ocr','failed','extracted') THEN 'parse: ' || text WHEN doc_id % 2 = 0 THEN 'boom' END AS last_error, CASE WHEN doc_id % 6 = 0 AND status NOT IN ('approved','needs_review','needs_ocr','failed','extracted') THEN 'failed' ELSE status END AS status FROM docs")
 def failure_stamp(spark, sf):
     docs = _stored(spark, sf)
     errors = docs.where(F.col("doc_id") % 3 == 0).select("doc_id", F.lit("parse").alias("stage"), F.col("text").alias("error"), (F.col("doc_id") % 6 == 0).alias("final"))
