@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsieve.operators import windows
 from docsieve.session import cut, scratch_table
@@ -40,7 +41,8 @@ def fold_segments(
     segment = F.floor((F.col("_pos") - 1) / F.lit(segment_rows)).cast("int")
     path = scratch_table(df.sparkSession, "fold")
     placed.withColumn("_segment", segment).write.partitionBy("_segment").parquet(path)
-    stored = df.sparkSession.read.parquet(path)
+    kinds = T.StructType([*placed.schema, T.StructField("_segment", T.IntegerType())])
+    stored = df.sparkSession.read.schema(kinds).parquet(path)
     last = stored.agg(F.max("_segment")).first()[0]
     done, carried = None, None
     for i in range((last or 0) + 1):
@@ -50,12 +52,9 @@ def fold_segments(
             part = part.withColumns({s: F.lit(None).cast(types[s]) for s in state})
         else:
             part = part.join(carried, list(keys), "left")
-        out = part.groupBy(*keys).applyInPandas(fold, out_schema)
-        if last:
-            out = cut(out)
-            final = out.groupBy(*keys).agg(F.max_by(F.struct(*state), F.col("_pos")).alias("_s")).select(*keys, "_s.*")
-            kept = final if carried is None else final.unionByName(carried.join(final.select(*keys), list(keys), "left_anti"))
-            carried = cut(kept)
+        out = cut(part.groupBy(*keys).applyInPandas(fold, out_schema))
+        final = out.groupBy(*keys).agg(F.max_by(F.struct(*state), F.col("_pos")).alias("_s")).select(*keys, "_s.*")
+        carried = cut(final if carried is None else final.unionByName(carried.join(final.select(*keys), list(keys), "left_anti")))
         done = out if done is None else done.unionByName(out)
     return done
 
@@ -63,20 +62,28 @@ def fold_segments(
 def budget_replay(log: DataFrame, budgets: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Replay reserve / settle / release rows per tenant in `seq` order.
 
-    A reservation is granted iff spent + reserved stays within the budget. Up to
+    A reservation is granted iff spent + reserved stays within the budget; a tenant
+    without a budget gets nothing granted. A reservation is closed once: its first settle or
+    release behind it counts if it was granted, all further ones change nothing. Up to
     the first reservation that would not fit, everything is granted and spent is
     a running sum; only the rows from there on are folded, because a refusal
     does not add. Columns: tenant_id, seq, kind, reserve_seq, reserved, actual.
     """
     amount = "decimal(18,6)"
+    reserve = F.col("kind") == "reserve"
+    earlier = Window.partitionBy("tenant_id", "reserve_seq").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.coalesce(F.count_if(reserve).over(earlier), F.lit(0)) > 0
+    log = log.withColumn("_closes", F.when(~reserve, known & (F.coalesce(F.count_if(~reserve & (F.col("seq") > F.col("reserve_seq"))).over(earlier), F.lit(0)) == 0)))
     delta = (
-        F.when(F.col("kind") == "reserve", F.col("reserved"))
+        F.when(reserve, F.col("reserved"))
+        .when(~F.col("_closes"), F.lit(0))
         .when(F.col("kind") == "settle", F.col("actual") - F.col("reserved"))
         .otherwise(-F.col("reserved"))
     ).cast(amount)
-    opened = F.when(F.col("kind") == "reserve", 1).otherwise(-1)
+    opened = F.when(reserve, 1).when(F.col("_closes"), -1).otherwise(0)
     run = windows.running(log, ["tenant_id"], ["seq"], sums={"_spent": delta, "_open": opened})
-    run = run.join(budgets.select("tenant_id", F.col("budget_usd").cast(amount).alias("budget_usd")), "tenant_id")
+    run = run.join(budgets.select("tenant_id", F.col("budget_usd").cast(amount).alias("budget_usd")), "tenant_id", "left")
+    run = run.withColumn("budget_usd", F.coalesce("budget_usd", F.lit(-1).cast(amount)))
     run = cut(run.withColumn("_spent", F.col("_spent").cast(amount)))
     too_much = (F.col("kind") == "reserve") & (F.col("_spent") > F.col("budget_usd"))
     first = run.where(too_much).groupBy("tenant_id").agg(F.min("seq").alias("_stop"))
@@ -93,7 +100,7 @@ def budget_replay(log: DataFrame, budgets: DataFrame, segment_rows: int = SEGMEN
         *[(F.col(c) * 1000000).cast("bigint").alias(c) for c in ("reserved", "actual", "budget_usd")],
         (F.coalesce("start_spent", F.lit(0)) * 1000000).cast("bigint").alias("start_spent"),
         F.coalesce("start_open", F.lit(0)).alias("start_open"),
-        (F.col("reserve_seq") < F.col("_stop")).alias("before_stop"),
+        (F.col("reserve_seq") < F.col("_stop")).alias("before_stop"), "_closes",
     )
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -104,18 +111,18 @@ def budget_replay(log: DataFrame, budgets: DataFrame, segment_rows: int = SEGMEN
         unsettled = int(head["start_open"] if fresh else head["state_open"])
         waiting = set() if fresh or not head["state_waiting"] else {int(x) for x in head["state_waiting"].split(",")}
         out = []
-        for r in rows.itertuples(index=False):
+        for r in rows.rename(columns={"_closes": "closes"}).itertuples(index=False):
             ok = None
             if r.kind == "reserve":
                 ok = spent + int(r.reserved) <= int(r.budget_usd)
                 if ok:
                     spent, unsettled = spent + int(r.reserved), unsettled + 1
                     waiting.add(int(r.seq))
-            elif r.before_stop or int(r.reserve_seq) in waiting:
+            elif r.closes and (r.before_stop or int(r.reserve_seq) in waiting):
                 waiting.discard(int(r.reserve_seq))
                 paid = int(r.actual) if r.kind == "settle" else 0
                 spent, unsettled = max(spent + paid - int(r.reserved), 0), max(unsettled - 1, 0)
-            out.append((r.tenant_id, r.seq, r.kind, ok, spent / 1e6, unsettled, r._pos if hasattr(r, "_pos") else 0, spent, unsettled))
+            out.append((r.tenant_id, r.seq, r.kind, ok, spent / 1e6, unsettled, 0, spent, unsettled))
         done = pd.DataFrame(out, columns=["tenant_id", "seq", "kind", "granted", "spent_usd", "unsettled", "_pos", "state_spent", "state_open"])
         done["granted"] = done["granted"].astype(object)
         done["_pos"] = rows["_pos"].to_numpy()

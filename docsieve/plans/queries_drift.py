@@ -148,10 +148,30 @@ def budgets(spark, sf):
     return views.usage(spark, sf).select("tenant_id").distinct().withColumn("budget_usd", cap)
 
 
-@query()
+_REPLAY = f"""RECURSIVE {O.USAGE.strip()}, calls AS (
+  SELECT event_id, tenant_id, input_tokens * CASE WHEN tier = 'frontier' THEN 5 ELSE 1 END + 8192 * CASE WHEN tier = 'frontier' THEN 25 ELSE 5 END AS reserved,
+    input_tokens * CASE WHEN tier = 'frontier' THEN 5 ELSE 1 END + output_tokens * CASE WHEN tier = 'frontier' THEN 25 ELSE 5 END AS actual FROM usage
+), log AS (
+  SELECT tenant_id, event_id * 2 AS seq, 'reserve' AS kind, event_id * 2 AS rs, reserved, actual FROM calls
+  UNION ALL SELECT tenant_id, (event_id + 60) * 2 + 1, CASE WHEN event_id % 9 = 0 THEN 'release' ELSE 'settle' END, event_id * 2, reserved, actual FROM calls
+), steps AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY seq) AS pos, CASE WHEN tenant_id = 't5' THEN 1000 WHEN tenant_id = 't9' THEN -1 ELSE substr(tenant_id, 2, 1)::BIGINT + 1 END * 1000000 AS cap FROM log
+), fold AS (
+  SELECT tenant_id, 0::BIGINT AS pos, 0::BIGINT AS seq, '' AS kind, NULL::BOOLEAN AS granted, 0::BIGINT AS spent, 0::BIGINT AS unsettled, []::BIGINT[] AS waiting FROM (SELECT DISTINCT tenant_id FROM log)
+  UNION ALL
+  SELECT s.tenant_id, s.pos, s.seq, s.kind, CASE WHEN s.kind = 'reserve' THEN f.spent + reserved <= cap END,
+    CASE WHEN s.kind = 'reserve' THEN CASE WHEN f.spent + reserved <= cap THEN f.spent + reserved ELSE f.spent END
+         WHEN list_contains(f.waiting, rs) THEN f.spent - reserved + CASE WHEN s.kind = 'settle' THEN actual ELSE 0 END ELSE f.spent END,
+    CASE WHEN s.kind = 'reserve' THEN f.unsettled + CASE WHEN f.spent + reserved <= cap THEN 1 ELSE 0 END WHEN list_contains(f.waiting, rs) THEN f.unsettled - 1 ELSE f.unsettled END,
+    CASE WHEN s.kind = 'reserve' THEN CASE WHEN f.spent + reserved <= cap THEN list_append(f.waiting, rs) ELSE f.waiting END ELSE list_filter(f.waiting, lambda x: x <> rs) END
+  FROM fold f JOIN steps s ON s.tenant_id = f.tenant_id AND s.pos = f.pos + 1
+)"""
+
+
+@query(f"WITH {_REPLAY} SELECT tenant_id, seq, kind, granted, spent / 1000000 AS spent_usd, unsettled FROM fold WHERE pos > 0")
 def budget_replay(spark, sf):
-    """Greedy admission in order; compared with a plain fold in the tests."""
-    return admission.budget_replay(budget_log(spark, sf), budgets(spark, sf))
+    """Greedy admission in order; one tenant has no budget."""
+    return admission.budget_replay(budget_log(spark, sf), budgets(spark, sf).where("tenant_id <> 't9'"))
 
 
 def bucket_requests(spark, sf):
@@ -162,10 +182,21 @@ def bucket_requests(spark, sf):
     )
 
 
-@query()
+_BUCKET = """RECURSIVE asked AS MATERIALIZED (
+  SELECT 't' || (user_id % 10) AS tenant_id, event_id AS seq, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id % 10 ORDER BY epoch_us(ts), event_id) AS pos FROM events
+), bucket AS (
+  SELECT tenant_id, 0::BIGINT AS pos, 0::BIGINT AS seq, false AS allowed, 3.0::DOUBLE AS available, 3.0::DOUBLE AS tokens, min(t) AS touched FROM asked GROUP BY 1
+  UNION ALL
+  SELECT tenant_id, pos, seq, have >= 1, have, CASE WHEN have >= 1 THEN have - 1 ELSE tokens END, CASE WHEN have >= 1 THEN t ELSE touched END
+  FROM (SELECT a.tenant_id, a.pos, a.seq, a.t, b.tokens, b.touched, least(b.tokens + (a.t - b.touched) * (0.02::DOUBLE / 60.0::DOUBLE), 3.0::DOUBLE) AS have FROM bucket b JOIN asked a ON a.tenant_id = b.tenant_id AND a.pos = b.pos + 1)
+)"""
+
+
+@query(f"WITH {_BUCKET} SELECT tenant_id, seq, allowed, round(CASE WHEN allowed THEN tokens ELSE available END, 6) AS tokens_left, CASE WHEN allowed THEN 0.0::DOUBLE ELSE round(round((1 - available) / (0.02::DOUBLE / 60.0::DOUBLE), 2), 1) END AS retry_after FROM bucket WHERE pos > 0")
 def token_bucket(spark, sf):
-    """A bucket slow enough to refuse some requests; compared with a plain fold in the tests."""
-    return admission.token_bucket(bucket_requests(spark, sf), rate_per_minute=0.02, burst=3.0)
+    """A bucket slow enough to refuse some requests."""
+    out = admission.token_bucket(bucket_requests(spark, sf), rate_per_minute=0.02, burst=3.0)
+    return out.select("tenant_id", "seq", "allowed", F.round("tokens_left", 6).alias("tokens_left"), F.round("retry_after", 1).alias("retry_after"))
 
 
 @query(
