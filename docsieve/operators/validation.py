@@ -22,11 +22,43 @@ def _unreadable(column: FieldSpec):
     return lambda row: row[column.name].isNotNull() & norm_by_kind(row[column.name], column.kind).isNull()
 
 
+def _listed(keys: Column) -> Column:
+    names = F.array_join(F.transform(F.array_sort(keys), lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", ")
+    return F.concat(F.lit("additional properties are not allowed ("), names, F.lit(")"))
+
+
+def _row_errors(name: str, items: dict, cell: Column) -> Column:
+    """Errors of the rows of a table (a variant), row by row: its type, undeclared and missing columns, types of cells."""
+    props = items.get("properties", {})
+
+    def of_row(row: Column, at: Column) -> Column:
+        path = F.concat(F.lit(f"ValidationError: {name}/"), at.cast("string"))
+        whole = F.startswith(F.schema_of_variant(row), F.lit("OBJECT"))
+        cells = F.try_variant_get(row, "$", "map<string,variant>")
+        keys = F.coalesce(F.map_keys(cells), F.array().cast("array<string>"))
+        checks = [F.when(~whole, F.concat(path, F.lit(": not of type 'object'")))]
+        if items.get("additionalProperties") is False:
+            extra = F.array_except(keys, F.array(*[F.lit(p) for p in props]))
+            checks.append(F.when(whole & (F.size(extra) > 0), F.concat(path, F.lit(": "), _listed(extra))))
+        for column in items.get("required", []):
+            checks.append(F.when(whole & ~F.array_contains(keys, column), F.concat(path, F.lit(f": '{column}' is a required property"))))
+        for column, prop in props.items():
+            value = F.try_element_at(cells, F.lit(column))
+            wrong = whole & F.array_contains(keys, column) & (F.schema_of_variant(value) != "STRING")
+            if prop.get("type") == "string":
+                checks.append(F.when(wrong, F.concat(path, F.lit(f"/{column}: not of type 'string'"))))
+        return F.array_compact(F.array(*checks))
+
+    rows = F.try_variant_get(cell, "$", "array<variant>")
+    return F.coalesce(F.flatten(F.transform(rows, of_row)), F.array().cast("array<string>"))
+
+
 def validate_payload(df: DataFrame, definition: Definition, payload: str = "payload") -> DataFrame:
     """Add `errors` (empty when valid) and `record` (NULL when not).
 
     Shape errors come first: not an object, undeclared or missing properties,
-    wrong types, enum values and empty strings; then values that cannot be read.
+    wrong types, enum values and empty strings; then the same inside each row of a table,
+    with the row's position in the path; then values that cannot be read.
     """
     schema = definition.schema
     props, required = schema.get("properties", {}), schema.get("required", [])
@@ -42,11 +74,9 @@ def validate_payload(df: DataFrame, definition: Definition, payload: str = "payl
     raw, cells = F.col("_raw"), F.col("_cells")
     known = F.array(*[F.lit(p) for p in props])
     extra = F.array_except("_keys", known)
-    checks = []
+    checks, row_checks = [], []
     if schema.get("additionalProperties") is False:
-        listed = F.array_join(F.transform(F.array_sort(extra), lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", ")
-        message = F.concat(F.lit("additional properties are not allowed ("), listed, F.lit(")"))
-        checks.append(_error("<root>", message, F.size(extra) > 0))
+        checks.append(_error("<root>", _listed(extra), F.size(extra) > 0))
     for name in required:
         checks.append(_error("<root>", f"'{name}' is a required property", ~F.array_contains("_keys", name)))
     for name, prop in props.items():
@@ -63,6 +93,9 @@ def validate_payload(df: DataFrame, definition: Definition, payload: str = "payl
                 checks.append(_error(name, "'' should be non-empty", has & ~wrong & (F.length(value) < prop["minLength"])))
         elif prop["type"] == "array":
             checks.append(_error(name, "not of type 'array'", has & ~F.startswith(kind, F.lit("ARRAY"))))
+            if prop.get("items", {}).get("type") == "object":
+                row_checks.append(_row_errors(name, prop["items"], F.try_element_at(cells, F.lit(name))))
+    shape_checks, checks = checks, []
     for name, spec in definition.fields.items():
         if spec.kind in _KIND_ERRORS:
             unread = raw[name].isNotNull() & norm_by_kind(raw[name], spec.kind).isNull()
@@ -73,7 +106,7 @@ def validate_payload(df: DataFrame, definition: Definition, payload: str = "payl
                     unread = F.exists(raw[name], _unreadable(column))
                     checks.append(_error(f"{name}/{column.name}", _KIND_ERRORS[column.kind], unread, "ValueError"))
     shape = F.when(F.col("_keys").isNull(), F.array(F.lit("ValidationError: <root>: not a JSON object"))).otherwise(
-        F.array_compact(F.array(*checks))
+        F.concat(F.array_compact(F.array(*shape_checks)), *row_checks, F.array_compact(F.array(*checks)))
     )
     out = out.withColumn("errors", shape)
     record = F.when(F.size("errors") == 0, normalize_record(raw, definition))

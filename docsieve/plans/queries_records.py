@@ -183,27 +183,36 @@ def _payloads(spark, sf):
     key = F.col("doc_id")
     raw = _raw_records(spark, sf).withColumn("json", F.to_json("raw"))
     spoiled = (
-        F.when(key % 11 == 0, F.lit("not json"))
-        .when(key % 11 == 1, F.regexp_replace("json", '"currency":"[A-Z]+"', '"currency":"XXX"'))
-        .when(key % 11 == 2, F.regexp_replace("json", '"vendor":"[^"]*"', '"vendor":""'))
-        .when(key % 11 == 3, F.regexp_replace("json", '"vendor":"[^"]*",', ""))
-        .when(key % 11 == 4, F.regexp_replace("json", '^\\{', '{"note":"x",'))
-        .when(key % 11 == 5, F.regexp_replace("json", '"due_date":"[^"]*"', '"due_date":"31.02.2026"'))
-        .when(key % 11 == 6, F.regexp_replace("json", '"total":"[^"]*"', '"total":12'))
+        F.when(key % 15 == 0, F.lit("not json"))
+        .when(key % 15 == 1, F.regexp_replace("json", '"currency":"[A-Z]+"', '"currency":"XXX"'))
+        .when(key % 15 == 2, F.regexp_replace("json", '"vendor":"[^"]*"', '"vendor":""'))
+        .when(key % 15 == 3, F.regexp_replace("json", '"vendor":"[^"]*",', ""))
+        .when(key % 15 == 4, F.regexp_replace("json", '^\\{', '{"note":"x",'))
+        .when(key % 15 == 5, F.regexp_replace("json", '"due_date":"[^"]*"', '"due_date":"31.02.2026"'))
+        .when(key % 15 == 6, F.regexp_replace("json", '"total":"[^"]*"', '"total":12'))
+        .when(key % 15 == 7, F.replace("json", F.lit('"line_items":[{'), F.lit('"line_items":[{"color":"red",')))
+        .when(key % 15 == 8, F.regexp_replace("json", '"quantity":"[^"]*",', ""))
+        .when(key % 15 == 9, F.regexp_replace("json", '"quantity":"[^"]*"', '"quantity":7'))
+        .when(key % 15 == 10, F.replace("json", F.lit('"line_items":[{'), F.lit('"line_items":["stray",{')))
         .otherwise(F.col("json"))
     )
     return raw.select("doc_id", spoiled.alias("payload"))
 
 
 @query(
-    """SELECT o_orderkey AS doc_id, o_orderkey % 11 > 6 AS valid, CASE o_orderkey % 11
+    """SELECT o_orderkey AS doc_id, fault > 10 AS valid, CASE fault
          WHEN 0 THEN 'ValidationError: <root>: not a JSON object'
          WHEN 1 THEN 'ValidationError: currency: ''XXX'' is not one of the allowed values'
          WHEN 2 THEN 'ValidationError: vendor: '''' should be non-empty'
          WHEN 3 THEN 'ValidationError: <root>: ''vendor'' is a required property'
          WHEN 4 THEN 'ValidationError: <root>: additional properties are not allowed (''note'')'
          WHEN 5 THEN 'ValueError: due_date: unparseable date'
-         WHEN 6 THEN 'ValidationError: total: not of type ''string''' END AS error FROM orders"""
+         WHEN 6 THEN 'ValidationError: total: not of type ''string'''
+         WHEN 7 THEN 'ValidationError: line_items/0: additional properties are not allowed (''color'')'
+         WHEN 8 THEN 'ValidationError: line_items/0: ''quantity'' is a required property'
+         WHEN 9 THEN 'ValidationError: line_items/0/quantity: not of type ''string'''
+         WHEN 10 THEN 'ValidationError: line_items/0: not of type ''object''' END AS error
+       FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 15 > 6 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) THEN 11 ELSE o_orderkey % 15 END AS fault FROM orders)"""
 )
 def validate_payload(spark, sf):
     checked = validation.validate_payload(_payloads(spark, sf), INVOICE)
