@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,9 @@ MISS = 1e-5
 #: Standard deviations beyond which a pair is dropped on its signatures alone (a chance of 3 in a million).
 DEVIATIONS = 4.5
 #: Coordinates of a signature, at least; the bands use as many of them as they need. Two bits of each are compared.
-COORDINATES = 320
+COORDINATES = 1024
+#: Rows of an Arrow batch while texts are read, so that batches of long texts stay small.
+BATCH_ROWS = 2000
 LOW_BITS = 0x5555555555555555
 #: Centres of a bucket in the second round; they grow by this factor from round to round.
 QUOTA = 64
@@ -315,6 +318,23 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
 
     `_key` is `text_key` of the row, for joining the result to the documents.
     """
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _find(docs, key, text, percent, groups)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller Arrow batches for the jobs run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _find(docs: DataFrame, key: str, text: str, percent: int, groups: bool) -> DataFrame:
     rows, bands = banding(percent / 100)
     kind = docs.schema[key].dataType.simpleString()
     sketches = cut(docs.select(F.col(key).alias("doc_id"), text_key(key, text).alias("_key"), F.col(text).alias("text")).mapInArrow(
