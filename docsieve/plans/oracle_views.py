@@ -49,7 +49,6 @@ _IMPOSTORS = (
     "'Calder & Vance AG','Tessellate Partners KG','Ironwood Supply Co.']"
 )
 ALL_CLASSES = ("arithmetic_drift", "wrong_vendor", "truncated_vendor", "transposed_line_amounts", "shifted_date")
-TRACEABLE = ("arithmetic_drift", "transposed_line_amounts", "shifted_date")
 
 
 def faulty(classes: tuple[str, ...] = ALL_CLASSES) -> str:
@@ -120,7 +119,7 @@ PRINTED = f"""
     END, chr(10))"""
 
 
-def faulty_text(classes: tuple[str, ...] = TRACEABLE) -> str:
+def faulty_text(classes: tuple[str, ...] = ALL_CLASSES) -> str:
     """`ft`: faulty records beside the page of their clean version."""
     return f"{faulty(classes)}, ft AS MATERIALIZED (SELECT *, {PRINTED} AS text FROM faulty)"
 

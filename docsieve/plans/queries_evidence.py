@@ -17,13 +17,30 @@ MODEL = load_confidence_model()
 FIELDS = list(INVOICE.fields)
 
 
-def signals(spark, sf, classes=views.TRACEABLE):
+def signals(spark, sf, classes=views.ERROR_CLASSES):
     return evidence.with_signals(views.faulty_records(spark, sf, classes, text=True), INVOICE)
 
 
-@query()
+_FIND = """list_reverse_sort(flatten(list_transform(range({alo}, {ahi} - 2), lambda i: list_filter(list_transform(range(3, {ahi} - i + 1),
+  lambda k: {{'k': k, 'left': -i, 'at': instr(substr(hay, {blo} + 1, {bhi} - {blo}), substr(needle, i + 1, k))}}), lambda c: c.at > 0))))[1]"""
+#: Vendors that are not on the page: the longest common block, then the same left and right of it, blocks of three characters at least.
+SQL_ALIGNED = f"""RECURSIVE {O.faulty_text()}, missing AS MATERIALIZED (SELECT doc_id, {SQL_SQUASH('vendor')} AS needle, {SQL_SQUASH('text')} AS hay FROM ft
+  WHERE NOT contains({SQL_SQUASH('text')}, {SQL_SQUASH('vendor')})
+), blocks AS (
+  SELECT doc_id, needle, hay, 0::BIGINT AS blo, 0::BIGINT AS alo, length(needle)::BIGINT AS ahi, length(hay)::BIGINT AS bhi,
+    {_FIND.format(alo='0', ahi='length(needle)', blo='0', bhi='length(hay)')} AS b FROM missing
+  UNION ALL
+  SELECT doc_id, needle, hay, blo, alo, ahi, bhi, {_FIND.format(alo='alo', ahi='ahi', blo='blo', bhi='bhi')} FROM (
+    SELECT doc_id, needle, hay, CASE side WHEN 0 THEN blo ELSE blo + b.at - 1 + b.k END AS blo, CASE side WHEN 0 THEN alo ELSE b.k - b.left END AS alo,
+      CASE side WHEN 0 THEN -b.left ELSE ahi END AS ahi, CASE side WHEN 0 THEN blo + b.at - 1 ELSE bhi END AS bhi
+    FROM blocks, (VALUES (0), (1)) s(side) WHERE b IS NOT NULL)
+  WHERE ahi - alo >= 3 AND bhi - blo >= 3
+), aligned AS MATERIALIZED (SELECT doc_id, round_even(least(1.0::DOUBLE, coalesce(sum(b.k), 0)::DOUBLE / max(length(needle))), 4) AS score FROM blocks GROUP BY 1)"""
+
+
+@query(f"WITH {SQL_ALIGNED} SELECT doc_id, coalesce(score, 1.0::DOUBLE) AS vendor, 1.0::DOUBLE AS invoice_number FROM ft LEFT JOIN aligned USING (doc_id)")
 def groundedness(spark, sf):
-    """All fault classes: invented and truncated names take the fuzzy path. Checked against difflib in the tests."""
+    """All fault classes: invented and truncated names take the fuzzy path."""
     ev = scoring.EV
     return signals(spark, sf, views.ERROR_CLASSES).select(
         "doc_id", ev["vendor_grounded"].alias("vendor"), ev["invoice_number_grounded"].alias("invoice_number")
@@ -66,7 +83,7 @@ def _with_mixed_currency(df):
           WHEN 'USD' THEN CASE WHEN contains(sq, '$') OR contains(sq, 'usd') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS score FROM c"""
 )
 def enum_grounding(spark, sf):
-    df = _with_mixed_currency(views.faulty_records(spark, sf, views.TRACEABLE, text=True))
+    df = _with_mixed_currency(views.faulty_records(spark, sf, text=True))
     forms = INVOICE.fields["currency"].surface_forms
     score = evidence.enum_grounding(F.col("currency"), F.col("sq"), forms)
     return df.withColumn("sq", squash(F.col("text"))).select("doc_id", score.alias("score"))
@@ -100,7 +117,7 @@ def SQL_DATE_SCORE(value: str) -> str:
         FROM ft"""
 )
 def dates_in_text(spark, sf):
-    df = views.faulty_records(spark, sf, views.TRACEABLE, text=True)
+    df = views.faulty_records(spark, sf, text=True)
     dates = F.transform(evidence.dates_in_text(F.col("text")), lambda d: F.date_format(d, "yyyy-MM-dd"))
     return df.select("doc_id", F.array_join(F.array_sort(dates), ",").alias("dates"))
 
@@ -118,7 +135,7 @@ def corroborate_date(spark, sf):
 
 @query(f"WITH {O.faulty_text()} SELECT doc_id, {SQL_TERM} AS term FROM ft")
 def stated_payment_term(spark, sf):
-    df = views.faulty_records(spark, sf, views.TRACEABLE, text=True)
+    df = views.faulty_records(spark, sf, text=True)
     return df.select("doc_id", evidence.stated_payment_term(F.col("text")).alias("term"))
 
 
@@ -167,7 +184,7 @@ def scale_and_count(spark, sf):
     )
 
 
-# --- scoring: the SQL twins follow the traceable fault classes, where every value is on the page ---
+# --- scoring: of all text values only a vendor can be missing from the page ---
 
 _R = {name: f"r{i}" for i, name in enumerate(SQL_RULES)}
 _MISS = {
@@ -175,11 +192,11 @@ _MISS = {
     "subtotal_plus_tax_equals_total": "CAST(subtotal + tax - total AS DOUBLE)",
     "tax_matches_rate": "CAST(subtotal * tax_rate - tax AS DOUBLE)",
 }
-SQL_SIGNALS = f"""{O.faulty_text()}, dated AS MATERIALIZED (SELECT *, {SQL_DATES} AS dates FROM ft), sig AS MATERIALIZED (
+SQL_SIGNALS = f"""{SQL_ALIGNED}, dated AS MATERIALIZED (SELECT ft.*, coalesce(score, 1.0::DOUBLE) AS g_vendor, {SQL_DATES} AS dates FROM ft LEFT JOIN aligned USING (doc_id)), sig AS MATERIALIZED (
   SELECT doc_id, tenant_id, layout, error_class, currency, {', '.join(f'{s} AS {_R[n]}' for n, s in SQL_RULES.items())},
     {', '.join(f'{s} AS m_{_R[n]}' for n, s in _MISS.items())},
     greatest(abs(subtotal), abs(tax), abs(total))::DOUBLE AS scale, {SQL_FRAGMENTED} AS fragmented, total <= 0 AS nonpositive,
-    {SQL_BAD_ROWS} AS bad, {SQL_DATE_SCORE('invoice_date')} AS d_invoice_date, {SQL_DATE_SCORE('due_date')} AS d_due_date,
+    {SQL_BAD_ROWS} AS bad, g_vendor, {SQL_DATE_SCORE('invoice_date')} AS d_invoice_date, {SQL_DATE_SCORE('due_date')} AS d_due_date,
     round_even(1.0::DOUBLE / (1 + abs(due_date - invoice_date - {SQL_TERM})), 4) AS term
   FROM dated)"""
 
@@ -196,6 +213,8 @@ def _sql_penalties() -> tuple[list[tuple[str, float, str]], dict[str, list[tuple
     doc.append(("nonpositive", 0.25, "'nonpositive_total'"))
     fields["total"].append(("nonpositive", 0.20))
     fields["line_items"].append(("len(bad) > 0", 0.20))
+    doc.append(("g_vendor < 0.85", 0.35, "'ungrounded:vendor'"))
+    fields["vendor"].append(("g_vendor < 0.85", 0.35))
     for f in ("invoice_date", "due_date"):
         doc.append((f"d_{f} < 0.9", 0.35, f"'uncorroborated_date:{f}'"))
         fields[f].append((f"d_{f} < 0.9", 0.35))
@@ -232,7 +251,7 @@ def _sql_features(field: str) -> list[str]:
     return [
         f"({failed})",
         f"ln(1 + {worst} / greatest(scale, 1.0::DOUBLE))",
-        "1.0::DOUBLE",
+        "g_vendor" if field == "vendor" else "1.0::DOUBLE",
         f"CASE WHEN {flag} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" if flag else "0.0::DOUBLE",
         "CASE WHEN len(bad) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" if field == "line_items" else "0.0::DOUBLE",
         "0.0::DOUBLE",
@@ -269,7 +288,7 @@ SQL_ROUTED = f"""{SQL_SIGNALS}, prob AS MATERIALIZED (SELECT *, {', '.join(f'{_s
     {' AND '.join(f'coalesce({r}, false)' for r in _R.values())} AS passed FROM prob)"""
 
 
-def routed(spark, sf, classes=views.TRACEABLE):
+def routed(spark, sf, classes=views.ERROR_CLASSES):
     return scoring.route_extraction(signals(spark, sf, classes), INVOICE, MODEL)
 
 

@@ -14,8 +14,6 @@ from docsieve.operators.corruption import ERROR_CLASSES, apply_corruption, plan_
 
 SEED = 1337
 FAULT_RATE = 0.35
-# Fault classes whose records stay literally traceable to the page, so that a SQL twin can follow every score.
-TRACEABLE = ("arithmetic_drift", "transposed_line_amounts", "shifted_date")
 EPOCH = "2024-01-01 00:00:00"
 NOW = "2024-02-15 00:00:00"
 
