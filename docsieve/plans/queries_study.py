@@ -48,8 +48,8 @@ def scored_fields(spark, sf):
     return df.select("doc_id", "layout", F.coalesce("error_class", F.lit("none")).alias("error_class"), F.inline_outer(rows))
 
 
-_WRONG = {"total": "error_class = 'arithmetic_drift'", "invoice_date": "error_class = 'shifted_date'", "line_items": "error_class = 'transposed_line_amounts' AND spoiled"}
-SQL_SCORED = f"""{SQL_ROUTED}, spoil AS (SELECT doc_id, line_items <> x_line_items AS spoiled FROM faulty),
+_WRONG = {"vendor": "respelled", "total": "error_class = 'arithmetic_drift'", "invoice_date": "error_class = 'shifted_date'", "line_items": "error_class = 'transposed_line_amounts' AND spoiled"}
+SQL_SCORED = f"""{SQL_ROUTED}, spoil AS (SELECT doc_id, line_items <> x_line_items AS spoiled, vendor <> x_vendor AS respelled FROM faulty),
 scored AS MATERIALIZED ({' UNION ALL '.join(f"SELECT routed.doc_id, layout, coalesce(error_class, 'none') AS error_class, '{f}' AS field, p_{f} AS p, CASE WHEN coalesce({_WRONG.get(f, 'false')}, false) THEN 0 ELSE 1 END AS y FROM routed JOIN spoil ON routed.doc_id = spoil.doc_id" for f in FIELDS)})"""
 
 
