@@ -45,8 +45,8 @@ joined AS (
 
 _LEGAL = "('ag','kg','gmbh','ohg','plc','ltd','inc','llc','e.v.','e.g.','co.','&')"
 _IMPOSTORS = (
-    "['Meridian Logistics GmbH','Halcyon Systems Ltd','Northgate Industrial PLC',"
-    "'Calder & Vance AG','Tessellate Partners KG','Ironwood Supply Co.']"
+    "['Birkenfeld Spedition GmbH','Lindqvist Optik Ltd','Oakhurst Machine Works PLC',"
+    "'Rowe & Adeyemi AG','Kestrel Verpackung KG','Sandpiper Tools Co.']"
 )
 ALL_CLASSES = ("arithmetic_drift", "wrong_vendor", "truncated_vendor", "transposed_line_amounts", "shifted_date")
 

@@ -175,7 +175,7 @@ def assessed(spark, sf):
 _EU_ = O._EU
 _READ = f"""{O.PAGES}, seen AS MATERIALIZED (SELECT doc_id, layout, vendor, len(line_items) AS n, doc_id % 10 = 0 AS needs_ocr, length(text) AS chars,
   len(list_filter(line_items, lambda r: layout = 'euro' AND {_EU_('r.amount')} <> {_EU_('r.unit_price')} AND contains({_EU_('r.amount')}, {_EU_('r.unit_price')}))) > 0 AS quirk
-  FROM pages_), costed AS (SELECT *, CASE WHEN needs_ocr THEN NULL WHEN n > 5 THEN 'validation_failed' WHEN n = 0 OR quirk THEN 'needs_review' END AS reason,
+  FROM pages_), costed AS (SELECT *, CASE WHEN needs_ocr THEN NULL WHEN n = 0 OR quirk THEN 'needs_review' END AS reason,
   CAST(floor((CASE WHEN needs_ocr THEN 4 ELSE chars END) / 4) + 1 + 256 * 5 AS DOUBLE) / 1000000 AS c_small, CAST((floor((CASE WHEN needs_ocr THEN 4 ELSE chars END) / 4) + 1) * 5 + 256 * 25 AS DOUBLE) / 1000000 AS c_front FROM seen)"""
 
 
