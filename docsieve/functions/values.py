@@ -42,9 +42,15 @@ def _plain_number(bare: Column) -> Column:
     )
 
 
+EXACT = "decimal(38,12)"
+
+
 def norm_amount(value: Column) -> Column:
-    """B2: a printed amount in US or continental notation as an exact decimal; the later mark is the decimal one."""
-    return bind(F.regexp_replace(value, _CURRENCY, ""), _plain_number).try_cast(MONEY)
+    """B2: a printed amount in US or continental notation as an exact decimal; the later mark is the decimal one.
+
+    26 digits before the point and 12 behind it are kept. Canonical records narrow it to their money type.
+    """
+    return bind(F.regexp_replace(value, _CURRENCY, ""), _plain_number).try_cast(EXACT)
 
 
 def norm_rate(value: Column) -> Column:
@@ -62,12 +68,26 @@ def _month_number(name: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.lower(name))
 
 
+_WEEK = "^(\\d{4})-?W(\\d{2})(?:-?([1-7]))?$"
+
+
+def _week_date(text: Column) -> Column:
+    """The day of an ISO week date as yyyy-MM-dd, NULL for a week that its year does not have."""
+    year, week = (F.regexp_extract(text, _WEEK, i).cast("int") for i in (1, 2))
+    day = F.coalesce(F.nullif(F.regexp_extract(text, _WEEK, 3), F.lit("")).cast("int"), F.lit(1))
+    fourth = F.make_date(year, F.lit(1), F.lit(4))
+    found = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (week - 1) * 7 + day - 1)
+    return F.when((week >= 1) & (F.date_part(F.lit("YEAROFWEEK"), found) == year), F.date_format(found, "yyyy-MM-dd"))
+
+
 def _iso(text: Column) -> Column:
     slash, dot = "^(\\d{1,2})/(\\d{1,2})/(\\d{4})$", "^(\\d{1,2})\\.(\\d{1,2})\\.(\\d{4})$"
     month_first, day_first = "^([A-Za-z]+) (\\d{1,2}), (\\d{4})$", "^(\\d{1,2}) ([A-Za-z]+) (\\d{4})$"
     part = lambda pattern, i: F.regexp_extract(text, pattern, i)
     return (
         F.when(text.rlike("^\\d{4}-\\d{2}-\\d{2}$"), text)
+        .when(text.rlike("^\\d{8}$"), F.regexp_replace(text, "^(....)(..)(..)$", "$1-$2-$3"))
+        .when(text.rlike(_WEEK), _week_date(text))
         .when(text.rlike(slash), F.regexp_replace(text, slash, "$3-$1-$2"))
         .when(text.rlike(dot), F.regexp_replace(text, dot, "$3-$2-$1"))
         .when(text.rlike(month_first), F.concat(part(month_first, 3), F.lit("-"), _month_number(part(month_first, 1)), F.lit("-"), part(month_first, 2)))
@@ -76,7 +96,7 @@ def _iso(text: Column) -> Column:
 
 
 def norm_date(value: Column) -> Column:
-    """ISO, m/d/yyyy, d.m.yyyy or an English month name; impossible dates give NULL.
+    """Any ISO date (basic and week dates too), m/d/yyyy, d.m.yyyy or an English month name; impossible dates give NULL.
 
     The shape decides how to read the value, so no parse is tried that must fail.
     """
@@ -84,7 +104,8 @@ def norm_date(value: Column) -> Column:
 
 
 def norm_by_kind(value: Column, kind: str) -> Column:
-    readers = {"date": norm_date, "money": norm_amount, "quantity": norm_amount, "rate": norm_rate}
+    money = lambda v: norm_amount(v).try_cast(MONEY)
+    readers = {"date": norm_date, "money": money, "quantity": money, "rate": norm_rate}
     return readers.get(kind, norm_text)(value)
 
 

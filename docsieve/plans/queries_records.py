@@ -45,10 +45,12 @@ def _printed_totals(spark, sf):
 
 @query(
     """SELECT o_orderkey, CASE WHEN o_orderkey % 7 IN (0,1,2,5) THEN o_totalprice
-       WHEN o_orderkey % 7 = 3 THEN floor(o_totalprice) END AS amount FROM orders"""
+       WHEN o_orderkey % 7 = 3 THEN floor(o_totalprice) END AS amount, CAST(o_orderkey || '123456789012.00' || o_orderkey AS DECIMAL(38,12))::VARCHAR AS exact FROM orders"""
 )
 def norm_amount(spark, sf):
-    return _printed_totals(spark, sf).select("o_orderkey", DBL(V.norm_amount(F.col("shown"))).alias("amount"))
+    key = F.col("o_orderkey").cast("string")
+    wide = V.norm_amount(F.concat(key, F.lit(",123,456,789,012.00"), key))
+    return _printed_totals(spark, sf).select("o_orderkey", DBL(V.norm_amount(F.col("shown"))).alias("amount"), wide.cast("string").alias("exact"))
 
 
 @query(

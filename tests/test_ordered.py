@@ -90,6 +90,20 @@ def test_budget_replay_equals_a_fold(spark, sf, segment):
     assert {True, False} <= {g for g, _, _ in got.values()}
 
 
+def test_budget_replay_without_refusals_without_budget_and_with_repeated_closings(spark):
+    rows = [
+        ("a", 1, "reserve", 1, 2.0, 1.0), ("a", 2, "settle", 1, 2.0, 1.0), ("a", 3, "settle", 1, 2.0, 1.0), ("a", 4, "release", 9, 5.0, 0.0),
+        ("b", 1, "reserve", 1, 2.0, 1.0), ("b", 2, "settle", 1, 2.0, 1.0),
+    ]
+    log = spark.createDataFrame(rows, "tenant_id string, seq long, kind string, reserve_seq long, reserved double, actual double")
+    log = log.withColumns({c: F.col(c).cast("decimal(12,6)") for c in ("reserved", "actual")})
+    budgets = spark.createDataFrame([("a", 10.0)], "tenant_id string, budget_usd double")
+    one = admission.budget_replay(log.where("tenant_id = 'a'"), budgets).orderBy("seq").collect()
+    assert [(r.granted, r.spent_usd, r.unsettled) for r in one] == [(True, 2.0, 1), (None, 1.0, 0), (None, 1.0, 0), (None, 1.0, 0)]
+    both = {(r.tenant_id, r.seq): (r.granted, r.spent_usd, r.unsettled) for r in admission.budget_replay(log, budgets).collect()}
+    assert both["b", 1] == (False, 0.0, 0) and both["b", 2] == (None, 0.0, 0) and len(both) == 6
+
+
 @pytest.mark.parametrize("segment", [200_000, 11])
 def test_token_bucket_equals_a_fold(spark, sf, segment):
     requests = Q.bucket_requests(spark, sf)

@@ -99,6 +99,18 @@ def test_ingest_stream_stores_each_document_once(spark, sf, tmp_path):
     assert {r.status for r in stored.select("status").distinct().collect()} == {"received", "failed"}
 
 
+def test_new_documents_that_arrive_late_are_stored(spark, tmp_path):
+    rows = [(f"t/dropbox/invoice/f{i}", f"%PDF-{i // 2}".encode(), i) for i in range(12)]
+    late = spark.createDataFrame(rows, "key string, content binary, at int").select(
+        "key", "content", (F.lit(views.EPOCH).cast("timestamp") - F.make_dt_interval(hours=F.col("at") * 3)).alias("received_at")
+    )
+    stream = as_stream(spark, late, tmp_path, "late", "key", files=6)
+    root = str(tmp_path / "store")
+    D.ingest_stream(stream, root, str(tmp_path / "cp"), ("invoice",)).awaitTermination(240)
+    stored = spark.read.parquet(f"{root}/documents")
+    assert stored.count() == stored.select("sha256").distinct().count() == 6
+
+
 def test_document_stream_equals_batch(spark, sf, tmp_path):
     pages = views.pages(spark, sf).select(F.col("doc_id"), "tenant_id", "text", F.lit("parsed").alias("status")).limit(400)
     pages = pages.unionByName(pages.limit(5).withColumn("status", F.lit("approved"))).cache()

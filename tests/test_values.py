@@ -100,3 +100,20 @@ def test_groundedness_equals_difflib(spark):
     got = [r[0] for r in df.orderBy("i").select(evidence.groundedness(F.col("v"), F.col("t"))).collect()]
     assert got == [plain(*c) for c in cases]
     assert any(0 < g < 1 for g in got)
+
+
+def test_all_iso_dates_and_exact_amounts(spark):
+    from datetime import date
+
+    shown = ["20240105", "2024-W02-3", "2024W023", "2020-W53-7", "2021-W53-1", "2024-W02", "2024-01-05", "2024-W00-1", "20241301"]
+    got = [r[0] for r in spark.createDataFrame([(i, s) for i, s in enumerate(shown)], "i int, s string").orderBy("i").select(V.norm_date(F.col("s"))).collect()]
+    want = []
+    for s in shown:
+        try:
+            want.append(date.fromisoformat(s))
+        except ValueError:
+            want.append(None)
+    assert got == want
+    amounts = [("1.234567", "1.234567"), ("0.00004", "0.00004"), ("123456789012345678", "123456789012345678"), ("1,234,567.123456789", "1234567.123456789")]
+    rows = spark.createDataFrame(amounts, "s string, d string").select(V.norm_amount(F.col("s")) == F.col("d").cast("decimal(38,12)")).collect()
+    assert all(r[0] for r in rows)
