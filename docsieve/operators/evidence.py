@@ -49,16 +49,22 @@ def _fuzzy_scores():
     """
     shortest = MIN_RUN
 
-    def aligned(needle: str, haystack: str) -> float:
-        blocks = SequenceMatcher(None, needle, haystack, autojunk=False).get_matching_blocks()
-        found = sum(block.size for block in blocks if block.size >= shortest)
-        return round(min(1.0, found / len(needle)), 4)
+    def aligned(values: list, page: str) -> list:
+        # the page is indexed once, however many values are looked for
+        matcher = SequenceMatcher(None, autojunk=False)
+        matcher.set_seq2(page)
+        scores = []
+        for value in values:
+            if value is None:
+                scores.append(None)
+                continue
+            matcher.set_seq1(value)
+            found = sum(block.size for block in matcher.get_matching_blocks() if block.size >= shortest)
+            scores.append(round(min(1.0, found / len(value)), 4))
+        return scores
 
     def score(needles: pd.Series, haystacks: pd.Series) -> pd.Series:
-        rows = (
-            None if values is None or text is None else [None if v is None else aligned(v, text) for v in values]
-            for values, text in zip(needles, haystacks)
-        )
+        rows = (None if values is None or page is None else aligned(values, page) for values, page in zip(needles, haystacks))
         return pd.Series(list(rows), dtype="object")
 
     return F.pandas_udf(score, T.ArrayType(T.DoubleType()))

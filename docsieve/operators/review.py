@@ -17,6 +17,20 @@ def latest_extraction(extractions: DataFrame) -> DataFrame:
     return top_per_key(extractions, ["document_id"], order, 1).drop("_rank")
 
 
+def document_view(documents: DataFrame, extractions: DataFrame, cells: DataFrame, tables: tuple[str, ...] = ("line_items",)) -> DataFrame:
+    """every document with its newest extraction and a map of that one's scored fields.
+
+    Cells of tables inherit one score and are left out; so are fields without a score.
+    A map has as many entries as the definition has fields.
+    """
+    latest = latest_extraction(extractions)
+    scored = cells.where(F.col("confidence").isNotNull() & ~F.split_part("name", F.lit("."), F.lit(1)).isin(*tables))
+    maps = scored.join(latest.select("extraction_id"), "extraction_id", "left_semi").groupBy("extraction_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "confidence")))).alias("field_confidence")
+    )
+    return documents.join(latest, "document_id", "left").join(maps, "extraction_id", "left")
+
+
 def ensure_review_tasks(extractions: DataFrame, existing: DataFrame, now: Column, sla_hours: int = SLA_HOURS) -> DataFrame:
     """K1: one open task per extraction that needs review and has none; its deadline is frozen now."""
     fresh = extractions.where(F.col("decision") == "needs_review").join(

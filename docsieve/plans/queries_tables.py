@@ -274,12 +274,24 @@ def latest_extraction(spark, sf):
     return review.latest_extraction(_extractions(spark, sf)).select("document_id", "extraction_id", "decision")
 
 
-@query(f"WITH {_EXTR} SELECT c_custkey AS document_id, extraction_id, decision FROM customer LEFT JOIN latest ON c_custkey = document_id")
+@query(
+    f"""WITH {_EXTR}, cells AS (SELECT extraction_id, 'vendor' AS name, doc_confidence AS confidence FROM extr
+          UNION ALL SELECT extraction_id, 'total', doc_confidence / 2 FROM extr WHERE extraction_id % 3 > 0)
+        SELECT c_custkey AS document_id, latest.extraction_id, decision, name AS field, confidence
+        FROM customer LEFT JOIN latest ON c_custkey = document_id LEFT JOIN cells ON cells.extraction_id = latest.extraction_id"""
+)
 def document_with_latest(spark, sf):
-    """every document with its newest extraction, if any."""
+    """every document with its newest extraction, if any, and the scored fields of that one."""
     docs = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("document_id"))
-    latest = review.latest_extraction(_extractions(spark, sf)).select("document_id", "extraction_id", "decision")
-    return docs.join(latest, "document_id", "left")
+    history = _extractions(spark, sf)
+    score = F.col("doc_confidence")
+    cells = history.select("extraction_id", F.inline(F.array(
+        F.struct(F.lit("vendor").alias("name"), score.alias("confidence")),
+        F.struct(F.lit("total").alias("name"), F.when(F.col("extraction_id") % 3 > 0, score / 2).alias("confidence")),
+        F.struct(F.lit("line_items.0.amount").alias("name"), score.alias("confidence")),
+    )))
+    seen = review.document_view(docs, history, cells)
+    return seen.select("document_id", "extraction_id", "decision", F.explode_outer("field_confidence").alias("field", "confidence"))
 
 
 def _tasks(spark, sf):
