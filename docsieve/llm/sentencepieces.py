@@ -38,6 +38,8 @@ NORMAL, BYTE = 1, 6
 #: Words, and pairs of pieces, that a task remembers; beyond that it starts anew.
 REMEMBERED = 1 << 19
 REMEMBERED_PAIRS = 1 << 22
+#: Bytes of new words that are indexed at a time; the edges take some two hundred times as much.
+INDEXED_BYTES = 128 << 10
 
 
 def merged(piece: str, rank: dict[str, int]) -> list[str] | None:
@@ -196,8 +198,19 @@ def occurrences(vocabulary: Vocabulary, data: np.ndarray) -> tuple[np.ndarray, n
 
 def encode_words(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words, and where each word's ids start; a word starts with its space."""
-    if not words:
-        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    ends = np.cumsum([0, *map(len, words)])
+    flat, offsets, at = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+    while at < len(words):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + INDEXED_BYTES, "right")) - 1)
+        ids, total = encode_group(vocabulary, words[at:stop])
+        flat.append(ids)
+        offsets.append(total[1:] + offsets[-1][-1])
+        at = stop
+    return np.concatenate(flat), np.concatenate(offsets)
+
+
+def encode_group(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """`encode_words` of words that are indexed together."""
     data = np.frombuffer(b"\xff".join(words) + b"\xff", np.uint8)
     ends = np.flatnonzero(data == BREAK)
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -319,6 +332,10 @@ def encoder(vocabulary: Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iter
             same = pc.equal(decode(vocabulary, lists), text.cast(pa.large_string()))
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [lists, pa.array(np.diff(total).astype(np.int64)), same], [*names, "ids", "n_tokens", "round_trip"])
+        # the worker goes on to other tasks
+        own.forget()
+        vocabulary.keys, vocabulary.apart = vocabulary.keys[:0], vocabulary.apart[:0]
+        pa.default_memory_pool().release_unused()
 
     return run
 
