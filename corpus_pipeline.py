@@ -14,28 +14,42 @@ from docsieve.llm import sentencepieces, stages
 from docsieve.session import scratch_table
 
 
+#: Rows of an Arrow batch: batches of long texts stay small.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set for the session, because a stage's result is computed when its caller writes it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and their host's verdict keep (operator 7)."""
+    small_batches(spark)
     return stages.quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with links of 80 percent or more (operator 6)."""
+    small_batches(spark)
     return stages.unique(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item (operator 8)."""
+    small_batches(spark)
     return stages.clean_of(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data masked (operator 5)."""
+    small_batches(spark)
     return stages.private(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document (operator 3)."""
+    small_batches(spark)
     return sentencepieces.encode(docs)
 
 
