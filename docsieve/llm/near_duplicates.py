@@ -53,7 +53,7 @@ DEVIATIONS = 4.5
 #: Coordinates of a signature, at least; the bands use as many of them as they need. Two bits of each are compared.
 COORDINATES = 1024
 #: Rows of an Arrow batch while texts are read, so that batches of long texts stay small.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 LOW_BITS = 0x5555555555555555
 #: Centres of a bucket in the second round; they grow by this factor from round to round.
 QUOTA = 64
@@ -146,7 +146,7 @@ def sketcher(text: str, rows: int, bands: int) -> Callable[[Iterator[pa.RecordBa
     words = -(-2 * size // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.slices(batches, text, 2 << 20):
+        for batch in arrays.slices(batches, text, 1 << 20):
             hashes, counts = shingles(batch.column(text))
             sets = distinct_sets(hashes, counts)
             sign = signatures(hashes, counts, size)
@@ -187,7 +187,7 @@ def set_maker(wanted: bloom.Filter | None) -> Callable[[Iterator[pa.RecordBatch]
             if wanted:
                 keys = batch.column("_key").to_numpy()
                 batch = batch.filter(pa.array(wanted.hit(keys, arrays.mix(keys.view(np.uint64)))))
-            for part in arrays.slices([batch], "text", 2 << 20):
+            for part in arrays.slices([batch], "text", 1 << 20):
                 found = {}
                 for members in distinct_sets(*shingles(part.column("text"))):
                     key = class_key(members)
