@@ -2,7 +2,7 @@
 
 Base spans come from three patterns. Beyond them every token of 16 or more
 characters of the usual encodings (A-Z a-z 0-9 + / _ = -) is a candidate, but for plain
-numbers, which are the business of personal data. Its encoding is inferred as the smallest of
+numbers, which are the business of personal data, and lines of `=`, which encode nothing. Its encoding is inferred as the smallest of
 hex, base32, base36 and base64 that holds it. Three statistics are taken:
 
 * chi-squared uniformity over the encoding's alphabet, per character;
@@ -135,7 +135,7 @@ def collector(text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 value = value or ""
                 spans = base_spans(value)
                 bases.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
-                free = [m for m in CANDIDATE.finditer(value) if not any(s < m.end() and m.start() < e for s, e, _ in spans)]
+                free = [m for m in CANDIDATE.finditer(value) if m.group().strip("=") and not any(s < m.end() and m.start() < e for s, e, _ in spans)]
                 starts.append([m.start() for m in free])
                 tokens.append([m.group() for m in free])
             names = [n for n in batch.schema.names if n != text]

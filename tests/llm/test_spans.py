@@ -84,3 +84,11 @@ def test_random_strings_are_found_and_words_are_not(spark):
     got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[1000 + i] for i in range(2)] == [f"random:4:{4 + len(k)}" for k in keys]
     assert not any(got[i] for i in range(len(natural)))
+
+
+def test_lines_of_equals_signs_are_no_candidates(spark):
+    key = "x8Fq2LmZ0pTr7Vw3Ks9Yc4Hd6Nb1Gj5"
+    rows = [(1, "Title\n" + "=" * 16), (2, "=" * 5000), (3, f"{'=' * 40}\n{key}\n{'=' * 15}"), (4, "=" * 20 + "a" + "=" * 20)]
+    rows += [(10 + i, "internationalization counterrevolutionaries") for i in range(30)]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) and got[1] == got[2] == "" and got[3] == f"random:41:{41 + len(key)}"
