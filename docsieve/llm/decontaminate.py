@@ -12,7 +12,10 @@ only (passage, block) pairs whose bound reaches 1 are scored item by item,
 and only items that reach 1 are verified. Words are compared without marks and in lower case. No other pair can reach the threshold, so
 the result equals a full scan. Verification takes the item apart into a question (all
 but the last sentence) and an answer (the last sentence; the second half
-of an item of one sentence) and asks for a share of the five-word runs of each.
+of an item of one sentence) and asks for a share of the five-word runs of each. Either takes words from
+the other until it holds 14 words and three tenths of the item, or half of it; runs of parts of less than 14 words are
+shorter, and items of less than 10 words are one part. So a changed or missing word, or a tenth of the item cut off at
+an end, leaves half of the runs of each part.
 
 The index is sent to the tasks in groups of items of bounded size; each group makes one
 pass over the documents, so more items cost passes, not memory.
@@ -24,6 +27,7 @@ are both reported; empty tables give no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -40,6 +44,8 @@ K1, B = 1.2, 0.75
 WIDTH = 5
 BLOCK = 4
 HALF_WORDS = 64
+#: Least words and least part of an item's words in its question and in its answer; items too short for both are halved, those below WHOLE words are not taken apart.
+LEAST_WORDS, LEAST_SHARE, WHOLE = 14, 0.3, 10
 #: Words are runs of ASCII letters, digits and all other characters beyond ASCII.
 SEPARATOR = ~arrays.byte_class(bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 #: Bytes of item text whose index is sent to the tasks at once.
@@ -55,12 +61,24 @@ def text_words(texts: list[str]) -> list[np.ndarray]:
     return np.split(hashes, np.searchsorted(owner, np.arange(1, len(texts)))) if texts else []
 
 
-def question_and_answer(text: str) -> tuple[str, str]:
-    sentences = re.split(r"(?<=[.!?])\s+", text.strip())
-    if len(sentences) > 1:
-        return " ".join(sentences[:-1]), sentences[-1]
-    words = text.split()
-    return " ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])
+def last_sentence(text: str) -> str:
+    """The last sentence, or nothing for a text of one sentence."""
+    return "".join(re.split(r"(?<=[.!?])\s+", text.strip())[1:][-1:])
+
+
+def question_and_answer(words: np.ndarray, last: int) -> list[np.ndarray]:
+    """An item's words taken apart; `last` is the number of words in its last sentence, 0 if it has one only."""
+    n = len(words)
+    if n < WHOLE:
+        return [words]
+    least = min(n // 2, max(LEAST_WORDS, math.ceil(LEAST_SHARE * n)))
+    at = min(max(n - last if last else n // 2, least), n - least)
+    return [words[:at], words[at:]]
+
+
+def run_width(n: int) -> int:
+    """Words in a run of a part of n words: so few that one word lies in at most half of the runs."""
+    return max(1, min(WIDTH, (n + 1) // 3))
 
 
 def runs(words: np.ndarray, width: int) -> np.ndarray:
@@ -78,8 +96,9 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], frequency: dict[int, int], total: int, mean: float, share: float):
         self.ids = [i for i, _ in items]
         words = text_words([t for _, t in items])
-        parts = [question_and_answer(t) for _, t in items]
-        self.parts = [[(min(WIDTH, len(w)), runs(w, min(WIDTH, len(w)))) for w in text_words(list(p)) if len(w)] for p in parts]
+        last = text_words([last_sentence(t) for _, t in items])
+        parts = [question_and_answer(w, len(end)) for w, end in zip(words, last)]
+        self.parts = [[(run_width(len(w)), runs(w, run_width(len(w)))) for w in p] for p in parts]
         postings = []
         for n, w in enumerate(words):
             terms, tf = np.unique(w, return_counts=True)

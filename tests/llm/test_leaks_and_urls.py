@@ -54,6 +54,20 @@ def test_leaks_on_odd_rows(spark, odd, odd_rows, none, sf):
     assert decontaminate.leaks(none, items).count() == decontaminate.leaks(odd, items.where("false")).count() == 0
 
 
+def test_near_and_cut_copies_are_found(spark, sf):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    around, rows, want = " ".join(f"around{i}" for i in range(50)), [], set()
+    for r in items.collect():
+        w, sentences = r.text.split(), re.split(r"(?<=[.!?])\s+", r.text.strip())
+        first = len(w) - len(sentences[-1].split()) if len(sentences) > 1 else len(w) // 2
+        edits = [w[:j] + more + w[j + 1 :] for j in range(first, len(w)) for more in (["other"], [])] + [w[: len(w) - len(w) // 10]]
+        want |= {(len(rows) + i, r.item_id) for i in range(len(edits))}
+        rows += [(len(rows) + i, f"{around} {' '.join(e)} {around}") for i, e in enumerate(edits)]
+        rows.append((len(rows), f"{around} {' '.join(w[: len(w) // 2])} {around}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, items).collect()} == want
+
+
 def test_verdicts_equal_sql(spark, sf):
     ok, note = compare(url_filters.op4_url_filters(spark, sf), duck(sf), url_filters.ORACLES["op4_url_filters"])
     assert ok, note
