@@ -15,13 +15,17 @@ but the last sentence) and an answer (the last sentence; the second half
 of an item of one sentence) and asks for a share of the five-word runs of each. Either takes words from
 the other until it holds 14 words and three tenths of the item, or half of it; runs of parts of less than 14 words are
 shorter, and items of less than 10 words are one part. So a changed or missing word, or a tenth of the item cut off at
-an end, leaves half of the runs of each part.
+an end, leaves half of the runs of each part. Items of fewer than `min_words` words are searched as a whole: they
+are found where all their words stand in a row. An item of one word is found wherever the word stands.
+
+Scripts without spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese, Tibetan and others) count by character: each is a
+word, their marks are separators. Other runs without ASCII marks are words.
 
 The index is sent to the tasks in groups of items of bounded size; each group makes one
 pass over the documents, so more items cost passes, not memory.
 
-Edge cases: null and empty texts hold nothing; items of fewer than `min_words` words
-prove nothing and are skipped, so are null items; repeated rows are reported each; equal items
+Edge cases: null and empty texts hold nothing; items without a word and
+null items are skipped; repeated rows are reported each; equal items
 are both reported; empty tables give no rows; further columns are ignored.
 """
 
@@ -46,24 +50,58 @@ BLOCK = 4
 HALF_WORDS = 64
 #: Least words and least part of an item's words in its question and in its answer; items too short for both are halved, those below WHOLE words are not taken apart.
 LEAST_WORDS, LEAST_SHARE, WHOLE = 14, 0.3, 10
-#: Words are runs of ASCII letters, digits and all other characters beyond ASCII.
+#: Words are runs of ASCII letters, digits and all other characters beyond ASCII; but characters of scripts without spaces are words and their marks are separators.
 SEPARATOR = ~arrays.byte_class(bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
+MARKS = [(0x3000, 0x3004), (0x3008, 0x3020), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)]
+SPACELESS = [(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x2E80, 0x2FFF), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0xA4CF),
+             (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)]
 #: Bytes of item text whose index is sent to the tasks at once.
 GROUP_BYTES = 8 << 20
 
 
+def code_class(ranges: list[tuple[int, int]]) -> np.ndarray:
+    """A table of all code points that is True inside the ranges."""
+    table = np.zeros(0x110000, bool)
+    for first, last in ranges:
+        table[first : last + 1] = True
+    return table
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of each word."""
+    starts, ends, owner = arrays.spans(data, offsets, SEPARATOR)
+    lead = np.flatnonzero(data >= 0xE0)
+    if not len(lead):
+        return starts, ends, owner
+    long = data[lead] >= 0xF0
+    first, second, third = (data[lead + j].astype(np.int64) & (63 if j else 15) for j in range(3))
+    code = (first << 12) | (second << 6) | third
+    code[long] = ((code[long] & 0x7FFF) << 6) | (data[lead[long] + 3] & 63)
+    marks = code_class(MARKS)[code]
+    alone = marks | code_class(SPACELESS)[code]
+    if not alone.any():
+        return starts, ends, owner
+    marks, lead, after = marks[alone], lead[alone], (lead + 3 + long)[alone]
+    of = np.searchsorted(starts, lead, "right") - 1
+    inner, more = lead[lead > starts[of]], after[after < ends[of]]
+    starts, ends = (np.unique(np.concatenate(x)) for x in ((starts, inner, more), (ends, inner, more)))
+    word = ~np.isin(starts, lead[marks])
+    starts, ends = starts[word], ends[word]
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
 def text_words(texts: list[str]) -> list[np.ndarray]:
     """The word hashes of each text, A-Z lower-cased."""
     data, offsets = arrays.text_bytes(pa.array(texts, pa.string()))
     data = arrays.LOWER[data]
-    starts, ends, owner = arrays.spans(data, offsets, SEPARATOR)
+    starts, ends, owner = word_spans(data, offsets)
     hashes = arrays.span_hashes(data, starts, ends)
     return np.split(hashes, np.searchsorted(owner, np.arange(1, len(texts)))) if texts else []
 
 
 def last_sentence(text: str) -> str:
     """The last sentence, or nothing for a text of one sentence."""
-    return "".join(re.split(r"(?<=[.!?])\s+", text.strip())[1:][-1:])
+    return "".join(re.split(r"(?<=[.!?])\s+|(?<=[。！？])\s*(?=[^\s。！？])", text.strip())[1:][-1:])
 
 
 def question_and_answer(words: np.ndarray, last: int) -> list[np.ndarray]:
@@ -93,12 +131,13 @@ def segments(lengths: np.ndarray) -> np.ndarray:
 class Index:
     """Inverted lists of items with normalised BM25 weights, and of blocks with their largest ones."""
 
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[int, int], total: int, mean: float, share: float):
+    def __init__(self, items: list[tuple[int, str]], frequency: dict[int, int], total: int, mean: float, share: float, min_words: int = 8):
         self.ids = [i for i, _ in items]
         words = text_words([t for _, t in items])
         last = text_words([last_sentence(t) for _, t in items])
         parts = [question_and_answer(w, len(end)) for w, end in zip(words, last)]
-        self.parts = [[(run_width(len(w)), runs(w, run_width(len(w)))) for w in p] for p in parts]
+        widths = [len(w) if len(w) < min_words else None for w in words]
+        self.parts = [[(width or run_width(len(w)), runs(w, width or run_width(len(w)))) for w in p] for p, width in zip(parts, widths)]
         postings = []
         for n, w in enumerate(words):
             terms, tf = np.unique(w, return_counts=True)
@@ -147,7 +186,7 @@ def searcher(index: Index, half_words: int, overlap: float, kind: pa.DataType) -
         for batch in arrays.slices(batches, "text"):
             data, offsets = arrays.text_bytes(batch.column("text"))
             data = arrays.LOWER[data]
-            starts, ends, owner = arrays.spans(data, offsets, SEPARATOR)
+            starts, ends, owner = word_spans(data, offsets)
             if not len(starts):
                 continue
             hashes = arrays.span_hashes(data, starts, ends)
@@ -192,7 +231,9 @@ def searcher(index: Index, half_words: int, overlap: float, kind: pa.DataType) -
 
 def words_of(text: str) -> F.Column:
     lower = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lower, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
+    marks, spaceless = ("".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) for ranges in (MARKS, SPACELESS))
+    apart = F.regexp_replace(lower, f"([{spaceless}])", " $1 ")
+    return F.filter(F.split(apart, f"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F{marks}]+"), lambda w: w != "")
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
@@ -200,12 +241,12 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     """(doc_id, item_id, score, question_overlap, answer_overlap) for each item that a document holds.
 
     share: part of an item's own score that a passage has to reach; overlap: part of
-    the runs of question and answer, each.
+    the runs of question and answer, each. min_words: items of fewer words have to stand in the document as a whole.
     """
     spark = docs.sparkSession
     kinds = {"doc": docs.schema[key].dataType.simpleString(), "item": items.schema[item_key].dataType.simpleString()}
     schema = f"doc_id {kinds['doc']}, item_id {kinds['item']}, score double, question_overlap double, answer_overlap double"
-    listed = items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text"), words_of(item_text).alias("words")).where(F.size("words") >= min_words)
+    listed = items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text"), words_of(item_text).alias("words")).where(F.size("words") > 0)
     total, mean, longest, size = listed.agg(F.count(F.lit(1)), F.avg(F.size("words")), F.max(F.size("words")), F.sum(F.octet_length("text"))).first()
     if not total:
         return spark.createDataFrame([], schema)
@@ -222,7 +263,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
             continue
         counts = own.select(F.explode("words").alias("word")).distinct().join(frequency, "word").collect()
         frequencies = dict(zip((int(w[0]) for w in text_words([r["word"] for r in counts])), (r["df"] for r in counts)))
-        index = Index(known, frequencies, total, mean, share)
+        index = Index(known, frequencies, total, mean, share, min_words)
         parts.append(queries.mapInArrow(searcher(index, max(HALF_WORDS, longest), overlap, kind), schema))
     return reduce(DataFrame.unionByName, parts)
 

@@ -68,6 +68,22 @@ def test_near_and_cut_copies_are_found(spark, sf):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, items).collect()} == want
 
 
+def test_scripts_without_spaces_and_short_items(spark):
+    chinese = "下列哪一座城市是中华人民共和国的首都，并且在二零零八年举办了夏季奥运会？答案是北京，它位于华北平原的北部。"
+    thai = "เมืองหลวงของประเทศไทยคือเมืองใดและตั้งอยู่ริมแม่น้ำสายใด"
+    items = [(1, chinese), (2, thai), (3, "What is seven times eight?"), (4, "𠀀字 ok"), (5, "。！"), (6, "Überraschung, naïve!")]
+    around = " ".join(f"around{i}" for i in range(100))
+    texts = {
+        (10, 1): f"{around} 前文{chinese}后文 {around}", (11, 1): chinese.replace("首都", "首府").replace("，", ", "), (12, 2): f"ก่อน{thai}หลัง", (13, 3): f"{around} (what is SEVEN, times eight) {around}",
+        (14, 4): "前𠀀字ok", (16, None): "what is seven or times eight", (17, None): chinese[::-1] + thai[::-1], (18, None): "字𠀀 ok。！", (19, 6): "x Überraschung naïve",
+    }
+    frame = spark.createDataFrame([(d, t) for (d, _), t in texts.items()], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, i) for d, i in texts if i}
+    lists = decontaminate.text_words(["a日本b，c", "", "é語", "x"])
+    assert [len(w) for w in lists] == [5, 0, 2, 1] and lists[0][1] == decontaminate.text_words(["日"])[0][0]
+
+
 def test_verdicts_equal_sql(spark, sf):
     ok, note = compare(url_filters.op4_url_filters(spark, sf), duck(sf), url_filters.ORACLES["op4_url_filters"])
     assert ok, note
