@@ -2,15 +2,17 @@
 
 Base spans come from three patterns. Beyond them every token of 16 or more
 characters of the usual encodings (A-Z a-z 0-9 + / _ = -) is a candidate, but for plain
-numbers, which are the business of personal data, and lines of `=`, which encode nothing. Its encoding is inferred as the smallest of
+numbers, which are the business of personal data, and tokens without a letter or digit or of one
+repeated sign (separator lines, masks), which encode nothing. Its encoding is inferred as the smallest of
 hex, base32, base36 and base64 that holds it. Three statistics are taken:
 
 * chi-squared uniformity over the encoding's alphabet, per character;
 * runs: changes of the character class (digit, lower, upper, other) per step;
 * serial correlation: the share of neighbouring pairs that are common in the language.
 
-Mean and spread of each under natural text are measured over all candidates of the corpus that
-hold no digit; a statistic's p-value is the chance that natural text looks so random. The p-values are joined by Fisher's method.
+Mean and spread of each under natural text are measured over all distinct candidates of the corpus that
+hold no digit, with the outer fortieths of either side drawn in, and weigh against a prior that counts as 100 candidates. So
+neither copies nor a few odd tokens set them. A statistic's p-value is the chance that natural text looks so random. The p-values are joined by Fisher's method.
 Candidates are then controlled for false discoveries by the step-up rule of Benjamini and
 Hochberg inside each class of lengths, over the whole corpus: Spark adds up counts by length class and
 by hundredth of log10 p, so the table that is collected has a fixed number of rows at any size.
@@ -41,12 +43,15 @@ KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 CANDIDATE = re.compile(r"(?![0-9]{16,}(?![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{16,}")
+ENCODES = re.compile(r"(?!(.)\1*=*$)(?=.*[A-Za-z0-9])")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 ENCODINGS = [("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
              ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")]
 #: Length classes and the false-discovery rate inside each.
 LENGTHS = [16, 20, 24, 32, 48, 64, 128]
 RATE = 0.01
+#: Candidates that the prior of natural text counts as, steps of a statistic in its histogram, the share that is drawn in on either side, and the spread of a normal variable after that.
+PRIOR, STEPS, TAIL, DRAWN_IN = 100, 1000, 0.025, 0.9556
 FLOOR = -30.0
 
 
@@ -113,6 +118,22 @@ class Nature:
         excess = (chi_squared(token, alphabet) - (len(alphabet) - 1)) / len(token)
         return [excess, class_changes(token) / steps, sum(low[i : i + 2] in self.common for i in range(steps)) / steps]
 
+    def measure(self, tables: list[dict[int, int]]) -> None:
+        """Takes mean and spread from a histogram of each statistic, next to the prior."""
+        for i, table in enumerate(tables):
+            steps = np.array(sorted(table), float)
+            counts = np.array([table[b] for b in sorted(table)], float)
+            n = counts.sum()
+            if not n:
+                continue
+            seen = np.cumsum(counts)
+            low, high = (steps[np.searchsorted(seen, q * n)] for q in (TAIL, 1 - TAIL))
+            drawn = np.clip(steps, low, high) / STEPS
+            mean = float((drawn * counts).sum() / n)
+            variance = float(((drawn - mean) ** 2 * counts).sum() / n) / DRAWN_IN**2
+            self.spread[i] = max(0.02, math.sqrt((PRIOR * self.spread[i] ** 2 + n * variance) / (PRIOR + n)))
+            self.mean[i] = (PRIOR * self.mean[i] + n * mean) / (PRIOR + n)
+
     def log_p(self, token: str) -> float:
         """log10 of the joint p-value under natural text: small for random strings."""
         half = 0.0
@@ -135,7 +156,7 @@ def collector(text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 value = value or ""
                 spans = base_spans(value)
                 bases.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
-                free = [m for m in CANDIDATE.finditer(value) if m.group().strip("=") and not any(s < m.end() and m.start() < e for s, e, _ in spans)]
+                free = [m for m in CANDIDATE.finditer(value) if ENCODES.match(m.group()) and not any(s < m.end() and m.start() < e for s, e, _ in spans)]
                 starts.append([m.start() for m in free])
                 tokens.append([m.group() for m in free])
             names = [n for n in batch.schema.names if n != text]
@@ -149,32 +170,32 @@ def collector(text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def nature_of(found: DataFrame) -> Nature:
-    """Rates over all candidates without a digit; what is collected are the pairs of the alphabet and six sums."""
-    words = found.select(F.explode("tokens").alias("token")).where(~F.col("token").rlike("[0-9]"))
+    """Rates over all distinct candidates without a digit; what is collected are the pairs of the alphabet and a histogram of each statistic."""
+    words = found.select(F.explode("tokens").alias("token")).where(~F.col("token").rlike("[0-9]")).distinct()
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, int] = {}
             for token in batch.column("token").to_pylist():
                 low = token.lower()
-                for i in range(len(low) - 1):
-                    counts[low[i : i + 2]] = counts.get(low[i : i + 2], 0) + 1
+                for pair in {low[i : i + 2] for i in range(len(low) - 1)}:
+                    counts[pair] = counts.get(pair, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pair", "n"])
 
     pairs = words.mapInArrow(pairs_of, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     nature = Nature({r["pair"]: r["n"] for r in pairs})
 
-    def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([nature.statistics(t) for t in batch.column("token").to_pylist()], float).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values.T], ["x0", "x1", "x2"])
-
-    sums = words.mapInArrow(statistics, "x0 double, x1 double, x2 double").agg(
-        F.count(F.lit(1)), *(F.avg(f"x{i}") for i in range(3)), *(F.stddev_pop(f"x{i}") for i in range(3)),
-    ).first()
-    if sums[0] >= 100:
-        nature.mean = list(sums[1:4])
-        nature.spread = [max(0.02, x) for x in sums[4:7]]
+            for i, v in enumerate(values.T):
+                steps, n = np.unique(np.rint(STEPS * v).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), i)), pa.array(steps), pa.array(n)], ["i", "step", "n"])
+
+    tables: list[dict[int, int]] = [{}, {}, {}]
+    for r in words.mapInArrow(histograms, "i long, step long, n long").groupBy("i", "step").agg(F.sum("n").alias("n")).collect():
+        tables[r["i"]][r["step"]] = r["n"]
+    nature.measure(tables)
     return nature
 
 

@@ -1,7 +1,9 @@
 """Personal data and secrets against the plain patterns."""
 
 import hashlib
+import random
 import re
+import string
 
 from docsieve.llm import personal_data, secret_scan
 
@@ -92,3 +94,20 @@ def test_lines_of_equals_signs_are_no_candidates(spark):
     rows += [(10 + i, "internationalization counterrevolutionaries") for i in range(30)]
     got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(got) == len(rows) and got[1] == got[2] == "" and got[3] == f"random:41:{41 + len(key)}"
+
+
+def test_copies_and_separator_lines_do_not_set_what_is_natural(spark):
+    rng = random.Random(5)
+    parts = "the ing tion ment ver sch lich keit ent and ter con pre der ein heit".split()
+    signs = string.ascii_letters + string.digits
+    natural = ["".join(rng.choices(parts, k=6)) for _ in range(300)]
+    natural = [w for w in natural if len(w) >= 16]
+    keys = ["".join(rng.choices(signs, k=n)) for n in (20, 24, 32, 40, 48) * 6]
+    copied = "".join(rng.choices(string.ascii_letters, k=24))
+    rows = [(i, w) for i, w in enumerate(natural)] + [(1000 + i, k) for i, k in enumerate(keys)]
+    for more in ([], [copied] * 3000, ["-" * 40] * 3000, ["x" * 20, "-_" * 12, "_" * 70] * 1000):
+        frame = spark.createDataFrame(rows + [(10000 + i, t) for i, t in enumerate(more)], "doc_id long, text string").repartition(4)
+        got = {r.doc_id: r.spans for r in secret_scan.scan(frame).collect()}
+        assert [got[1000 + i] for i in range(len(keys))] == [f"random:0:{len(k)}" for k in keys]
+        assert sum(bool(got[i]) for i in range(len(natural))) <= 3
+        assert all(got[10000 + i] == ("random:0:24" if t == copied else "") for i, t in enumerate(more))
