@@ -2,14 +2,25 @@
 
 `stream` tables carry the key columns, a per-document order column, the text and
 two optional signals: `doc_confidence` and `validation_passed`.
+
+A document's profile is one pair of arrays in its row, made where the text is read. The first documents of a
+key become one model row (`key_models`): frozen centroid, mean and sigma of each signal, and the last
+document of the baseline. Every later document is judged against that row inside its own, so
+texts are never shuffled and nothing is joined document by document.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+from collections import Counter
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsieve.definition import load_settings
 from docsieve.operators import windows
@@ -18,6 +29,10 @@ from docsieve.session import cut
 # The direction in which each signal is bad, and the 0/1 signals.
 DIRECTION = {"doc_confidence": "down", "validation_failure": "up", "text_distance": "up"}
 RATE_SIGNALS = ("validation_failure",)
+#: Largest table of key models that is broadcast, by rows times the size of a row.
+BROADCAST_BYTES = 64 << 20
+#: Profiles in an Arrow batch; tokens whose bucket a task remembers.
+PROFILE_ROWS, REMEMBERED = 1000, 1 << 20
 
 
 def settings() -> dict:
@@ -28,18 +43,50 @@ def bucket_of(token: Column, dim: int) -> Column:
     return (F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
 
 
-def text_profile(stream: DataFrame, doc: str, keep: Sequence[str] = (), dim: int | None = None) -> DataFrame:
-    """M1: sparse rows (doc, bucket, weight), log1p counts scaled to length one. Texts without tokens have no rows.
+def profiler(text: str, dim: int):
+    """Arrow function: the other columns with `buckets` and `weights` of the text. It refers to nothing outside itself."""
+    limit, most = PROFILE_ROWS, REMEMBERED
+    token_of = re.compile("[a-z0-9]+")
+
+    def profile(value: str | None, known: dict[str, int]) -> tuple[list[int], list[float]]:
+        counts: dict[int, int] = {}
+        for token, n in Counter(token_of.findall((value or "").lower())).items():
+            bucket = known.get(token)
+            if bucket is None:
+                if len(known) >= most:
+                    known.clear()
+                bucket = known[token] = int.from_bytes(hashlib.sha256(token.encode()).digest()[:4], "big") % dim
+            counts[bucket] = counts.get(bucket, 0) + n
+        raw = [math.log1p(n) for n in counts.values()]
+        norm = math.sqrt(sum(w * w for w in raw))
+        return list(counts), [w / norm for w in raw]
+
+    def run(batches):
+        known: dict[str, int] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, limit):
+                part = batch.slice(start, limit)
+                pairs = [profile(value.as_py(), known) for value in part.column(text)]
+                names = [c for c in part.schema.names if c != text]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in names), pa.array([b for b, _ in pairs], pa.list_(pa.int32())), pa.array([w for _, w in pairs], pa.list_(pa.float64()))],
+                    [*names, "buckets", "weights"],
+                )
+
+    return run
+
+
+def profiled(stream: DataFrame, dim: int | None = None) -> DataFrame:
+    """The stream's rows with the profile of `text` in its place: `buckets` and `weights`, both empty without tokens. No exchange."""
+    kept = [f for f in stream.schema if f.name != "text"]
+    schema = T.StructType([*kept, T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    return stream.select(*(f.name for f in kept), "text").mapInArrow(profiler("text", dim or settings()["profile_dim"]), schema)
 
-    One exchange by document before the explode serves the count and the norm.
-    """
-    dim = dim or settings()["profile_dim"]
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    long = stream.select(doc, *keep, "text").repartition(doc).select(doc, *keep, F.explode(tokens).alias("token"))
-    counts = long.groupBy(doc, *keep, bucket_of(F.col("token"), dim).alias("bucket")).agg(F.count("*").alias("n"))
-    raw = counts.withColumn("weight", F.log1p(F.col("n").cast("double")))
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(doc)))
-    return raw.withColumn("weight", F.col("weight") / norm).drop("n")
+
+def text_profile(stream: DataFrame, doc: str, keep: Sequence[str] = (), dim: int | None = None) -> DataFrame:
+    """M1: sparse rows (doc, bucket, weight), log1p counts scaled to length one. Texts without tokens have no rows."""
+    rows = profiled(stream.select(doc, *keep, "text"), dim)
+    return rows.select(doc, *keep, F.inline(F.arrays_zip(F.col("buckets").alias("bucket"), F.col("weights").alias("weight"))))
 
 
 def cosine_distance(pairs: DataFrame, left: DataFrame, right: DataFrame, on: Sequence[str], ids: tuple[str, str]) -> DataFrame:
@@ -58,86 +105,121 @@ def cosine_distance(pairs: DataFrame, left: DataFrame, right: DataFrame, on: Seq
     return scaled.select(a, b, F.greatest(F.lit(0.0), F.least(F.lit(2.0), distance)).alias("distance"))
 
 
-def baseline_slice(stream: DataFrame, keys: Sequence[str], order: str, n: int | None = None) -> DataFrame:
+def baseline_slice(stream: DataFrame, keys: Sequence[str], order: str | Sequence[str], n: int | None = None) -> DataFrame:
     """H7: the first n documents of each key with their position `_rank`; at most n rows of a key leave a task."""
-    return windows.top_per_key(stream, keys, [F.col(order)], n or settings()["baseline_n"])
+    columns = [order] if isinstance(order, str) else list(order)
+    return windows.top_per_key(stream, keys, [F.col(c) for c in columns], n or settings()["baseline_n"])
+
+
+def with_models(rows: DataFrame, models: DataFrame, keys: Sequence[str], row_bytes: int) -> DataFrame:
+    """Rows beside their key's row of a small cut table: broadcast while that is within bounds, else joined."""
+    small = models.count() * row_bytes <= BROADCAST_BYTES
+    return rows.join(F.broadcast(models) if small else models, list(keys))
+
+
+def modeller(keys: Sequence[str], doc: str, order: str, cfg: dict):
+    """Pandas function over one key's baseline (at most `baseline_n` rows). It refers to nothing outside itself."""
+    signals, rates = list(DIRECTION), set(RATE_SIGNALS)
+
+    def spread(signal: str, values: list[float], mean: float) -> float:
+        n = len(values)
+        if signal in rates:
+            share = (mean * n + 0.5) / (n + 1)
+            return max(math.sqrt(share * (1 - share)), cfg["min_std"])
+        if n < 2:
+            return cfg["min_std"]
+        return max(math.sqrt(sum((v - mean) ** 2 for v in values) / (n - 1)), cfg["min_std"])
+
+    def model(key, rows):
+        import numpy as np
+        import pandas as pd
+
+        rows = rows.sort_values([order, doc])
+        total, early, seen = np.zeros(cfg["profile_dim"]), [], {s: [] for s in signals}
+        for at, r in enumerate(rows.itertuples(index=False)):
+            buckets, weights = np.asarray(r.buckets, np.int64), np.asarray(r.weights, float)
+            if at:  # measured against the mean of those before it
+                size, own = math.sqrt(total @ total), math.sqrt(weights @ weights)
+                away = 1.0 - (total[buckets] @ weights) / (size * own) if size and own else 0.0
+                away = max(0.0, min(2.0, away))
+                early.append({"doc": getattr(r, doc), "at": getattr(r, order), "value": away})
+                seen["text_distance"].append(away)
+            total[buckets] += weights
+            if not pd.isna(r.doc_confidence):
+                seen["doc_confidence"].append(float(r.doc_confidence))
+            if not pd.isna(r.validation_passed):
+                seen["validation_failure"].append(0.0 if r.validation_passed else 1.0)
+        center = total / len(rows)
+        out = {**dict(zip(keys, key)), "last_at": rows[order].iloc[-1], "last_doc": rows[doc].iloc[-1], "centroid": center.tolist(), "length": math.sqrt(center @ center), "early": early}
+        for s, values in seen.items():
+            mean = sum(values) / len(values) if values else None
+            out |= {f"n_{s}": len(values), f"mean_{s}": mean, f"sigma_{s}": spread(s, values, mean) if values else None}
+        return pd.DataFrame([out])
+
+    return model
+
+
+def key_models(stream: DataFrame, keys: Sequence[str], doc: str, order: str, cfg: dict | None = None) -> DataFrame:
+    """M3 and M4, one row per key over its first documents.
+
+    `centroid` (the mean profile, frozen) and `length`, `early` (distance of each baseline document to the mean of
+    those before it), n, mean and sigma of each signal, and the baseline's last document (`last_at`, `last_doc`).
+    """
+    cfg = {**settings(), **(cfg or {})}
+    first = baseline_slice(stream.select(*keys, order, doc), keys, [order, doc], cfg["baseline_n"])
+    ends = cut(first.groupBy(*keys).agg(F.max(F.struct(order, doc)).alias("_end")))
+    base = with_models(stream.select(*keys, doc, order, "text", "doc_confidence", "validation_passed"), ends, keys, 64)
+    base = profiled(base.where(F.struct(order, doc) <= F.col("_end")).drop("_end"), cfg["profile_dim"])
+    kind = {f.name: f.dataType.simpleString() for f in stream.schema}
+    columns = [f"{k} {kind[k]}" for k in keys] + [
+        f"last_at {kind[order]}", f"last_doc {kind[doc]}", "centroid array<double>", "length double", f"early array<struct<doc: {kind[doc]}, at: {kind[order]}, value: double>>",
+        *(f"n_{s} bigint, mean_{s} double, sigma_{s} double" for s in DIRECTION),
+    ]
+    return cut(base.groupBy(*keys).applyInPandas(modeller(list(keys), doc, order, cfg), ", ".join(columns)))
 
 
-def running_distance(profiles: DataFrame, baseline: DataFrame, keys: Sequence[str], doc: str) -> DataFrame:
-    """M3: distance of each baseline document to the mean of those before it; the first one has none.
+def clamped(distance: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(2.0), distance))
 
-    With S the sum of the earlier profiles, only buckets of the document itself
-    enter S·p, and |S|² grows by 2 S·p + |p|² per document, so two running sums
-    over at most `baseline_n` documents replace the pairwise products.
-    """
-    ranked = profiles.join(baseline.select(doc, "_rank"), doc)
-    before = Window.partitionBy(*keys, "bucket").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
-    with_sum = ranked.withColumn("_s", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    dots = with_sum.groupBy(doc).agg(
-        F.sum(F.col("_s") * F.col("weight")).alias("_dot"), F.sum(F.col("weight") * F.col("weight")).alias("_own")
-    )
-    per_doc = baseline.select(*keys, doc, "_rank").join(dots, doc, "left").na.fill(0.0, ["_dot", "_own"])
-    earlier = Window.partitionBy(*keys).orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.sqrt(F.sum(2 * F.col("_dot") + F.col("_own")).over(earlier))
-    cosine = F.col("_dot") / (F.sqrt("_own") * F.col("_size"))
-    distance = F.when((F.col("_own") == 0) | (F.col("_size") == 0), F.lit(0.0)).otherwise(F.lit(1.0) - cosine)
-    out = per_doc.withColumn("_size", size).where(F.col("_rank") > 1)
-    return out.select(*keys, doc, F.greatest(F.lit(0.0), F.least(F.lit(2.0), distance)).alias("value"))
-
-
-def centroid(profiles: DataFrame, baseline: DataFrame, keys: Sequence[str], doc: str) -> DataFrame:
-    """M3, frozen: mean weight per (key, bucket) over the baseline documents, with the centroid's length."""
-    sizes = baseline.groupBy(*keys).agg(F.max("_rank").alias("_n"))
-    sums = profiles.join(baseline.select(doc), doc, "left_semi").groupBy(*keys, "bucket").agg(F.sum("weight").alias("_sum"))
-    means = sums.join(sizes, list(keys)).select(*keys, "bucket", (F.col("_sum") / F.col("_n")).alias("mean_weight"))
-    length = F.sqrt(F.sum(F.col("mean_weight") * F.col("mean_weight")).over(Window.partitionBy(*keys)))
-    return means.withColumn("length", length)
-
-
-def frozen_distance(profiles: DataFrame, centers: DataFrame, later: DataFrame, keys: Sequence[str], doc: str) -> DataFrame:
-    """Distance of every later document to its key's frozen centroid."""
-    lengths = centers.groupBy(*keys).agg(F.max("length").alias("_len"))
-    rows = profiles.join(later.select(doc), doc, "left_semi").join(centers.drop("length"), [*keys, "bucket"], "left")
-    dots = rows.groupBy(doc).agg(F.sum(F.col("weight") * F.coalesce("mean_weight", F.lit(0.0))).alias("_dot"))
-    joined = later.select(*keys, doc).join(dots, doc, "left").join(lengths, list(keys), "left")
-    known = F.col("_dot").isNotNull() & F.col("_len").isNotNull() & (F.col("_len") > 0)
-    distance = F.when(known, F.lit(1.0) - F.col("_dot") / F.col("_len")).otherwise(F.lit(0.0))
-    return joined.select(*keys, doc, F.greatest(F.lit(0.0), F.least(F.lit(2.0), distance)).alias("value"))
-
-
-def signal_rows(stream: DataFrame, distances: DataFrame, keys: Sequence[str], doc: str, order: str) -> DataFrame:
-    """Long (key, doc, signal, value); a missing confidence or validation leaves its signal out."""
-    failure = (~F.col("validation_passed")).cast("double")
-    pairs = F.array(
-        F.struct(F.lit("doc_confidence").alias("signal"), F.col("doc_confidence").cast("double").alias("value")),
-        F.struct(F.lit("validation_failure").alias("signal"), failure.alias("value")),
-    )
-    own = stream.select(*keys, doc, order, F.inline_outer(pairs)).where(F.col("value").isNotNull())
-    text = distances.join(stream.select(doc, order), doc).select(*keys, doc, order, F.lit("text_distance").alias("signal"), "value")
-    return own.unionByName(text)
-
-
-def baseline_stats(signals: DataFrame, baseline: DataFrame, keys: Sequence[str], doc: str, min_std: float | None = None) -> DataFrame:
-    """M4: n, mean and sigma per (key, signal) over the baseline."""
-    floor = F.lit(float(min_std if min_std is not None else settings()["min_std"]))
-    stats = (
-        signals.join(baseline.select(doc), doc, "left_semi")
-        .groupBy(*keys, "signal")
-        .agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("_sd"))
-    )
-    smoothed = (F.col("mean") * F.col("n") + 0.5) / (F.col("n") + 1)
-    rate = F.greatest(F.sqrt(smoothed * (1 - smoothed)), floor)
-    spread = F.when(F.col("n") < 2, floor).otherwise(F.greatest(F.col("_sd"), floor))
-    return stats.withColumn("sigma", F.when(F.col("signal").isin(*RATE_SIGNALS), rate).otherwise(spread)).drop("_sd")
+
+def judged(stream: DataFrame, models: DataFrame, keys: Sequence[str], doc: str, order: str, cfg: dict | None = None) -> DataFrame:
+    """Every later document beside its key's model, with `text_distance` to the frozen centroid."""
+    cfg = {**settings(), **(cfg or {})}
+    rows = profiled(stream.select(*keys, doc, order, "text", "doc_confidence", "validation_passed"), cfg["profile_dim"])
+    both = with_models(rows, models.drop("early"), keys, 8 * cfg["profile_dim"] + 256).where(F.struct(order, doc) > F.struct("last_at", "last_doc"))
+    products = F.zip_with("buckets", "weights", lambda b, w: w * F.get("centroid", b))
+    dot = F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+    known = (F.size("buckets") > 0) & (F.col("length") > 0)
+    return both.withColumn("text_distance", F.when(known, clamped(1.0 - dot / F.col("length"))).otherwise(0.0)).drop("buckets", "weights", "centroid", "length", "last_at", "last_doc")
+
+
+def distances(models: DataFrame, late: DataFrame, keys: Sequence[str], doc: str) -> DataFrame:
+    """M3 for all documents that have one: (key, doc, value); the first document of a key has none."""
+    early = models.select(*keys, F.inline("early")).select(*keys, F.col("doc").alias(doc), "value")
+    return early.unionByName(late.select(*keys, doc, F.col("text_distance").alias("value")))
+
+
+def baseline_stats(models: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """M4 as rows: n, mean and sigma per (key, signal) that the baseline has."""
+    rows = F.array(*[F.struct(F.lit(s).alias("signal"), F.col(f"n_{s}").alias("n"), F.col(f"mean_{s}").alias("mean"), F.col(f"sigma_{s}").alias("sigma")) for s in DIRECTION])
+    return models.select(*keys, F.inline(rows)).where("n > 0")
+
+
+def centroid(models: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """M3 as rows: the frozen mean weight per (key, bucket) that occurs, with the centroid's length."""
+    return models.select(*keys, "length", F.posexplode("centroid").alias("bucket", "mean_weight")).where("mean_weight > 0")
 
 
-def z_and_breach(signals: DataFrame, later: DataFrame, stats: DataFrame, keys: Sequence[str], doc: str, threshold: float | None = None) -> DataFrame:
-    """M5: z of every later value and whether it breaches in its bad direction."""
+def z_and_breach(late: DataFrame, keys: Sequence[str], doc: str, order: str, threshold: float | None = None) -> DataFrame:
+    """M5: z of every later value and whether it breaches in its bad direction; a missing value leaves its signal out."""
     t = float(threshold if threshold is not None else settings()["z_threshold"])
-    judged = signals.join(later.select(doc), doc, "left_semi").join(stats.where(F.col("n") >= 2), [*keys, "signal"])
-    z = (F.col("value") - F.col("mean")) / F.col("sigma")
+    values = {"doc_confidence": F.col("doc_confidence").cast("double"), "validation_failure": (~F.col("validation_passed")).cast("double"), "text_distance": F.col("text_distance")}
+    rows = F.array(*[
+        F.struct(F.lit(s).alias("signal"), v.alias("value"), F.col(f"n_{s}").alias("n"), F.col(f"mean_{s}").alias("mean"), F.col(f"sigma_{s}").alias("sigma")) for s, v in values.items()
+    ])
+    long = late.select(*keys, doc, order, F.inline(rows)).where(F.col("value").isNotNull() & (F.col("n") >= 2))
     down = F.col("signal").isin(*[s for s, d in DIRECTION.items() if d == "down"])
-    scored = judged.withColumn("z", z)
+    scored = long.withColumn("z", (F.col("value") - F.col("mean")) / F.col("sigma"))
     return scored.withColumn("breach", F.when(down, F.col("z") <= -t).otherwise(F.col("z") >= t))
 
 
@@ -173,21 +255,34 @@ def drift_status(run_lengths: DataFrame, stats: DataFrame, keys: Sequence[str],
 
 
 class DriftPlan:
-    """All batch stages over one stream table, each one a DataFrame."""
+    """All batch stages over one stream table, each one a DataFrame. The models of the keys are built once."""
 
     def __init__(self, stream: DataFrame, keys: Sequence[str] = ("tenant_id", "doc_type"), doc: str = "doc_id", order: str = "seq"):
         self.keys, self.doc, self.order, self.stream = list(keys), doc, order, stream
-        self.baseline = baseline_slice(stream, self.keys, order)
-        self.later = stream.join(self.baseline.select(doc), doc, "left_anti")
-        # Read by the running distance, the centroid and the frozen distance: written once, tokens are counted once.
-        self.profiles = cut(text_profile(stream, doc, self.keys))
-        self.centers = centroid(self.profiles, self.baseline, self.keys, doc)
-        early = running_distance(self.profiles, self.baseline, self.keys, doc)
-        late = frozen_distance(self.profiles, self.centers, self.later, self.keys, doc)
-        self.distances = early.unionByName(late)
-        self.signals = signal_rows(stream, self.distances, self.keys, doc, order)
-        self.stats = baseline_stats(self.signals, self.baseline, self.keys, doc)
-        self.scored = z_and_breach(self.signals, self.later, self.stats, self.keys, doc)
+        self.models = key_models(stream, self.keys, doc, order)
+        self.stats = baseline_stats(self.models, self.keys)
+        self.centers = centroid(self.models, self.keys)
+
+    @property
+    def later(self) -> DataFrame:
+        ends = self.models.select(*self.keys, "last_at", "last_doc")
+        return with_models(self.stream.drop("text"), ends, self.keys, 64).where(F.struct(self.order, self.doc) > F.struct("last_at", "last_doc")).drop("last_at", "last_doc")
+
+    @property
+    def profiles(self) -> DataFrame:
+        return text_profile(self.stream, self.doc, self.keys)
+
+    @property
+    def judged(self) -> DataFrame:
+        return judged(self.stream, self.models, self.keys, self.doc, self.order)
+
+    @property
+    def distances(self) -> DataFrame:
+        return distances(self.models, self.judged, self.keys, self.doc)
+
+    @property
+    def scored(self) -> DataFrame:
+        return z_and_breach(self.judged, self.keys, self.doc, self.order)
 
     def runs(self) -> DataFrame:
         return consecutive_breaches(self.scored, self.keys, self.order)

@@ -127,8 +127,9 @@ def test_running_distance_equals_incremental_centroid(spark):
     df = spark.createDataFrame([("t", "d", i, i, x) for i, x in enumerate(docs)], "tenant_id string, doc_type string, doc_id int, seq int, text string")
     keys = ["tenant_id", "doc_type"]
     profiles = drift.text_profile(df, "doc_id", keys, 64)
-    base = drift.baseline_slice(df, keys, "seq", 50)
-    got = {r.doc_id: r.value for r in drift.running_distance(profiles, base, keys, "doc_id").collect()}
+    signals = df.selectExpr("*", "CAST(NULL AS DOUBLE) AS doc_confidence", "CAST(NULL AS BOOLEAN) AS validation_passed")
+    models = drift.key_models(signals, keys, "doc_id", "seq", {"profile_dim": 64})
+    got = {r.doc_id: r.value for r in drift.distances(models, drift.judged(signals, models, keys, "doc_id", "seq", {"profile_dim": 64}), keys, "doc_id").collect()}
     dense = {i: [0.0] * 64 for i in range(len(docs))}
     for r in profiles.collect():
         dense[r.doc_id][r.bucket] = r.weight
@@ -142,3 +143,29 @@ def test_running_distance_equals_incremental_centroid(spark):
         center = p if center is None else [c + (x - c) / (i + 1) for c, x in zip(center, p)]
     assert got.keys() == want.keys()
     assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_later_documents_against_a_frozen_model(spark):
+    """A hot key and a small one, ties in the order, missing signals, texts without tokens; no shuffle of texts."""
+    keys, cfg = ["tenant_id", "doc_type"], {"profile_dim": 32, "baseline_n": 4}
+    rows = [("hot", "d", i, i // 2, None if i % 7 == 3 else f"alpha word{i % 5} " * (i % 3), None if i % 5 == 0 else 0.9 - i / 100, None if i % 4 == 0 else i % 3 > 0) for i in range(40)]
+    rows += [("one", "d", 100, 0, "beta", 0.5, True), ("two", "d", 101, 0, "beta", 0.5, True), ("two", "d", 102, 1, "", None, None)]
+    stream = spark.createDataFrame(rows, "tenant_id string, doc_type string, doc_id int, seq int, text string, doc_confidence double, validation_passed boolean").repartition(6)
+    models = drift.key_models(stream, keys, "doc_id", "seq", cfg)
+    late = drift.judged(stream, models, keys, "doc_id", "seq", cfg)
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 0
+    got = {r.doc_id: r.text_distance for r in late.collect()}
+    assert set(got) == set(range(4, 40))
+    dense = {}
+    for r in drift.text_profile(stream, "doc_id", (), 32).collect():
+        dense.setdefault(r.doc_id, [0.0] * 32)[r.bucket] = r.weight
+    zero = [0.0] * 32
+    center = [sum(dense.get(i, zero)[b] for i in range(4)) / 4 for b in range(32)]
+    size = sum(c * c for c in center) ** 0.5
+    for i, value in got.items():
+        dot = sum(a * b for a, b in zip(dense.get(i, zero), center))
+        assert abs(value - (1 - dot / size if i in dense else 0.0)) < 1e-9
+    stats = {(r.tenant_id, r.signal): (r.n, r.mean) for r in drift.baseline_stats(models, keys).collect()}
+    assert stats["hot", "validation_failure"] == (3, 1 / 3) and stats["hot", "doc_confidence"][0] == 3 and stats["hot", "text_distance"][0] == 3
+    assert ("one", "text_distance") not in stats and stats["two", "doc_confidence"] == (1, 0.5)
