@@ -24,8 +24,11 @@ def foreign_rows(df: DataFrame, tenant: str | None) -> DataFrame:
     return df.where(~F.coalesce(F.col("tenant_id") == tenant, F.lit(False)))
 
 
-def usage_summary(budget: DataFrame, documents: DataFrame, units: DataFrame, in_flight: tuple[str, ...]) -> DataFrame:
-    """Q3: one row per tenant: budget state, documents in flight and by status, cost per definition."""
+def usage_summary(budget: DataFrame, documents: DataFrame, units: DataFrame, in_flight: tuple[str, ...], drift: DataFrame) -> DataFrame:
+    """Q3: one row per tenant: budget state, documents in flight and by status, cost per definition, drift per document type.
+
+    `drift` has one row per tenant and document type (`streaming.drift.stored_keys`); tenants without one have no drift entries.
+    """
     by_status = documents.groupBy("tenant_id", "status").agg(F.count("*").alias("n"))
     counts = by_status.groupBy("tenant_id").agg(
         F.sum(F.when(F.col("status").isin(*in_flight), F.col("n")).otherwise(0)).alias("in_flight"),
@@ -34,7 +37,9 @@ def usage_summary(budget: DataFrame, documents: DataFrame, units: DataFrame, in_
     costs = units.groupBy("tenant_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("slug", "cost_per_document")))).alias("cost_per_document")
     )
-    joined = budget.join(counts, "tenant_id", "left").join(costs, "tenant_id", "left")
+    shown = [c for c in drift.columns if c not in ("tenant_id", "doc_type")]
+    states = drift.groupBy("tenant_id").agg(F.map_from_entries(F.collect_list(F.struct("doc_type", F.struct(*shown)))).alias("drift"))
+    joined = budget.join(counts, "tenant_id", "left").join(costs, "tenant_id", "left").join(states, "tenant_id", "left")
     return joined.withColumn("tenant_status", F.when(F.col("exceeded"), "paused").otherwise("active")).withColumn(
         "in_flight", F.coalesce("in_flight", F.lit(0))
     )

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docsieve.definition import load_confidence_model, load_definition, load_hints, load_settings
-from docsieve.operators import drift, evaluate
+from docsieve.operators import drift, evaluate, metering, tenancy, triage
 from docsieve.plans import oracle_views as O
 from docsieve.plans import queries_drift as Q
 from docsieve.plans import views
 from docsieve.plans.catalog import query
 from docsieve.plans.queries_study import _READ
-from docsieve.plans.queries_tables import _EXTR, _extractions
+from docsieve.plans.queries_tables import _EXTR, _SQL_FLYING, DBL, _budget, _extractions, _priced
 from docsieve.session import cut, scratch_table
 from docsieve.streaming import documents as D
 from docsieve.streaming import drift as stream_drift
@@ -24,12 +24,36 @@ def replay(spark, df, name):
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
+#: Rows of a micro-batch of a replay in order.
+ORDERED_ROWS = 20_000
+
+
+def replay_in_order(spark, df, name, order, rows=None):
+    """A stored table read back as a stream in the given order, one file of about `rows` rows per micro-batch.
+
+    Files are taken in the order of their times, so the ranges are written one after another, each
+    row twice in all.
+    """
+    rows = rows or ORDERED_ROWS
+    ranges, ranged, path = max(1, -(-df.count() // rows)), scratch_table(spark, name), scratch_table(spark, name)
+    df.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(ranged)
+    whole = spark.read.schema(f"{df.schema.simpleString()[7:-1].replace(':', ' ')}, _range int").parquet(ranged)
+    for i in range(ranges):
+        whole.where(F.col("_range") == i).drop("_range").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def drain(spark, df, name):
-    """Run an append stream until its input is used up and return what it wrote."""
-    out = scratch_table(spark, name)
-    writer = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_table(spark, name))
+    """Run an append stream until its input is used up: what it wrote, and its checkpoint."""
+    out, checkpoint = scratch_table(spark, name), scratch_table(spark, name)
+    writer = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    return spark.read.schema(df.schema).parquet(out), checkpoint
+
+
+def observed(spark, stream):
+    """The drift observations of a whole table taken as a stream, and the checkpoint that holds its state."""
+    return drain(spark, stream_drift.observe(replay_in_order(spark, stream, "drift", "seq")), "observed")
 
 
 _LONG = " UNION ALL ".join(f"SELECT doc_id, '{s}' AS signal, round(z, 4) + 0.0 AS z FROM runs WHERE signal = '{s}'" for s in drift.DIRECTION)
@@ -38,7 +62,7 @@ _LONG = " UNION ALL ".join(f"SELECT doc_id, '{s}' AS signal, round(z, 4) + 0.0 A
 @query(f"WITH {Q._SIGNALS} {_LONG}")
 def observe(spark, sf):
     """M7 over all documents as a stream; its z-scores equal the batch twin's."""
-    seen = drain(spark, stream_drift.observe(replay(spark, Q.stream(spark, sf), "drift")), "observed")
+    seen, _ = observed(spark, Q.stream(spark, sf))
     pairs = F.array(*[F.struct(F.lit(s).alias("signal"), F.col(f"z_{s}").alias("z")) for s in drift.DIRECTION])
     long = seen.select("doc_id", F.inline_outer(pairs)).where(F.col("z").isNotNull() & ~F.isnan("z"))
     return long.withColumn("z", F.round("z", 4) + F.lit(0.0))
@@ -46,13 +70,9 @@ def observe(spark, sf):
 
 @query(f"WITH {Q._SIGNALS}, f AS (SELECT tenant_id, min(doc_id) AS first_flagged FROM runs WHERE consecutive >= 3 GROUP BY 1) SELECT s.tenant_id, count(*) AS n_observed, CASE WHEN max(first_flagged) IS NOT NULL THEN 'drifting' WHEN count(*) < 50 THEN 'baseline' ELSE 'stable' END AS status, max(first_flagged) AS first_flagged FROM stream s LEFT JOIN f ON s.tenant_id = f.tenant_id GROUP BY 1")
 def observe_status(spark, sf):
-    """M7 / M8: the last state of each stream and the document that raised the flag."""
-    seen = drain(spark, stream_drift.observe(replay(spark, Q.stream(spark, sf), "drift")), "observed")
-    return seen.groupBy("tenant_id").agg(
-        F.max("n_observed").alias("n_observed"),
-        F.max_by("status", "n_observed").alias("status"),
-        F.min(F.when(F.col("newly_flagged"), F.col("doc_id"))).alias("first_flagged"),
-    )
+    """M7 / M8: the last state of each stream, read from the state store, and the document that raised the flag."""
+    _, checkpoint = observed(spark, Q.stream(spark, sf))
+    return stream_drift.stored_keys(spark, checkpoint).select("tenant_id", "n_observed", "status", "first_flagged")
 
 
 @query("SELECT 't' || (doc_id % 3) AS tenant_id, sha256(CASE WHEN doc_id % 2 = 0 THEN '%PDF-' || text ELSE text END) AS sha256, CASE WHEN max(doc_id % 2) = 0 THEN 'received' ELSE 'failed' END AS status FROM documents GROUP BY 1, 2")
@@ -132,3 +152,39 @@ def synthetic_extractions(spark, sf):
     docs = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("document_id"), key.alias("s3_key"))
     extracted = _extractions(spark, sf).where(F.col("output").isNotNull()).select("extraction_id", "document_id")
     return extracted.join(docs.where(F.col("s3_key").like("%/synth/%")), "document_id").select("extraction_id", "document_id")
+
+
+_BY_TENANT = Q._SIGNALS.replace("lang AS tenant_id", "'t' || (doc_id % 10) AS tenant_id").replace("PARTITION BY lang ORDER", "PARTITION BY doc_id % 10 ORDER")
+_HELD = ", ".join(f"coalesce(last_value({s}.consecutive IGNORE NULLS) OVER (PARTITION BY s.tenant_id ORDER BY s.pos), 0) AS {s}_run" for s in drift.DIRECTION)
+_BESIDE = " ".join(f"LEFT JOIN (SELECT * FROM runs WHERE signal = '{s}') {s} ON {s}.doc_id = s.doc_id" for s in drift.DIRECTION)
+_RAISED = ", ".join(f"CASE WHEN {s}_run >= 3 THEN '{s}' END" for s in sorted(drift.DIRECTION))
+
+
+@query(
+    f"""WITH {_BY_TENANT}, steps AS (SELECT s.doc_id, s.tenant_id, s.pos, {_HELD} FROM stream s {_BESIDE}),
+        raised AS (SELECT *, concat_ws(',', {_RAISED}) AS flagged FROM steps),
+        state AS (SELECT tenant_id, count(*) AS observed, arg_max(flagged, pos) FILTER (WHERE flagged <> '') AS flagged, min(doc_id) FILTER (WHERE flagged <> '') AS first_flagged FROM raised GROUP BY 1),
+        z AS (SELECT tenant_id, arg_max(z, pos) AS z FROM runs WHERE signal = 'text_distance' GROUP BY 1),
+        {O.USAGE}, d AS (SELECT 't' || (doc_id % 10) AS tenant_id, status FROM (WITH {O.DOCS} SELECT * FROM docs)),
+        spend AS (SELECT tenant_id, CAST(sum(cost_usd) AS DECIMAL(14,6)) AS spent, CAST(CASE WHEN tenant_id IN ('t1', 't4') THEN 1.0 ELSE 20.0 END AS DECIMAL(14,6)) AS budget,
+          round(CAST(sum(cost_usd) FILTER (WHERE slug = 'invoice') AS DOUBLE) / count(DISTINCT document_id) FILTER (WHERE slug = 'invoice'), 6) AS per_invoice FROM priced GROUP BY 1),
+        tally AS (SELECT tenant_id, count(*) FILTER (WHERE status IN {_SQL_FLYING}) AS in_flight, count(*) FILTER (WHERE status = 'approved') AS approved FROM d GROUP BY 1)
+        SELECT tenant_id, CAST(spent AS DOUBLE) AS spent, CAST(greatest(budget - spent, 0) AS DOUBLE) AS remaining, CASE WHEN spent >= budget THEN 'paused' ELSE 'active' END AS status,
+        in_flight, approved, per_invoice, CASE WHEN flagged IS NOT NULL THEN 'drifting' WHEN observed >= 50 THEN 'stable' ELSE 'baseline' END AS drift_status, observed AS drift_observed,
+        flagged AS drift_flagged, first_flagged AS drift_first, round(z, 3) + 0.0 AS distance_z
+        FROM spend JOIN tally USING (tenant_id) LEFT JOIN state USING (tenant_id) LEFT JOIN z USING (tenant_id)"""
+)
+def usage_summary(spark, sf):
+    """Q3 with the drift state of each tenant's stream, read from the state store of the finished stream."""
+    tenant = F.concat(F.lit("t"), (F.col("doc_id") % 10).cast("string"))
+    _, checkpoint = observed(spark, Q.stream(spark, sf).withColumn("tenant_id", tenant))
+    docs = views.document_rows(spark, sf).withColumn("tenant_id", tenant)
+    units = metering.unit_costs(_priced(spark, sf), ("tenant_id",))
+    out = tenancy.usage_summary(_budget(spark, sf), docs, units, triage.IN_FLIGHT, stream_drift.stored_keys(spark, checkpoint))
+    prose = F.try_element_at("drift", F.lit("prose"))
+    return out.select(
+        "tenant_id", DBL("spent_usd").alias("spent"), DBL("remaining_usd").alias("remaining"), F.col("tenant_status").alias("status"), "in_flight",
+        F.try_element_at("status_counts", F.lit("approved")).alias("approved"), F.try_element_at("cost_per_document", F.lit("invoice")).alias("per_invoice"),
+        prose["status"].alias("drift_status"), prose["n_observed"].alias("drift_observed"), prose["flagged_signals"].alias("drift_flagged"), prose["first_flagged"].alias("drift_first"),
+        (F.try_element_at(prose["signals"], F.lit("text_distance"))["last_z"] + F.lit(0.0)).alias("distance_z"),
+    )

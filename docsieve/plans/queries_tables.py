@@ -509,21 +509,3 @@ def tenant_view(spark, sf):
 @query(f"WITH {O.DOCS} SELECT doc_id, tenant_id FROM docs WHERE tenant_id <> 'de'")
 def tenant_write_check(spark, sf):
     return tenancy.foreign_rows(views.document_rows(spark, sf), "de").select("doc_id", "tenant_id")
-
-
-@query(
-    f"""WITH {O.USAGE}, d AS (SELECT 't' || (doc_id % 10) AS tenant_id, status FROM (WITH {O.DOCS} SELECT * FROM docs)),
-        spend AS (SELECT tenant_id, CAST(sum(cost_usd) AS DECIMAL(14,6)) AS spent, CAST(CASE WHEN tenant_id IN ('t1', 't4') THEN 1.0 ELSE 20.0 END AS DECIMAL(14,6)) AS budget,
-          round(CAST(sum(cost_usd) FILTER (WHERE slug = 'invoice') AS DOUBLE) / count(DISTINCT document_id) FILTER (WHERE slug = 'invoice'), 6) AS per_invoice FROM priced GROUP BY 1),
-        counts AS (SELECT tenant_id, count(*) FILTER (WHERE status IN {_SQL_FLYING}) AS in_flight, count(*) FILTER (WHERE status = 'approved') AS approved FROM d GROUP BY 1)
-        SELECT tenant_id, CAST(spent AS DOUBLE) AS spent, CAST(greatest(budget - spent, 0) AS DOUBLE) AS remaining, CASE WHEN spent >= budget THEN 'paused' ELSE 'active' END AS status,
-        in_flight, approved, per_invoice FROM spend JOIN counts USING (tenant_id)"""
-)
-def usage_summary(spark, sf):
-    docs = views.document_rows(spark, sf).withColumn("tenant_id", F.concat(F.lit("t"), (F.col("doc_id") % 10).cast("string")))
-    units = metering.unit_costs(_priced(spark, sf), ("tenant_id",))
-    out = tenancy.usage_summary(_budget(spark, sf), docs, units, triage.IN_FLIGHT)
-    return out.select(
-        "tenant_id", DBL("spent_usd").alias("spent"), DBL("remaining_usd").alias("remaining"), F.col("tenant_status").alias("status"), "in_flight",
-        F.try_element_at("status_counts", F.lit("approved")).alias("approved"), F.try_element_at("cost_per_document", F.lit("invoice")).alias("per_invoice"),
-    )

@@ -57,6 +57,45 @@ def test_drift_stream_equals_batch(spark, sf, tmp_path):
     assert set(seen.sort_values("n_observed").status.tail(1)) == {flags.status}
 
 
+def test_a_heavy_key_comes_in_bounded_micro_batches_and_leaves_its_state(spark, tmp_path):
+    """Order and bounds of the replay; the stored state equals the batch plan's last one."""
+    from docsieve.operators.drift import DriftPlan
+    from docsieve.plans import queries_streams as S
+
+    docs = Q.stream(spark, "/root/testdata/sf0.01").where("tenant_id IN ('en', 'es')").cache()
+    stream = S.replay_in_order(spark, docs, "ordered", "seq", rows=150)
+    out, checkpoint = str(tmp_path / "seen"), str(tmp_path / "cp")
+    query = stream_drift.observe(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    sizes = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(sizes) > 3 and max(sizes) < 400 and sum(sizes) == docs.count()
+    seen = spark.read.schema(stream_drift.OUTPUT).parquet(out)
+    ranks = seen.join(docs.select("doc_id", "seq"), "doc_id").orderBy("tenant_id", "seq").select("tenant_id", "n_observed").collect()
+    assert all(b.n_observed == a.n_observed + 1 for a, b in zip(ranks, ranks[1:]) if a.tenant_id == b.tenant_id)
+    batch = DriftPlan(docs, Q.KEYS)
+    want = {(r.tenant_id, r.signal): (round(r.baseline_mean, 5), r.baseline_n, r.last_z and round(r.last_z, 2), r.consecutive) for r in batch.status().collect()}
+    stored = stream_drift.stored_keys(spark, checkpoint)
+    got = {(r.tenant_id, s): (round(v.baseline_mean, 5), v.baseline_n, v.last_z and round(v.last_z, 2), v.consecutive) for r in stored.collect() for s, v in r.signals.items()}
+    assert got == want
+    assert {(r.tenant_id, r.status, r.first_flagged) for r in stored.collect()} == {(r.tenant_id, r.status, r.flagged_document) for r in batch.flags().collect()}
+
+
+def test_a_changed_profile_width_drops_the_distance(spark, sf, tmp_path):
+    """A stored mean profile of another width is not compared and, in the baseline, started anew."""
+    rows = [("t", "d", i, i, f"word{i % 3} total", 0.9, True) for i in range(12)]
+    docs = spark.createDataFrame(rows, "tenant_id string, doc_type string, doc_id long, seq long, text string, doc_confidence double, validation_passed boolean")
+    path, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for part, dim in ((docs.where("seq < 6"), 64), (docs.where("seq >= 6"), 32)):
+        part.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(docs.schema).parquet(path)
+        seen = stream_drift.observe(stream, {"baseline_n": 4, "profile_dim": dim})
+        seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination(240)
+    got = {r.doc_id: r for r in spark.read.schema(stream_drift.OUTPUT).parquet(out).collect()}
+    assert len(got) == 12 and [got[i].n_observed for i in range(12)] == list(range(1, 13))
+    known = lambda v: v is not None and not math.isnan(v)
+    assert all(known(got[i].z_text_distance) == (4 <= i < 6) and known(got[i].z_doc_confidence) == (i >= 4) for i in range(12))
+
+
 def test_budget_stream_equals_batch(spark, sf, tmp_path):
     log = Q.budget_log(spark, sf).drop("event_id")
     budgets = Q.budgets(spark, sf)
