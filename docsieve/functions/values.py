@@ -48,7 +48,7 @@ EXACT = "decimal(38,12)"
 def norm_amount(value: Column) -> Column:
     """B2: a printed amount in US or continental notation as an exact decimal; the later mark is the decimal one.
 
-    26 digits before the point and 12 behind it are kept. Canonical records narrow it to their money type.
+    26 digits before the point and 12 behind it are kept; canonical records keep 25 before the point.
     """
     return bind(F.regexp_replace(value, _CURRENCY, ""), _plain_number).try_cast(EXACT)
 

@@ -11,46 +11,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.definition import Definition, Rule
+from docsieve.functions import exact
 from docsieve.functions.tables import literal_table
 
-TOTAL = "decimal(28,4)"
-_ROW_MISS = "decimal(38,8)"
+#: Sums and differences keep 25 digits before the point and 12 behind it; beyond that a rule cannot be evaluated.
+TOTAL = "decimal(37,12)"
 
 
 def strict(predicate: Column) -> Column:
     return F.coalesce(predicate, F.lit(False))
 
 
+def _limit(rule: Rule) -> Decimal:
+    return Decimal(str(rule.params.get("tolerance", "0.01")))
+
+
 def _tolerance(rule: Rule) -> Column:
-    return F.lit(Decimal(str(rule.params.get("tolerance", "0.01")))).cast("decimal(18,8)")
+    return F.lit(_limit(rule)).cast("decimal(18,8)")
+
+
+def _plus(total: Column, value: Column) -> Column:
+    return F.try_add(total, value).try_cast(TOTAL)
 
 
 def _sum_items(record: Column, table: str, column: str) -> Column:
     zero = F.lit(0).cast(TOTAL)
     return F.aggregate(
-        F.coalesce(record[table], F.array()), zero, lambda total, row: (total + row[column]).cast(TOTAL)
+        F.coalesce(record[table], F.array()), zero, lambda total, row: _plus(total, row[column])
     )
 
 
-def residual(rule: Rule, record: Column) -> Column:
-    """Signed miss of a document-level arithmetic rule; NULL when it cannot be evaluated."""
-    if rule.type == "sum_equals":
-        return _sum_items(record, rule.params["items"], rule.params["item_field"]) - record[rule.params["target"]]
-    if rule.type == "terms_equal":
-        first, *rest = [record[t].cast(TOTAL) for t in rule.params["terms"]]
-        return sum(rest, first) - record[rule.params["target"]]
+def _factors(rule: Rule, record: Column) -> tuple[Column, Column, Column]:
     left, right = (record[f] for f in rule.params["factors"])
-    return left * right - record[rule.params["result"]]
+    return left, right, record[rule.params["result"]]
+
+
+def _difference(rule: Rule, record: Column) -> Column:
+    """What a sum misses its target by, exact."""
+    if rule.type == "sum_equals":
+        found = _sum_items(record, rule.params["items"], rule.params["item_field"])
+    else:
+        first, *rest = [record[t].try_cast(TOTAL) for t in rule.params["terms"]]
+        found = first
+        for term in rest:
+            found = _plus(found, term)
+    return F.try_subtract(found, record[rule.params["target"]])
+
+
+def residual(rule: Rule, record: Column) -> Column:
+    """Signed miss of a document-level arithmetic rule as a double, rounded once; NULL when it cannot be evaluated."""
+    if rule.type in ("sum_equals", "terms_equal"):
+        return _difference(rule, record).cast("double")
+    return exact.as_double(exact.product_miss(*_factors(rule, record)))
 
 
 def _sum_equals(rule: Rule, record: Column) -> Column:
-    return F.abs(residual(rule, record)) <= _tolerance(rule)
+    return F.abs(_difference(rule, record)) <= _tolerance(rule)
 
 
 def _product_equals(rule: Rule, record: Column) -> Column:
     if rule.per_row:
         return F.size(bad_rows(rule, record)) == 0
-    return F.abs(residual(rule, record)) <= _tolerance(rule)
+    return exact.product_within(*_factors(rule, record), _limit(rule))
 
 
 def _date_order(rule: Rule, record: Column) -> Column:
@@ -114,7 +136,7 @@ def validation_passed(outcomes, definition: Definition, record: Column | None =
 def rule_misses(record: Column, definition: Definition) -> dict[str, Column]:
     """Signed miss per document-level arithmetic rule, 0.0 when it cannot be evaluated."""
     return {
-        r.name: F.coalesce(residual(r, record).cast("double"), F.lit(0.0))
+        r.name: F.coalesce(residual(r, record), F.lit(0.0))
         for r in definition.document_rules
         if r.arithmetic
     }
@@ -127,11 +149,8 @@ def residuals(record: Column, definition: Definition) -> Column:
 
 def bad_rows(rule: Rule, record: Column) -> Column:
     """C4: indices of the table rows that break a per-row product, unreadable rows included."""
-    left, right = rule.params["factors"]
-
     def broken(row: Column) -> Column:
-        miss = (row[left] * row[right]).cast(_ROW_MISS) - row[rule.params["result"]]
-        return F.coalesce(F.abs(miss) > _tolerance(rule), F.lit(True))
+        return F.coalesce(~exact.product_within(*_factors(rule, row), _limit(rule)), F.lit(True))
 
     rows = F.coalesce(record[rule.params["items"]], F.array())
     marked = F.transform(rows, lambda row, i: F.when(broken(row), i))
@@ -153,16 +172,16 @@ def long_form_rules(headers: DataFrame, rows: DataFrame, definition: Definition,
     aggregates = []
     for rule in definition.rules:
         if rule.type == "sum_equals":
-            aggregates.append(F.sum(F.col(rule.params["item_field"]).cast(TOTAL)).alias(f"_{rule.name}"))
+            aggregates.append(F.try_sum(F.col(rule.params["item_field"]).try_cast(TOTAL)).alias(f"_{rule.name}"))
         elif rule.per_row:
-            left, right = (F.col(f) for f in rule.params["factors"])
-            miss = F.abs((left * right).cast(_ROW_MISS) - F.col(rule.params["result"]))
-            aggregates.append(F.count_if(F.coalesce(miss > _tolerance(rule), F.lit(True))).alias(f"_{rule.name}"))
+            left, right, result = (F.col(f) for f in (*rule.params["factors"], rule.params["result"]))
+            broken = F.coalesce(~exact.product_within(left, right, result, _limit(rule)), F.lit(True))
+            aggregates.append(F.count_if(broken).alias(f"_{rule.name}"))
     out = headers.join(rows.groupBy(doc).agg(*aggregates), doc, "left")
     for rule in definition.rules:
         if rule.type == "sum_equals":
             total = F.coalesce(F.col(f"_{rule.name}"), F.lit(0).cast(TOTAL))
-            passed = strict(F.abs(total - F.col(rule.params["target"])) <= _tolerance(rule))
+            passed = strict(F.abs(F.try_subtract(total, F.col(rule.params["target"]))) <= _tolerance(rule))
             out = out.withColumn(rule.name, passed).drop(f"_{rule.name}")
         elif rule.per_row:
             out = out.withColumn(f"{rule.name}_bad", F.coalesce(F.col(f"_{rule.name}"), F.lit(0))).drop(f"_{rule.name}")

@@ -125,7 +125,7 @@ def _raw_records(spark, sf):
     f"""WITH {O.CLEAN} SELECT doc_id, vendor, strftime(invoice_date, '%Y-%m-%d') AS invoice_date,
         strftime(due_date, '%Y-%m-%d') AS due_date, CAST(subtotal AS DOUBLE) AS subtotal, CAST(tax_rate AS DOUBLE) AS tax_rate,
         CAST(tax AS DOUBLE) AS tax, CAST(total AS DOUBLE) AS total, len(line_items) AS n_items,
-        array_to_string(list_transform(line_items, lambda r: r.description || ':' || CAST(r.quantity AS VARCHAR) || ':' || CAST(r.amount AS VARCHAR)), '|') AS items
+        array_to_string(list_transform(line_items, lambda r: r.description || ':' || CAST(CAST(r.quantity AS DECIMAL(37,12)) AS VARCHAR) || ':' || CAST(CAST(r.amount AS DECIMAL(37,12)) AS VARCHAR)), '|') AS items
         FROM clean"""
 )
 def normalize_record(spark, sf):
@@ -384,6 +384,56 @@ def long_form_rules(spark, sf):
     return summed.join(rowwise, "doc_id")
 
 
+# Twenty digits before the point and six behind it, a rate with eight places, and sums that miss by a millionth more than allowed.
+_WIDE = """
+wide AS (SELECT o_orderkey AS doc_id, CAST(o_orderkey || '1234567890123' || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') AS HUGEINT) AS subtotal, 7000000 + o_orderkey % 1000000 AS rate FROM orders),
+taxed AS (SELECT *, subtotal * rate AS fine, subtotal * rate // 100000000 + CASE o_orderkey_5 WHEN 0 THEN 20000 WHEN 1 THEN 20001 ELSE 0 END AS tax FROM (SELECT *, doc_id % 5 AS o_orderkey_5 FROM wide)),
+summed AS (SELECT *, subtotal + tax + CASE WHEN doc_id % 7 = 0 THEN 10001 WHEN doc_id % 7 = 1 THEN 10000 ELSE 0 END AS total FROM taxed)"""
+
+
+def _wide_records(spark, sf):
+    key = F.col("o_orderkey")
+    six = F.lpad((key % 1000000).cast("string"), 6, "0")
+    subtotal = F.concat(key.cast("string"), F.lit("1234567890123."), six)
+    wide = views.table(spark, sf, "orders").select(
+        key.alias("doc_id"), subtotal.alias("subtotal"), F.concat(F.lit("7."), six, F.lit(" %")).alias("rate"),
+        F.floor(subtotal.cast("decimal(26,6)") * F.concat(F.lit("0.07"), six).cast("decimal(8,8)"), F.lit(6)).alias("even"),
+    )
+    step = lambda n, rest, fine: F.when(F.col("doc_id") % n == rest, F.lit(fine).cast("decimal(7,6)"))
+    tax = (F.col("even") + F.coalesce(step(5, 0, "0.02"), step(5, 1, "0.020001"), F.lit("0").cast("decimal(7,6)"))).cast("decimal(30,6)")
+    total = F.col("subtotal").cast("decimal(30,6)") + F.col("tax") + F.coalesce(step(7, 0, "0.010001"), step(7, 1, "0.01"), F.lit("0").cast("decimal(7,6)"))
+    wide = wide.withColumn("tax", tax).withColumn("total", total)
+    row = F.struct(F.lit("line").alias("description"), F.lit("1").alias("quantity"), F.col("subtotal").alias("unit_price"), F.col("subtotal").alias("amount"))
+    values = {"subtotal": F.col("subtotal"), "tax_rate": F.col("rate"), "tax": F.col("tax").cast("string"), "total": F.col("total").cast("string"), "line_items": F.array(row)}
+    raw = F.struct(*[values.get(n, F.lit(None).cast("string")).alias(n) for n in INVOICE.fields])
+    return wide.select("doc_id", V.normalize_record(raw, INVOICE).alias("record"))
+
+
+@query(
+    f"WITH {_WIDE} SELECT doc_id, CAST(CAST(subtotal AS VARCHAR)[:-7] || '.' || CAST(subtotal AS VARCHAR)[-6:] AS DECIMAL(37,12))::VARCHAR AS subtotal, "
+    "CAST(rate * 0.00000001::DECIMAL(9,8) AS DECIMAL(22,12))::VARCHAR AS tax_rate, CAST(CAST(total AS VARCHAR)[:-7] || '.' || CAST(total AS VARCHAR)[-6:] AS DECIMAL(37,12))::VARCHAR AS total FROM summed"
+)
+def normalize_wide(spark, sf):
+    """B5 on amounts of twenty digits and six places: nothing is rounded or lost."""
+    r = F.col("record")
+    return _wide_records(spark, sf).select("doc_id", *[r[n].cast("string").alias(n) for n in ("subtotal", "tax_rate", "total")])
+
+
+@query(
+    f"WITH {_WIDE} SELECT doc_id, abs(fine - tax * 100000000) <= 2000000000000 AS tax_holds, abs(subtotal + tax - total) <= 10000 AS total_holds, true AS rows_hold, "
+    "CAST(fine - tax * 100000000 AS DOUBLE) / 100000000000000.0::DOUBLE AS tax_miss, CAST(subtotal + tax - total AS DOUBLE) / 1000000.0::DOUBLE AS total_miss FROM summed"
+)
+def rules_wide(spark, sf):
+    """C1-C4 and C8 on the same records: a miss of one millionth more than the tolerance fails a rule."""
+    r = F.col("record")
+    holds, miss = rules.rule_outcomes(r, INVOICE), rules.rule_misses(r, INVOICE)
+    return _wide_records(spark, sf).select(
+        "doc_id", holds["tax_matches_rate"].alias("tax_holds"), holds["subtotal_plus_tax_equals_total"].alias("total_holds"),
+        (holds["line_items_sum_to_subtotal"] & (F.size(rules.inconsistent_rows(r, INVOICE)["line_items"]) == 0)).alias("rows_hold"),
+        *[miss[n].alias(a) for n, a in (("tax_matches_rate", "tax_miss"), ("subtotal_plus_tax_equals_total", "total_miss"))],
+    )
+
+
 _ALL_RULES = " AND ".join(f"({s})" for s in SQL_RULES.values())
 
 
