@@ -7,6 +7,7 @@ long document only needs arrays of its own size.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -44,6 +45,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start = stop
 
 
+def release() -> None:
+    """Give free memory back at the end of a task: its worker goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in one array and the offset of each text; null counts as empty."""
     column = pc.fill_null(column, "").cast(pa.large_binary())

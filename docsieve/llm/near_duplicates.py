@@ -165,6 +165,7 @@ def sketcher(text: str, rows: int, bands: int) -> Callable[[Iterator[pa.RecordBa
                 ],
                 [*names, "class", "n_shingles", "bits", "bands"],
             )
+        arrays.release()
 
     return run
 
@@ -198,6 +199,7 @@ def set_maker(wanted: bloom.Filter | None) -> Callable[[Iterator[pa.RecordBatch]
                     ends = np.cumsum([0, *map(len, found.values())], dtype=np.int32)
                     flat = np.concatenate(list(found.values())).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["class", "members"])
+        arrays.release()
 
     return run
 

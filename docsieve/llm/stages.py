@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 
 from docsieve.llm import arrays, decontaminate, near_duplicates, personal_data, quality_rules
 from docsieve.llm.tagger import Tagger
+from docsieve.session import cut
+
+#: Largest table of hosts or row keys that is broadcast to the texts, at so many bytes a row; a larger one is joined.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 64
 
 
 class Positions:
@@ -36,36 +40,51 @@ class Positions:
         """With `_key`, which tells rows of one id apart by their text."""
         return self.frame.withColumn("_key", near_duplicates.text_key(self.of("doc_id"), self.of("text")))
 
-    def same(self, left: DataFrame, right: DataFrame) -> Column:
-        return (left["_key"] == right["_key"]) & left[self.of("doc_id")].eqNullSafe(right["_id"])
+    def matched(self, rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        """A semi or anti join of keyed rows with the row keys (_id, _key) of a cut table."""
+        keys = bounded(keys)
+        return rows.join(keys, (rows["_key"] == keys["_key"]) & rows[self.of("doc_id")].eqNullSafe(keys["_id"]), how)
+
+
+def bounded(small: DataFrame) -> DataFrame:
+    """A cut table, to be broadcast while its size is within bounds, so that the texts beside it stay where they are."""
+    return F.broadcast(small) if small.count() * ROW_BYTES <= BROADCAST_BYTES else small
 
 
 def quality(docs: DataFrame, host_limit: float = 0.5) -> DataFrame:
     """Documents that the quality rules keep.
 
-    The texts are measured twice, once for the hosts and once for the verdicts, so no text
-    is shuffled; only hosts and counts are.
+    The texts are measured twice, once for the hosts and once for the verdicts. The bad hosts
+    are broadcast to the texts; only beyond `BROADCAST_BYTES` of them are texts shuffled by host.
     """
     at = Positions(docs)
     text, host = at.of("text"), at.of("source")
     soft = sum((c.cast("int") for c in quality_rules.soft_rules().values()), F.lit(0))
     narrow = T.StructType([T.StructField(host, at.schema[host].dataType), *(T.StructField(m, T.LongType()) for m in quality_rules.MEASURES)])
     facts = at.frame.select(host, text).mapInArrow(quality_rules.measurer(text), narrow).withColumn("failed", quality_rules.base_failed() | (soft > 0))
-    bad = quality_rules.host_verdicts(facts, host, "failed", host_limit).where("bad_host").select("host", "bad_host")
+    bad = bounded(cut(quality_rules.host_verdicts(facts, host, "failed", host_limit).where("bad_host").select("host", "bad_host")))
     wide = T.StructType([*at.schema, *(T.StructField(m, T.LongType()) for m in quality_rules.MEASURES)])
     judged = at.frame.mapInArrow(quality_rules.measurer(text, keep_text=True), wide).where(~quality_rules.base_failed() & (soft <= 1))
     return at.restored(judged.join(bad, F.col(host).eqNullSafe(F.col("host")), "left").where((soft == 0) | F.col("bad_host").isNull()))
 
 
 def unique(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, a null id last. Repeated rows are one document."""
+    """One document of each group of near duplicates: the one with the smallest id, a null id last. Repeated rows are one document.
+
+    The rows to drop are found in the narrow table of keys; texts are filtered where they lie. Only rows
+    that are repeated as they are (id and text) are brought together.
+    """
     at = Positions(docs)
     key, text = at.of("doc_id"), at.of("text")
     found = near_duplicates.find(at.frame, key, text, percent, groups=True)
     first = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))).alias("first"))
     gone = found.join(first, "root").where((F.col("first._key") != F.col("_key")) | ~F.col("first.doc_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), "_key").distinct()
-    rows = at.keyed().dropDuplicates(["_key", key])
-    return at.restored(rows.join(gone, at.same(rows, gone), "left_anti"))
+    kept = at.matched(at.keyed(), cut(gone), "left_anti")
+    many = cut(found.groupBy(F.col("doc_id").alias("_id"), "_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id", "_key"))
+    if not many.isEmpty():
+        again = at.matched(kept, many, "left_semi").dropDuplicates(["_key", key])
+        kept = at.matched(kept, many, "left_anti").unionByName(again)
+    return at.restored(kept)
 
 
 def clean_of(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -73,8 +92,7 @@ def clean_of(docs: DataFrame, items: DataFrame) -> DataFrame:
     at = Positions(docs)
     rows = at.keyed()
     hits = decontaminate.leaks(rows.select(F.struct(F.col(at.of("doc_id")).alias("_id"), "_key").alias("k"), F.col(at.of("text")).alias("text")), items, "k", "text")
-    gone = hits.select("doc_id._id", "doc_id._key").distinct()
-    return at.restored(rows.join(gone, at.same(rows, gone), "left_anti"))
+    return at.restored(at.matched(rows, cut(hits.select("doc_id._id", "doc_id._key").distinct()), "left_anti"))
 
 
 def masker(tagger: Tagger, text: str, length: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
