@@ -7,7 +7,9 @@ so that every item is retrieved at 1. Each half of a passage asks for a word onc
 
 Every passage of every document is a query. Passages are two neighbouring halves of
 equal length, at least as long as the longest item, so each item inside a document lies
-inside one passage. For a slice of documents the block bounds of all passages are added up at once;
+inside one passage. A passage whose words' largest weights do not add up to 1 is left at once. For the others
+the block bounds are added up, for so many passages at a time that the table of passages and blocks has
+`CELLS` cells and the lists that are read `POSTINGS` entries, whatever the number of items;
 only (passage, block) pairs whose bound reaches 1 are scored item by item,
 and only items that reach 1 are verified. Words are compared without marks and in lower case. No other pair can reach the threshold, so
 the result equals a full scan. Verification takes the item apart into a question (all
@@ -57,6 +59,10 @@ SPACELESS = [(0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19
              (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)]
 #: Bytes of item text whose index is sent to the tasks at once.
 GROUP_BYTES = 8 << 20
+#: Cells of the table of block bounds, and list entries added to it at a time.
+CELLS, POSTINGS = 1 << 20, 1 << 18
+#: Bytes of text that are searched together.
+SLICE_BYTES = 1 << 20
 
 
 def code_class(ranges: list[tuple[int, int]]) -> np.ndarray:
@@ -149,8 +155,10 @@ class Index:
         order = np.lexsort((item, term))
         self.item, self.weight = item[order], weight[order]
         self.first = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
-        key = term[order].astype(np.int64) * (len(items) // BLOCK + 1) + self.item // BLOCK
-        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        self.most = np.maximum.reduceat(self.weight, self.first[:-1])
+        self.stride = len(items) // BLOCK + 1
+        self.key = term[order].astype(np.int64) * self.stride + self.item // BLOCK
+        starts = np.flatnonzero(np.diff(self.key, prepend=-1))
         self.block_of, self.bound = self.item[starts] // BLOCK, np.maximum.reduceat(self.weight, starts)
         self.block_first = np.searchsorted(term[order][starts], np.arange(len(self.vocabulary) + 1))
         self.blocks = (len(items) - 1) // BLOCK + 1
@@ -159,21 +167,51 @@ class Index:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
+    def hopeful(self, terms: np.ndarray, half: np.ndarray, joined: np.ndarray) -> np.ndarray:
+        """Which halves lie in a passage whose largest weights add up to the threshold; `joined` tells which halves go on into the next one."""
+        most = np.bincount(half, self.most[terms], len(joined) + 1)
+        passage = most[:-1] + np.where(joined, most[1:], 0)
+        reached = passage >= 1 - 1e-9
+        return reached | np.r_[False, reached[:-1] & joined[:-1]]
+
     def bounds(self, terms: np.ndarray, half: np.ndarray, halves: int) -> np.ndarray:
         """Added bounds of each (half, block)."""
         out = np.zeros(halves * self.blocks)
-        for i in range(0, len(terms), 1 << 17):
-            t, h = terms[i : i + (1 << 17)], half[i : i + (1 << 17)]
-            n = self.block_first[t + 1] - self.block_first[t]
-            at = np.repeat(self.block_first[t], n) + segments(n)
-            out += np.bincount(np.repeat(h, n) * self.blocks + self.block_of[at], self.bound[at], halves * self.blocks)
+        n = self.block_first[terms + 1] - self.block_first[terms]
+        ends = np.cumsum(n)
+        start = 0
+        while start < len(terms):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + POSTINGS, "right")))
+            some = n[start:stop]
+            at = np.repeat(self.block_first[terms[start:stop]], some) + segments(some)
+            np.add.at(out, np.repeat(half[start:stop], some) * self.blocks + self.block_of[at], self.bound[at])
+            start = stop
         return out.reshape(halves, self.blocks)
 
+    def candidates(self, terms: np.ndarray, half: np.ndarray, joined: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(first half of a passage, block) wherever the block's bounds reach the threshold; `half` is sorted."""
+        alive = self.hopeful(terms, half, joined)
+        wanted = alive[half]
+        terms, half = terms[wanted], half[wanted]
+        # the halves of one chunk and the next half behind it; rows of halves without a hopeful passage are left out
+        rows = np.flatnonzero(alive)
+        step = max(1, CELLS // self.blocks - 1)
+        for start in range(0, len(rows), step):
+            own = rows[start : start + step + 1]
+            low, high = np.searchsorted(half, [own[0], own[-1] + 1])
+            table = self.bounds(terms[low:high], np.searchsorted(own, half[low:high]), len(own))
+            follows = joined[own[:-1]] & (np.diff(own) == 1)
+            table[:-1][follows] += table[1:][follows]
+            some = table[:step]
+            for at, block in zip(*(x.tolist() for x in np.nonzero(some >= 1 - 1e-9))):
+                yield int(own[at]), block
+
     def scores(self, terms: np.ndarray, block: int) -> np.ndarray:
         """Scores of the items of a block for a passage's words."""
-        n = self.first[terms + 1] - self.first[terms]
-        at = np.repeat(self.first[terms], n) + segments(n)
-        at = at[self.item[at] // BLOCK == block]
+        wanted = terms * self.stride + block
+        low = np.searchsorted(self.key, wanted)
+        n = np.searchsorted(self.key, wanted, "right") - low
+        at = np.repeat(low, n) + segments(n)
         return np.bincount(self.item[at] - block * BLOCK, self.weight[at], BLOCK)
 
     def overlaps(self, words: np.ndarray, item: int) -> list[float]:
@@ -183,7 +221,7 @@ class Index:
 
 def searcher(index: Index, half_words: int, overlap: float, kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.slices(batches, "text"):
+        for batch in arrays.slices(batches, "text", SLICE_BYTES):
             data, offsets = arrays.text_bytes(batch.column("text"))
             data = arrays.LOWER[data]
             starts, ends, owner = word_spans(data, offsets)
@@ -201,12 +239,10 @@ def searcher(index: Index, half_words: int, overlap: float, kind: pa.DataType) -
             asked = np.unique(half[known] * len(index.vocabulary) + terms[known])
             asked_half, asked = np.divmod(asked, len(index.vocabulary))
             first_asked = np.searchsorted(asked_half, np.arange(n_halves.sum() + 2))
-            bounds = index.bounds(asked, asked_half, int(n_halves.sum()))
             of = np.repeat(np.arange(batch.num_rows), n_halves)
-            pair = np.flatnonzero(of[:-1] == of[1:])
-            bounds[pair] += bounds[pair + 1]
+            joined = np.r_[of[:-1] == of[1:], False]
             found: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for h, block in zip(*(x.tolist() for x in np.nonzero(bounds >= 1 - 1e-9))):
+            for h, block in index.candidates(asked, asked_half, joined):
                 row = int(of[h])
                 begin = int(first[row] + (h - first_half[row]) * half_words)
                 stop = int(min(begin + 2 * half_words, first[row] + n_words[row]))
@@ -225,6 +261,7 @@ def searcher(index: Index, half_words: int, overlap: float, kind: pa.DataType) -
                     [batch.column("doc_id").take(pa.array(rows)), pa.array([index.ids[i] for i in items], kind), *(pa.array(v, pa.float64()) for v in values)],
                     ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
                 )
+        arrays.release()
 
     return run
 

@@ -20,6 +20,8 @@ from docsieve.session import cut
 
 #: Largest table of hosts or row keys that is broadcast to the texts, at so many bytes a row; a larger one is joined.
 BROADCAST_BYTES, ROW_BYTES = 16 << 20, 64
+#: Bytes of text that are masked together.
+SLICE_BYTES = 1 << 20
 
 
 class Positions:
@@ -98,7 +100,7 @@ def clean_of(docs: DataFrame, items: DataFrame) -> DataFrame:
 def masker(tagger: Tagger, text: str, length: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in arrays.slices([batch], text):
+            for part in arrays.slices([batch], text, SLICE_BYTES):
                 values = part.column(text).to_pylist()
                 parts = [personal_data.zones(v or "") for v in values]
                 tagged = personal_data.tagged_spans(tagger, parts)
@@ -113,6 +115,7 @@ def masker(tagger: Tagger, text: str, length: str | None) -> Callable[[Iterator[
                     sizes = [o if m == v else len(m) for o, m, v in zip(old, masked, values)]
                     columns[length] = pa.array(sizes, part.schema.field(length).type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        arrays.release()
 
     return run
 
