@@ -6,8 +6,8 @@ Weights are divided by the item's threshold, a share of the score that the item
 so that every item is retrieved at 1. Each half of a passage asks for a word once.
 
 Every passage of every document is a query. Passages are two neighbouring halves of
-equal length, at least as long as the longest item, so each item inside a document lies
-inside one passage. A passage whose words' largest weights do not add up to 1 is left at once. For the others
+equal length, at least as long as the item: items are searched by classes of length (64 words and its doublings), so each
+item inside a document lies inside one passage, and a very long item costs a pass of its own but widens no passage of the others. A passage whose words' largest weights do not add up to 1 is left at once. For the others
 the block bounds are added up, for so many passages at a time that the table of passages and blocks has
 `CELLS` cells and the lists that are read `POSTINGS` entries, whatever the number of items;
 only (passage, block) pairs whose bound reaches 1 are scored item by item,
@@ -23,7 +23,7 @@ are found where all their words stand in a row. An item of one word is found whe
 Scripts without spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese, Tibetan and others) count by character: each is a
 word, their marks are separators. Other runs without ASCII marks are words.
 
-The index is sent to the tasks in groups of items of bounded size; each group makes one
+The index is sent to the tasks in groups of items of bounded size; each group of a length class makes one
 pass over the documents, so more items cost passes, not memory.
 
 Edge cases: null and empty texts hold nothing; items without a word and
@@ -284,24 +284,26 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     kinds = {"doc": docs.schema[key].dataType.simpleString(), "item": items.schema[item_key].dataType.simpleString()}
     schema = f"doc_id {kinds['doc']}, item_id {kinds['item']}, score double, question_overlap double, answer_overlap double"
     listed = items.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text"), words_of(item_text).alias("words")).where(F.size("words") > 0)
-    total, mean, longest, size = listed.agg(F.count(F.lit(1)), F.avg(F.size("words")), F.max(F.size("words")), F.sum(F.octet_length("text"))).first()
+    total, mean = listed.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
     if not total:
         return spark.createDataFrame([], schema)
-    groups = -(-size // GROUP_BYTES)
-    grouped = listed.withColumn("group", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)))
+    # items of a length class share passages of that length, so a long item does not widen those of the others
+    doublings = F.greatest(F.lit(0), F.ceil(F.log2(F.size("words") / F.lit(HALF_WORDS)))).cast("int")
+    listed = listed.withColumn("doublings", doublings)
+    sizes = listed.groupBy("doublings").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy("doublings").collect()
     frequency = listed.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     queries = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = pa.int64() if kinds["item"] == "bigint" else pa.int32() if kinds["item"] == "int" else pa.string()
     parts = []
-    for g in range(groups):
-        own = grouped.where(F.col("group") == g)
+    for length, g, groups in ((r["doublings"], g, -(-r["bytes"] // GROUP_BYTES)) for r in sizes for g in range(-(-r["bytes"] // GROUP_BYTES))):
+        own = listed.where((F.col("doublings") == length) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g))
         known = [(r["item_id"], r["text"]) for r in own.select("item_id", "text").orderBy(F.size("words"), "item_id", "text").collect()]
         if not known:
             continue
         counts = own.select(F.explode("words").alias("word")).distinct().join(frequency, "word").collect()
         frequencies = dict(zip((int(w[0]) for w in text_words([r["word"] for r in counts])), (r["df"] for r in counts)))
         index = Index(known, frequencies, total, mean, share, min_words)
-        parts.append(queries.mapInArrow(searcher(index, max(HALF_WORDS, longest), overlap, kind), schema))
+        parts.append(queries.mapInArrow(searcher(index, HALF_WORDS << length, overlap, kind), schema))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -68,6 +68,18 @@ def test_near_and_cut_copies_are_found(spark, sf):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, items).collect()} == want
 
 
+def test_items_of_all_lengths_are_found_within_small_tables(spark, monkeypatch):
+    """Very long items beside short ones, each in its own length class; tables of a few cells."""
+    monkeypatch.setattr(decontaminate, "CELLS", 40)
+    monkeypatch.setattr(decontaminate, "POSTINGS", 50)
+    text = lambda n, k: " ".join(f"w{(i * i + 31 * k + i) % 4999}x{k}" for i in range(n))
+    items = [(k, text(n, k)) for k, n in enumerate([20, 64, 65, 130, 700, 3000, 25, 40])]
+    rows = [(k, "before it " * 50 + t + " behind it" * 90) for k, t in items] + [(100, "before it " * 2000), (101, items[5][1] + " " + items[0][1] + " " + items[3][1])]
+    docs, listed = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, listed).collect()}
+    assert found == {(k, k) for k, _ in items} | {(101, 5), (101, 0), (101, 3)}
+
+
 def test_scripts_without_spaces_and_short_items(spark):
     chinese = "下列哪一座城市是中华人民共和国的首都，并且在二零零八年举办了夏季奥运会？答案是北京，它位于华北平原的北部。"
     thai = "เมืองหลวงของประเทศไทยคือเมืองใดและตั้งอยู่ริมแม่น้ำสายใด"
