@@ -37,9 +37,11 @@ BREAK = 0xFF
 NORMAL, BYTE = 1, 6
 #: Words, and pairs of pieces, that a task remembers; beyond that it starts anew.
 REMEMBERED = 1 << 19
-REMEMBERED_PAIRS = 1 << 22
+REMEMBERED_PAIRS = 1 << 21
 #: Bytes of new words that are indexed at a time; the edges take some two hundred times as much.
-INDEXED_BYTES = 128 << 10
+INDEXED_BYTES = 64 << 10
+#: Bytes of text that are encoded together.
+SLICE_BYTES = 512 << 10
 
 
 def merged(piece: str, rank: dict[str, int]) -> list[str] | None:
@@ -321,7 +323,7 @@ def encoder(vocabulary: Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Encoder(vocabulary)
-        for batch in arrays.slices(batches, "text", 2 << 20):
+        for batch in arrays.slices(batches, "text", SLICE_BYTES):
             text = pc.replace_substring(pc.fill_null(batch.column("text"), ""), SPACE, " ")
             data, offsets = arrays.text_bytes(text)
             starts, ends, owner = parts(data, offsets)
@@ -332,10 +334,11 @@ def encoder(vocabulary: Vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iter
             same = pc.equal(decode(vocabulary, lists), text.cast(pa.large_string()))
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [lists, pa.array(np.diff(total).astype(np.int64)), same], [*names, "ids", "n_tokens", "round_trip"])
+            arrays.release()
         # the worker goes on to other tasks
         own.forget()
         vocabulary.keys, vocabulary.apart = vocabulary.keys[:0], vocabulary.apart[:0]
-        pa.default_memory_pool().release_unused()
+        arrays.release()
 
     return run
 
