@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.definition import Definition, FieldSpec, load_settings
-from docsieve.functions.tables import literal_table
-from docsieve.functions.values import norm_by_kind
-from docsieve.operators import windows
+from docsieve.definition import ConfidenceModel, Definition, FieldSpec, load_settings
+from docsieve.functions.tables import literal_table, with_struct
+from docsieve.functions.values import canonical_fields, estimate_tokens, norm_by_kind, parse_gate
+from docsieve.operators import evidence, reading, rules, scoring, windows
 from docsieve.operators.drift import DIRECTION
 from docsieve.session import cut
 
@@ -69,6 +69,59 @@ def field_results(compared: DataFrame, definition: Definition, keep: Sequence[st
     return compared.select(*keep, F.inline_outer(pairs))
 
 
+# Micro-dollars a token in and out by tier, and the tokens of an answer, as the evaluation prices its calls.
+PRICES = {"small": (1, 5), "frontier": (5, 25)}
+ANSWER_TOKENS = 256
+
+
+def read_both_tiers(pages: DataFrame, definition: Definition, hints: dict, tiers: dict, model: ConfidenceModel) -> DataFrame:
+    """Pages read by both tiers: canonical records, cost, and why the small tier's answer is escalated (NULL: it is kept).
+
+    `pages` has doc_id, layout, text and `expected`, the true record. Pages without enough text need OCR and are not escalated.
+    """
+    out = pages.withColumn("needs_ocr", parse_gate(F.col("text")) == "needs_ocr")
+    for tier, (given, answered) in PRICES.items():
+        out = reading.extract_record(out, hints, tiers[tier], list(definition.fields), output=f"raw_{tier}")
+        out = with_struct(out, f"rec_{tier}", canonical_fields(F.col(f"raw_{tier}"), definition)).drop(f"raw_{tier}")
+        micros = (estimate_tokens(F.col("text")) * given + ANSWER_TOKENS * answered).cast("decimal(18,0)")
+        out = out.withColumn(f"cost_{tier}", (micros * F.expr("0.000001BD")).cast("decimal(12,6)"))
+    judged = scoring.route_extraction(evidence.with_signals(out, definition, record="rec_small"), definition, model)
+    passed = rules.validation_passed(scoring.RULE, definition)
+    reason = scoring.escalation_trigger(definition.policy, F.lit(False), passed, F.col("decision"))
+    return judged.withColumn("trigger", F.when(~F.col("needs_ocr"), reason)).select(
+        "doc_id", "layout", "needs_ocr", "trigger", "expected", "rec_small", "rec_frontier", "cost_small", "cost_frontier"
+    )
+
+
+def judge_modes(both: DataFrame, definition: Definition) -> DataFrame:
+    """One row per (document, mode) of `read_both_tiers`, in a form that is the same for every document type.
+
+    Columns: doc_type, doc_id, layout, needs_ocr, mode (single: the strong tier alone; routed: the small tier first),
+    escalated, cost_usd and `judged`, an array of (field, correct). Types can be united and judged by one plan.
+    """
+
+    def results(ok: dict[str, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(n).alias("field"), c.alias("correct")) for n, c in ok.items()])
+
+    judged = {tier: results(compare(F.col(f"rec_{tier}"), F.col("expected"), definition)) for tier in PRICES}
+    both = both.withColumns({f"_{tier}": c for tier, c in judged.items()})
+    again = F.col("trigger").isNotNull()
+
+    def mode(name: str, escalated: Column, cost: Column, result: Column) -> Column:
+        return F.struct(F.lit(name).alias("mode"), escalated.alias("escalated"), cost.cast("decimal(12,6)").alias("cost_usd"), result.alias("judged"))
+
+    routed_cost = F.col("cost_small") + F.when(again, F.col("cost_frontier")).otherwise(F.lit(0))
+    single = mode("single", F.lit(False), F.col("cost_frontier"), F.col("_frontier"))
+    routed = mode("routed", again, routed_cost, F.when(again, F.col("_frontier")).otherwise(F.col("_small")))
+    modes = F.array(single, routed) if definition.policy.escalate_to else F.array(single)
+    return both.select(F.lit(definition.slug).alias("doc_type"), "doc_id", "layout", "needs_ocr", F.inline(modes))
+
+
+def judged_fields(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """`judge_modes` long: (keep…, field, correct) of digital pages."""
+    return rows.where(~F.col("needs_ocr")).select(*keep, F.inline("judged"))
+
+
 def accuracy_matrix(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Percent correct by field and layout with all margins; `all` marks a margin. Results exclude needs_ocr."""
     grouped = results.groupBy(*keys, "field", "layout", "correct").agg(F.count("*").alias("n"))
@@ -82,11 +135,11 @@ def accuracy_matrix(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def cost_note(results: DataFrame) -> DataFrame:
-    """G7 over one row per (document, mode): mean cost routed and single, escalated share, saving, accuracies."""
+def cost_note(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """G7 over one row per (document, mode): mean cost routed and single, escalated share, saving, accuracies, per `keys`."""
     digital = results.where(~F.col("needs_ocr"))
     mode = lambda m, c: F.when(F.col("mode") == m, c)
-    agg = digital.agg(
+    agg = digital.groupBy(*keys).agg(
         F.avg(mode("routed", F.col("cost_usd").cast("double"))).alias("routed_cost"),
         F.avg(mode("single", F.col("cost_usd").cast("double"))).alias("single_cost"),
         F.count_if((F.col("mode") == "routed") & F.col("escalated")).alias("escalated"),

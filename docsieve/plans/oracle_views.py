@@ -141,6 +141,32 @@ po AS (
   LEFT JOIN (SELECT l_orderkey, min(CAST(l_shipdate AS DATE)) AS shipped FROM lineitem GROUP BY 1) s ON o_orderkey = s.l_orderkey
 )"""
 
+_PO_DAY = lambda d: f"CASE layout WHEN 'euro' THEN strftime({d}, '%d.%m.%Y') ELSE strftime({d}, '%m/%d/%Y') END"
+
+#: `po_pages`: clean purchase orders beside their printed pages; needs CUSTOMERS and ITEMS.
+PO_PAGES = f"""po_clean AS (
+  SELECT o_orderkey AS doc_id, CASE WHEN currency = 'EUR' THEN 'euro' ELSE 'standard' END AS layout, c_name || ' GmbH' AS buyer,
+         'Supplier-' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') || ' KG' AS vendor,
+         CASE WHEN currency = 'EUR' THEN 'BA-' || year(o_orderdate) || '/' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0')
+              ELSE 'PO-' || year(o_orderdate) || '-' || lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0') END AS po_number,
+         CAST(o_orderdate AS DATE) AS order_date, CAST(o_orderdate AS DATE) + 14 AS delivery_date,
+         coalesce(subtotal, CAST(0 AS DECIMAL(18,4))) AS subtotal, coalesce(line_items, []) AS line_items,
+         CAST(CASE WHEN o_orderpriority LIKE '1%' THEN 25 ELSE 10 END AS DECIMAL(18,4)) AS shipping
+  FROM orders JOIN cust ON o_custkey = c_custkey LEFT JOIN items ON o_orderkey = l_orderkey
+), po_pages AS MATERIALIZED (
+  SELECT *, array_to_string(CASE WHEN layout = 'euro' THEN
+      list_concat(['BESTELLUNG', substr(buyer, 1, 1), substr(buyer, 2), 'Bestellnummer: ' || po_number, 'Bestelldatum: ' || {_PO_DAY('order_date')},
+        'Lieferung innerhalb von 14 Tagen bis ' || {_PO_DAY('delivery_date')}, 'Lieferant: ' || vendor, 'Pos. Beschreibung Menge Preis Betrag'],
+        list_transform(line_items, lambda r, p: p || ' ' || r.description || ' ' || CAST(r.quantity AS BIGINT) || ' ' || {_EU('r.unit_price')} || ' ' || {_EU('r.amount')}),
+        ['Zwischensumme ' || {_EU('subtotal')}, 'Versandkosten ' || {_EU('shipping')}, 'Gesamtbetrag ' || {_EU('subtotal + shipping')}])
+    ELSE
+      list_concat([buyer, 'PURCHASE ORDER', 'PO Number: ' || po_number, 'Order Date: ' || {_PO_DAY('order_date')},
+        'Delivery Date: ' || {_PO_DAY('delivery_date')}, 'Vendor: ' || vendor, 'QTY ITEM PRICE AMOUNT'],
+        list_transform(line_items, lambda r: CAST(r.quantity AS BIGINT) || ' ' || r.description || ' ' || {_US('r.unit_price')} || ' ' || {_US('r.amount')}),
+        ['Subtotal ' || {_US('subtotal')}, 'Freight ' || {_US('shipping')}, 'Order Total ' || {_US('subtotal + shipping')}])
+    END, chr(10)) AS text FROM po_clean
+)"""
+
 USAGE = """
 usage AS (
   SELECT event_id, 't' || (user_id % 10) AS tenant_id, user_id AS document_id,

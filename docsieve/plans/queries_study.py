@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.definition import FEATURES, load_confidence_model, load_definition, load_hints, load_settings
-from docsieve.functions import values as V
-from docsieve.functions.tables import with_prefixed, with_struct
-from docsieve.operators import calibrate, corruption, evaluate, evidence, metering, reading, rules, scoring
+from docsieve.definition import FEATURES, confidence_model_for, load_confidence_model, load_definition, load_hints, load_settings
+from docsieve.functions.tables import with_prefixed
+from docsieve.operators import calibrate, corruption, evaluate, evidence, scoring
 from docsieve.plans import oracle_views as O
 from docsieve.plans import queries_drift as drift_queries
 from docsieve.plans import views
@@ -17,7 +19,6 @@ from docsieve.session import cut
 
 INVOICE = load_definition("invoice")
 MODEL = load_confidence_model()
-HINTS = load_hints("invoice")
 TIERS = load_settings("reader_tiers")
 DBL = lambda c: F.col(c).cast("double")
 
@@ -152,34 +153,31 @@ def model_artifact(spark, sf):
 # --- evaluation -------------------------------------------------------------------------------
 
 
-def assessed(spark, sf):
-    """Pages read by both tiers: canonical records, cost, the small tier's escalation reason and comparisons."""
-    pages = views.pages(spark, sf).withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.lit("scan")).otherwise(F.col("text")))
-    pages = pages.withColumn("needs_ocr", V.parse_gate(F.col("text")) == "needs_ocr")
-    names = list(INVOICE.fields)
-    for tier in ("small", "frontier"):
-        pages = reading.extract_record(pages, HINTS, TIERS[tier], names, output=f"raw_{tier}")
-        pages = with_struct(pages, f"rec_{tier}", V.canonical_fields(F.col(f"raw_{tier}"), INVOICE)).drop(f"raw_{tier}")
-    tokens = V.estimate_tokens(F.col("text"))
-    price = {"small": (1, 5), "frontier": (5, 25)}
-    for tier, (i, o) in price.items():
-        pages = pages.withColumn(f"cost_{tier}", ((tokens * i + 256 * o).cast("decimal(18,0)") * F.expr("0.000001BD")).cast("decimal(12,6)"))
-    judged = scoring.route_extraction(evidence.with_signals(pages, INVOICE, record="rec_small"), INVOICE, MODEL)
-    passed = rules.validation_passed(scoring.RULE, INVOICE)
-    reason = scoring.escalation_trigger(INVOICE.policy, F.lit(False), passed, F.col("decision"))
-    return judged.withColumn("trigger", F.when(~F.col("needs_ocr"), reason)).select(
-        "doc_id", "layout", "needs_ocr", "trigger", "expected", "rec_small", "rec_frontier", "cost_small", "cost_frontier"
-    )
+def _scanned(pages):
+    """Every tenth page is a scan without text."""
+    return pages.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.lit("scan")).otherwise(F.col("text")))
+
+
+def assessed(spark, sf, definition=INVOICE, pages=views.pages):
+    hints, model = load_hints(definition.slug), confidence_model_for(definition)
+    return evaluate.read_both_tiers(_scanned(pages(spark, sf)), definition, hints, TIERS, model)
 
 
 _EU_ = O._EU
-_READ = f"""{O.PAGES}, seen AS MATERIALIZED (SELECT doc_id, layout, vendor, len(line_items) AS n, doc_id % 10 = 0 AS needs_ocr, length(text) AS chars,
-  len(list_filter(line_items, lambda r: layout = 'euro' AND {_EU_('r.amount')} <> {_EU_('r.unit_price')} AND contains({_EU_('r.amount')}, {_EU_('r.unit_price')}))) > 0 AS quirk
-  FROM pages_), costed AS (SELECT *, CASE WHEN needs_ocr THEN NULL WHEN n = 0 OR quirk THEN 'needs_review' END AS reason,
-  CAST(floor((CASE WHEN needs_ocr THEN 4 ELSE chars END) / 4) + 1 + 256 * 5 AS DOUBLE) / 1000000 AS c_small, CAST((floor((CASE WHEN needs_ocr THEN 4 ELSE chars END) / 4) + 1) * 5 + 256 * 25 AS DOUBLE) / 1000000 AS c_front FROM seen)"""
+_QUIRK = f"len(list_filter(line_items, lambda r: layout = 'euro' AND {_EU_('r.amount')} <> {_EU_('r.unit_price')} AND contains({_EU_('r.amount')}, {_EU_('r.unit_price')}))) > 0 AS quirk"
+
+
+def _sql_read(pages: str, seen: str, heading: str) -> str:
+    """`<seen>`: what both tiers make of printed pages; the small one loses the first letter of a German heading."""
+    return f"""{seen}_ AS MATERIALIZED (SELECT doc_id, layout, {heading} AS heading, len(line_items) AS n, doc_id % 10 = 0 AS needs_ocr, length(text) AS chars, {_QUIRK} FROM {pages}),
+  {seen} AS (SELECT *, CASE WHEN needs_ocr THEN NULL WHEN n = 0 OR quirk THEN 'needs_review' END AS reason,
+  CAST(floor((CASE WHEN needs_ocr THEN 4 ELSE chars END) / 4) + 1 + 256 * 5 AS DOUBLE) / 1000000 AS c_small, CAST((floor((CASE WHEN needs_ocr THEN 4 ELSE chars END) / 4) + 1) * 5 + 256 * 25 AS DOUBLE) / 1000000 AS c_front FROM {seen}_)"""
+
 
+_READ = f"{O.PAGES}, {_sql_read('pages_', 'costed', 'vendor')}"
 
-@query(f"WITH {_READ} SELECT doc_id, reason, reason IS NOT NULL AS escalated, CASE WHEN reason IS NULL THEN 1 ELSE 2 END AS calls, CASE WHEN reason IS NULL AND layout = 'euro' THEN substr(vendor, 2) ELSE vendor END AS vendor, round(c_small + CASE WHEN reason IS NULL THEN 0 ELSE c_front END, 6) AS cost FROM costed WHERE NOT needs_ocr")
+
+@query(f"WITH {_READ} SELECT doc_id, reason, reason IS NOT NULL AS escalated, CASE WHEN reason IS NULL THEN 1 ELSE 2 END AS calls, CASE WHEN reason IS NULL AND layout = 'euro' THEN substr(heading, 2) ELSE heading END AS vendor, round(c_small + CASE WHEN reason IS NULL THEN 0 ELSE c_front END, 6) AS cost FROM costed WHERE NOT needs_ocr")
 def two_tier_select(spark, sf):
     both = cut(assessed(spark, sf).where(~F.col("needs_ocr")))
     first = both.select("doc_id", "trigger", F.col("rec_small").alias("record"), F.col("cost_small").alias("cost_usd"))
@@ -188,59 +186,63 @@ def two_tier_select(spark, sf):
     return out.select("doc_id", F.col("trigger").alias("reason"), "escalated", "calls", "record.vendor", F.round(DBL("cost_usd"), 6).alias("cost"))
 
 
+PURCHASE = load_definition("purchase_order")
+#: Document types with the pages they are evaluated on.
+STUDIED = ((INVOICE, views.pages), (PURCHASE, views.purchase_pages))
+
+
 def evaluated(spark, sf):
-    """One row per (document, mode): comparisons, cost, escalation. Both modes come out of one pass over the pages."""
-    both = assessed(spark, sf)
-    for tier in ("small", "frontier"):
-        both = with_prefixed(both, tier, evaluate.compare(F.col(f"rec_{tier}"), F.col("expected"), INVOICE))
-    again = F.col("trigger").isNotNull()
-    routed_cost = F.col("cost_small") + F.when(again, F.col("cost_frontier")).otherwise(F.lit(0))
-    mode = lambda name, escalated, cost, ok: F.struct(
-        F.lit(name).alias("mode"), escalated.alias("escalated"), cost.cast("decimal(12,6)").alias("cost_usd"), *[ok(f).alias(f"ok_{f}") for f in FIELDS]
-    )
-    single = mode("single", F.lit(False), F.col("cost_frontier"), lambda f: F.col(f"frontier_{f}"))
-    chosen = mode("routed", again, routed_cost, lambda f: F.when(again, F.col(f"frontier_{f}")).otherwise(F.col(f"small_{f}")))
-    return both.select("doc_id", "layout", "needs_ocr", F.inline_outer(F.array(single, chosen)))
+    """One row per (document type, document, mode); both modes come out of one pass over the pages of a type."""
+    parts = [evaluate.judge_modes(assessed(spark, sf, definition, pages), definition) for definition, pages in STUDIED]
+    return reduce(DataFrame.unionByName, parts)
 
 
-_CELLS = f"""{_READ}, modes AS (SELECT *, 'single' AS mode FROM costed UNION ALL SELECT *, 'routed' FROM costed),
-cells AS MATERIALIZED (SELECT doc_id, layout, mode, unnest([{', '.join("'" + f + "'" for f in FIELDS)}]) AS field,
-  n > 0 AND NOT quirk AS items_ok, NOT (mode = 'routed' AND reason IS NULL AND layout = 'euro') AS vendor_ok FROM modes WHERE NOT needs_ocr),
-ok AS (SELECT *, CASE field WHEN 'line_items' THEN items_ok WHEN 'vendor' THEN vendor_ok ELSE true END AS correct FROM cells)"""
+_NAMES = lambda definition: "[" + ", ".join(f"'{f}'" for f in definition.fields) + "]"
+_CELLS = f"""{_READ}, {O.PO_PAGES}, {_sql_read('po_pages', 'po_costed', 'buyer')},
+types AS (SELECT 'invoice' AS doc_type, 'vendor' AS headed, * FROM costed UNION ALL SELECT 'purchase_order', 'buyer', * FROM po_costed),
+modes AS (SELECT *, 'single' AS mode FROM types UNION ALL SELECT *, 'routed' FROM types),
+cells AS MATERIALIZED (SELECT doc_type, doc_id, layout, mode, headed, unnest(CASE doc_type WHEN 'invoice' THEN {_NAMES(INVOICE)} ELSE {_NAMES(PURCHASE)} END) AS field,
+  n > 0 AND NOT quirk AS items_ok, NOT (mode = 'routed' AND reason IS NULL AND layout = 'euro') AS heading_ok FROM modes WHERE NOT needs_ocr),
+ok AS (SELECT *, CASE field WHEN 'line_items' THEN items_ok WHEN headed THEN heading_ok ELSE true END AS correct FROM cells)"""
 
 
-@query(f"WITH {_CELLS} SELECT mode, field, CAST(count(*) FILTER (WHERE correct) AS BIGINT) AS correct, count(*) AS n FROM ok GROUP BY 1, 2")
+@query(f"WITH {_CELLS} SELECT doc_type, mode, field, CAST(count(*) FILTER (WHERE correct) AS BIGINT) AS correct, count(*) AS n FROM ok GROUP BY 1, 2, 3")
 def evaluate_documents(spark, sf):
-    """Both passes over all digital pages, correct fields counted per mode."""
-    long = evaluate.field_results(evaluated(spark, sf).where(~F.col("needs_ocr")), INVOICE, ["mode"])
-    return long.groupBy("mode", "field").agg(F.count_if("correct").alias("correct"), F.count("*").alias("n"))
+    """Both passes over all digital pages of both types, correct fields counted per mode."""
+    long = evaluate.judged_fields(evaluated(spark, sf), ["doc_type", "mode"])
+    return long.groupBy("doc_type", "mode", "field").agg(F.count_if("correct").alias("correct"), F.count("*").alias("n"))
 
 
-@query(f"WITH {_CELLS} SELECT mode, coalesce(field, 'all') AS field, coalesce(layout, 'all') AS layout, count(*) AS cells, round(100.0::DOUBLE * count(*) FILTER (WHERE correct) / count(*), 6) AS accuracy FROM ok GROUP BY GROUPING SETS ((mode, field, layout), (mode, field), (mode, layout), (mode))")
+@query(f"WITH {_CELLS} SELECT doc_type, mode, coalesce(field, 'all') AS field, coalesce(layout, 'all') AS layout, count(*) AS cells, round(100.0::DOUBLE * count(*) FILTER (WHERE correct) / count(*), 6) AS accuracy FROM ok GROUP BY GROUPING SETS ((doc_type, mode, field, layout), (doc_type, mode, field), (doc_type, mode, layout), (doc_type, mode))")
 def accuracy_matrix(spark, sf):
-    long = evaluate.field_results(evaluated(spark, sf).where(~F.col("needs_ocr")), INVOICE, ["mode", "layout"])
-    return evaluate.accuracy_matrix(long, ["mode"]).withColumn("accuracy", F.round("accuracy", 6))
+    long = evaluate.judged_fields(evaluated(spark, sf), ["doc_type", "mode", "layout"])
+    return evaluate.accuracy_matrix(long, ["doc_type", "mode"]).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query(f"WITH {_CELLS}, c AS (SELECT avg(c_front) AS single_cost, avg(round(c_small + CASE WHEN reason IS NULL THEN 0 ELSE c_front END, 6)) AS routed_cost, count(*) FILTER (WHERE reason IS NOT NULL) AS escalated, count(*) AS documents FROM costed WHERE NOT needs_ocr) SELECT round(single_cost, 8) AS single_cost, round(routed_cost, 8) AS routed_cost, escalated, documents, round((1 - routed_cost / single_cost) * 100, 4) AS saving, (SELECT round(100.0::DOUBLE * count(*) FILTER (WHERE correct) / count(*), 6) FROM ok WHERE mode = 'routed') AS routed_accuracy FROM c")
+@query(f"WITH {_CELLS}, c AS (SELECT doc_type, avg(c_front) AS single_cost, avg(round(c_small + CASE WHEN reason IS NULL THEN 0 ELSE c_front END, 6)) AS routed_cost, count(*) FILTER (WHERE reason IS NOT NULL) AS escalated, count(*) AS documents FROM types WHERE NOT needs_ocr GROUP BY 1), a AS (SELECT doc_type, round(100.0::DOUBLE * count(*) FILTER (WHERE correct) / count(*), 6) AS routed_accuracy FROM ok WHERE mode = 'routed' GROUP BY 1) SELECT doc_type, round(single_cost, 8) AS single_cost, round(routed_cost, 8) AS routed_cost, escalated, documents, round((1 - routed_cost / single_cost) * 100, 4) AS saving, routed_accuracy FROM c JOIN a USING (doc_type)")
 def cost_note(spark, sf):
     rows = evaluated(spark, sf)
-    right = sum((F.col(f"ok_{f}").cast("int") for f in FIELDS[1:]), F.col(f"ok_{FIELDS[0]}").cast("int"))
-    note = evaluate.cost_note(rows.withColumns({"correct": right, "total": F.lit(len(FIELDS))}))
-    return note.select(F.round("single_cost", 8).alias("single_cost"), F.round("routed_cost", 8).alias("routed_cost"), "escalated", "documents", F.round("saving_percent", 4).alias("saving"), F.round("routed_accuracy", 6).alias("routed_accuracy"))
+    right = F.size(F.filter("judged", lambda j: j["correct"]))
+    note = evaluate.cost_note(rows.withColumns({"correct": right, "total": F.size("judged")}), ["doc_type"])
+    return note.select("doc_type", F.round("single_cost", 8).alias("single_cost"), F.round("routed_cost", 8).alias("routed_cost"), "escalated", "documents", F.round("saving_percent", 4).alias("saving"), F.round("routed_accuracy", 6).alias("routed_accuracy"))
+
+
+_FLOORS = ", ".join(
+    f"('{slug}', '{mode}', '{field}', {floor}::DOUBLE)" for slug, spec in load_settings("eval_thresholds").items()
+    for mode, field, floor in [("single", "all", spec["min_overall"]), ("routed", "all", spec["min_overall_routed"]), *[("single", f, v) for f, v in spec["min_fields"].items()]]
+)
 
 
 @query(
-    f"""WITH {_CELLS}, acc AS (SELECT mode, coalesce(field, 'all') AS field, 100.0::DOUBLE * count(*) FILTER (WHERE correct) / count(*) AS accuracy FROM ok GROUP BY GROUPING SETS ((mode, field), (mode))),
-    floors(mode, field, floor) AS (VALUES ('single','all',97.5::DOUBLE), ('routed','all',97.0::DOUBLE), ('single','subtotal',99.0::DOUBLE), ('single','tax',99.0::DOUBLE), ('single','total',99.0::DOUBLE), ('single','line_items',99.0::DOUBLE))
-    SELECT 'invoice' AS doc_type, mode, field, round(accuracy, 6) AS accuracy, floor, accuracy >= floor AS passed FROM floors JOIN acc USING (mode, field)
-    UNION ALL SELECT 'letter', 'single', 'threshold configured', 0.0::DOUBLE, 1.0::DOUBLE, false"""
+    f"""WITH {_CELLS}, acc AS (SELECT doc_type, mode, coalesce(field, 'all') AS field, 100.0::DOUBLE * count(*) FILTER (WHERE correct) / count(*) AS accuracy FROM ok GROUP BY GROUPING SETS ((doc_type, mode, field), (doc_type, mode))),
+    floors(doc_type, mode, field, floor) AS (VALUES {_FLOORS})
+    SELECT doc_type, mode, field, round(accuracy, 6) AS accuracy, floor, accuracy >= floor AS passed FROM floors JOIN acc USING (doc_type, mode, field)"""
 )
 def gate_checks(spark, sf):
-    long = evaluate.field_results(evaluated(spark, sf).where(~F.col("needs_ocr")), INVOICE, ["mode", "layout"])
-    overall = cut(evaluate.accuracy_matrix(long, ["mode"]).where(F.col("layout") == "all").select(F.lit("invoice").alias("doc_type"), "mode", "field", "accuracy"))
-    ungated = overall.where((F.col("field") == "all") & (F.col("mode") == "single")).withColumn("doc_type", F.lit("letter"))
-    return evaluate.gate_checks(overall.unionByName(ungated)).withColumn("accuracy", F.round("accuracy", 6))
+    """The floors of both types, measured."""
+    long = evaluate.judged_fields(evaluated(spark, sf), ["doc_type", "mode", "layout"])
+    overall = evaluate.accuracy_matrix(long, ["doc_type", "mode"]).where(F.col("layout") == "all").drop("layout", "cells")
+    return evaluate.gate_checks(cut(overall)).withColumn("accuracy", F.round("accuracy", 6))
 
 
 def _labels(spark, sf):

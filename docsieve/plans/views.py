@@ -231,6 +231,79 @@ def purchase_orders(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select(key.alias("doc_id"), record.alias("record"))
 
 
+def clean_purchase_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """One purchase order per order, all rules satisfied, deliveries due after 14 days: the columns of `clean_records`."""
+    key = F.col("o_orderkey")
+    items = order_items(spark, sf).select("l_orderkey", "line_items", "subtotal")
+    joined = (
+        table(spark, sf, "orders")
+        .select("o_orderkey", "o_custkey", "o_orderpriority", F.to_date("o_orderdate").alias("day"))
+        .join(customers(spark, sf), F.col("o_custkey") == F.col("c_custkey"))
+        .join(items, key == items.l_orderkey, "left")
+        .withColumn("subtotal", F.coalesce("subtotal", F.lit(0).cast("decimal(18,4)")))
+    )
+    euro, year = F.col("currency") == "EUR", F.year("day").cast("string")
+    digits = lambda n: F.lpad((key % 10**n).cast("string"), n, "0")
+    number = F.when(euro, F.concat(F.lit("BA-"), year, F.lit("/"), digits(4))).otherwise(F.concat_ws("-", F.lit("PO"), year, digits(5)))
+    shipping = F.when(F.col("o_orderpriority").startswith("1"), 25).otherwise(10).cast("decimal(18,4)")
+    record = F.struct(
+        F.concat_ws(" ", "c_name", F.lit("GmbH")).alias("buyer"),
+        F.concat(F.lit("Supplier-"), digits(3), F.lit(" KG")).alias("vendor"),
+        number.alias("po_number"),
+        F.col("day").alias("order_date"),
+        F.date_add("day", 14).alias("delivery_date"),
+        "currency",
+        "subtotal",
+        shipping.alias("shipping"),
+        _dec(F.col("subtotal") + shipping).alias("total"),
+        F.coalesce("line_items", F.array().cast(_NO_ROWS)).alias("line_items"),
+    )
+    return joined.select(
+        key.alias("doc_id"),
+        key.cast("string").alias("doc_key"),
+        F.concat(F.lit("t"), (F.col("o_custkey") % 10).cast("string")).alias("tenant_id"),
+        F.when(euro, "euro").otherwise("standard").alias("layout"),
+        record.alias("record"),
+    )
+
+
+def printed_order(record: Column, layout: Column) -> Column:
+    """The page a clean purchase order is printed on, in one of two layouts."""
+    euro = layout == "euro"
+    money = lambda a: F.when(euro, _eu(a)).otherwise(_us(a))
+    day = lambda d: F.when(euro, F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy"))
+    say = lambda german, english, value: F.concat(F.when(euro, german).otherwise(english), value)
+
+    def row(r: Column, i: Column) -> Column:
+        quantity, prices = r["quantity"].cast("bigint").cast("string"), F.concat_ws(" ", money(r["unit_price"]), money(r["amount"]))
+        german = F.concat_ws(" ", (i + 1).cast("string"), r["description"], quantity, prices)
+        return F.when(euro, german).otherwise(F.concat_ws(" ", quantity, r["description"], prices))
+
+    buyer = record["buyer"]
+    heading = F.when(euro, F.array(F.lit("BESTELLUNG"), F.substring(buyer, 1, 1), F.substr(buyer, F.lit(2)))).otherwise(
+        F.array(buyer, F.lit("PURCHASE ORDER"))
+    )
+    body = F.array(
+        say("Bestellnummer: ", "PO Number: ", record["po_number"]),
+        say("Bestelldatum: ", "Order Date: ", day(record["order_date"])),
+        say("Lieferung innerhalb von 14 Tagen bis ", "Delivery Date: ", day(record["delivery_date"])),
+        say("Lieferant: ", "Vendor: ", record["vendor"]),
+        F.when(euro, "Pos. Beschreibung Menge Preis Betrag").otherwise("QTY ITEM PRICE AMOUNT"),
+    )
+    foot = F.array(
+        say("Zwischensumme ", "Subtotal ", money(record["subtotal"])),
+        say("Versandkosten ", "Freight ", money(record["shipping"])),
+        say("Gesamtbetrag ", "Order Total ", money(record["total"])),
+    )
+    return F.array_join(F.concat(heading, body, F.transform(record["line_items"], row), foot), "\n")
+
+
+def purchase_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Printed purchase orders: the columns of `pages`."""
+    clean = clean_purchase_orders(spark, sf)
+    return clean.withColumn("text", printed_order(F.col("record"), F.col("layout"))).withColumnRenamed("record", "expected")
+
+
 def usage(spark: SparkSession, sf: str) -> DataFrame:
     """Metered calls from events: tenant, document, definition, model, purpose and tokens."""
     error = F.col("event_type") == "error"
