@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docsieve.definition import load_confidence_model, load_definition, load_hints, load_settings
+from docsieve.definition import load_definition
 from docsieve.operators import drift, evaluate, metering, tenancy, triage
 from docsieve.plans import oracle_views as O
 from docsieve.plans import queries_drift as Q
@@ -96,17 +96,33 @@ def ingest_stream(spark, sf):
     return spark.read.parquet(f"{root}/documents").select("tenant_id", "sha256", "status")
 
 
-@query(f"WITH {_READ} SELECT doc_id, CASE WHEN needs_ocr THEN 'needs_ocr' WHEN n = 0 OR quirk THEN 'needs_review' ELSE 'approved' END AS status FROM seen")
-def document_stream(spark, sf):
-    """All pages through gate, reading, scoring and routing as one streaming query with three sinks."""
+def _processed(spark, sf):
+    """All invoice pages through the document stream: the folder of its tables."""
     pages = views.pages(spark, sf).withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.lit("scan")).otherwise(F.col("text")))
     stored = pages.select("doc_id", "tenant_id", "text", F.lit("parsed").alias("status"))
     root = scratch_table(spark, "processed")
-    D.document_stream(
-        replay(spark, stored, "pages"), root, scratch_table(spark, "processed"),
-        load_definition(), load_hints("invoice"), load_settings("reader_tiers")["frontier"], load_confidence_model(),
-    ).awaitTermination()
-    return spark.read.parquet(f"{root}/document_states").select("doc_id", "status")
+    D.document_stream(replay(spark, stored, "pages"), root, scratch_table(spark, "processed"), D.Desk.of("invoice")).awaitTermination()
+    return root
+
+
+@query(f"WITH {_READ} SELECT doc_id, CASE WHEN needs_ocr THEN 'needs_ocr' WHEN n = 0 OR quirk THEN 'needs_review' ELSE 'approved' END AS status FROM costed")
+def document_stream(spark, sf):
+    """All pages through gate, reading by both tiers, scoring and routing as one streaming query with four tables."""
+    return D.read_committed(spark, _processed(spark, sf), "document_states").select("doc_id", "status")
+
+
+_PROMPT = len(metering.system_prompt(load_definition()) + metering.user_prefix(load_definition()))
+
+
+@query(
+    f"""WITH {_READ}, calls AS (SELECT *, unnest(CASE WHEN reason IS NULL THEN ['extraction'] ELSE ['extraction', 'escalation'] END) AS purpose FROM costed WHERE NOT needs_ocr)
+    SELECT tenant_id, purpose, CASE purpose WHEN 'extraction' THEN 'mock:mock-extractor-small-v1' ELSE 'mock:mock-extractor-v1' END AS model, count(*) AS calls,
+      CAST(sum(CAST(floor((chars + {_PROMPT}) / 4) + 1 AS BIGINT)) AS BIGINT) AS input_tokens FROM calls JOIN (SELECT doc_id, tenant_id FROM clean) USING (doc_id) GROUP BY 1, 2, 3"""
+)
+def document_stream_usage(spark, sf):
+    """N4's metered calls: one of the small tier per digital page, one more of the strong tier per escalated page."""
+    used = D.read_committed(spark, _processed(spark, sf), "usage_events")
+    return used.groupBy("tenant_id", "purpose", "model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"))
 
 
 _ARMS = Q._SIGNALS.replace(

@@ -4,7 +4,6 @@ import math
 
 from pyspark.sql import functions as F
 
-from docsieve.definition import load_confidence_model, load_definition, load_hints, load_settings
 from docsieve.plans import queries_drift as Q
 from docsieve.plans import views
 from docsieve.streaming import admission as stream_admission
@@ -150,16 +149,90 @@ def test_new_documents_that_arrive_late_are_stored(spark, tmp_path):
     assert stored.count() == stored.select("sha256").distinct().count() == 6
 
 
+def stream_pages(spark, sf):
+    pages = views.pages(spark, sf).select(F.col("doc_id"), "tenant_id", "text", F.lit("parsed").alias("status")).orderBy("doc_id").limit(400)
+    scans = pages.limit(3).select((-F.col("doc_id") - 1).alias("doc_id"), "tenant_id", F.lit("scan").alias("text"), "status")
+    return pages.unionByName(pages.limit(5).withColumn("status", F.lit("approved"))).unionByName(scans).cache()
+
+
 def test_document_stream_equals_batch(spark, sf, tmp_path):
-    pages = views.pages(spark, sf).select(F.col("doc_id"), "tenant_id", "text", F.lit("parsed").alias("status")).limit(400)
-    pages = pages.unionByName(pages.limit(5).withColumn("status", F.lit("approved"))).cache()
-    definition, hints, tier, model = load_definition(), load_hints("invoice"), load_settings("reader_tiers")["frontier"], load_confidence_model()
-    root = str(tmp_path / "store")
-    query = D.document_stream(as_stream(spark, pages, tmp_path, "pages", "doc_id"), root, str(tmp_path / "cp"), definition, hints, tier, model)
-    query.awaitTermination(240)
-    want = {(r.doc_id, r.decision, round(r.doc_confidence, 6)) for r in D.process(pages, definition, hints, tier, model).collect()}
-    stored = spark.read.parquet(f"{root}/extractions")
+    pages, desk, root = stream_pages(spark, sf), D.Desk.of("invoice"), str(tmp_path / "store")
+    D.document_stream(as_stream(spark, pages, tmp_path, "pages", "doc_id"), root, str(tmp_path / "cp"), desk).awaitTermination(240)
+    twin = desk.final_answers(desk.first_answers(pages).cache()).cache()
+    want = {(r.doc_id, r.decision, round(r.doc_confidence, 6)) for r in twin.where("status <> 'needs_ocr'").collect()}
+    assert len(want) == 400
+    stored = D.read_committed(spark, root, "extractions")
     assert {(r.doc_id, r.decision, round(r.doc_confidence, 6)) for r in stored.collect()} == want
-    cells = spark.read.parquet(f"{root}/extraction_fields")
+    cells = D.read_committed(spark, root, "extraction_fields")
     assert cells.where("name = 'vendor'").count() == len(want)
     assert cells.where("name LIKE 'line_items.%' AND confidence IS NULL").count() == 0
+    states = D.read_committed(spark, root, "document_states")
+    assert states.where("status = 'needs_ocr'").count() == 3 and states.count() == 403
+    used = D.read_committed(spark, root, "usage_events")
+    rows = lambda df: sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+    assert rows(used) == rows(D.usage_events(twin, "invoice"))
+    assert used.select("event_id").distinct().count() == used.count()
+    asked = stored.where("trigger IS NOT NULL").count()
+    assert 0 < asked < 400 and used.where("purpose = 'escalation'").count() == asked
+    assert stored.where("trigger IS NOT NULL AND (calls <> 2 OR model NOT LIKE '%extractor-v1')").count() == 0
+
+
+def test_the_stronger_tier_reads_only_what_the_first_one_doubts(spark, sf):
+    """Where the small tier loses a letter without doubt its answer stays; the strong one's own answer counts elsewhere."""
+    desk = D.Desk.of("invoice")
+    first = desk.first_answers(stream_pages(spark, sf)).cache()
+    final = desk.final_answers(first)
+    before = {r.doc_id: r.output for r in first.where("trigger IS NULL").collect()}
+    after = {r.doc_id: r for r in final.collect()}
+    assert all(after[d].output == out and len(after[d].calls) <= 1 for d, out in before.items())
+    strong = D.process(stream_pages(spark, sf), desk.definition, desk.hints, desk.tiers["frontier"], desk.model)
+    alone = {r.doc_id: r.decision for r in strong.select("doc_id", "decision").collect()}
+    again = [d for d in after if d not in before]
+    assert again and all(after[d].decision == alone[d] for d in again)
+
+
+def test_a_run_killed_between_sinks_leaves_nothing_visible(spark, sf, tmp_path, monkeypatch):
+    pages, desk = stream_pages(spark, sf), D.Desk.of("invoice")
+    root, checkpoint = str(tmp_path / "store"), str(tmp_path / "cp")
+    stream = as_stream(spark, pages, tmp_path, "pages", "doc_id", files=2)
+    kept, done = D.commit_batch, []
+
+    def dies(tables, folder, name, batch):
+        if batch == 1:
+            half = dict(list(tables.items())[:2])
+            for sink, df in half.items():
+                df.write.mode("overwrite").partitionBy("tenant_id").parquet(f"{folder}/{sink}/stream={name}/batch={batch}")
+            raise RuntimeError("executor and driver lost")
+        kept(tables, folder, name, batch)
+        done.append(batch)
+
+    monkeypatch.setattr(D, "commit_batch", dies)
+    try:
+        D.document_stream(stream, root, checkpoint, desk).awaitTermination(240)
+    except Exception as stopped:  # noqa: BLE001 - the stream's own exception type differs by version
+        assert "lost" in str(stopped)
+    assert done == [0]
+    counts = lambda: [D.read_committed(spark, root, s).select("doc_id").distinct().count() for s in ("extractions", "extraction_fields", "document_states")]
+    first = counts()
+    assert first[0] == first[1] and first[2] < 403
+    monkeypatch.setattr(D, "commit_batch", kept)
+    D.document_stream(stream, root, checkpoint, desk).awaitTermination(240)
+    assert counts() == [400, 400, 403]
+
+
+def test_a_committed_batch_is_not_written_again_and_streams_do_not_mix(spark, tmp_path):
+    root = str(tmp_path)
+    table = lambda v: {"document_states": spark.createDataFrame([(1, "t", v)], "doc_id int, tenant_id string, status string")}
+    D.commit_batch(table("a"), root, "one", 0)
+    D.commit_batch(table("b"), root, "one", 0)
+    D.commit_batch(table("c"), root, "two", 0)
+    assert sorted(r.status for r in D.read_committed(spark, root, "document_states").collect()) == ["a", "c"]
+
+
+def test_nothing_committed_is_an_error_of_its_own(spark, tmp_path):
+    try:
+        D.read_committed(spark, str(tmp_path), "extractions")
+    except LookupError as missing:
+        assert "committed" in str(missing)
+    else:
+        raise AssertionError("a table without a commit was read")
