@@ -157,6 +157,19 @@ def upsert_status(spark, sf):
     return T.upsert_status(docs, changes).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {O.DOCS} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'approved' WHEN doc_id % 10 = 1 THEN 'failed' ELSE status END AS status, received_at FROM docs UNION ALL SELECT -1, 'received', NULL")
+def merge_status(spark, sf):
+    """A11 as a stored table: states merged bucket by bucket, one document added."""
+    docs = views.document_rows(spark, sf).select("doc_id", "status", "received_at")
+    store = T.KeyedTable(spark, scratch_table(spark, "states"), "doc_id")
+    store.create(docs)
+    change = lambda rest, status, minute: docs.where(F.col("doc_id") % 10 == rest).select("doc_id", F.lit(status).alias("status"), F.lit(minute).alias("changed_at"))
+    store.merge(change(0, "parsed", 1).unionByName(change(0, "approved", 2)), "changed_at")
+    added = docs.select(F.lit(-1).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit("received").alias("status"), F.lit(3).alias("changed_at")).distinct()
+    store.merge(change(1, "failed", 1).unionByName(added), "changed_at", insert=True)
+    return store.read()
+
+
 # --- usage, joins and rollups -----------------------------------------------------------------
 
 
