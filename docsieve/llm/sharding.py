@@ -9,7 +9,8 @@ Slots number the rows of a shard without gaps in key order. No shard passes
 through one task: rows are range-partitioned by (shard, key), numbered inside each
 range, and the ranges' sizes are summed up in a table of counts.
 
-Edge cases: a null key counts as key 0; a null text has size 1 and checksum 0;
+Edge cases: keys are whole numbers, or strings or bytes, which count by their 64-bit hash (so the string `5` is another
+key than the number 5); other types are refused. A null key counts as key 0; a null text has size 1 and checksum 0;
 repeated rows are numbered one after another; an empty table gives no rows;
 further columns are ignored.
 """
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from docsieve.functions.values import bind
 from docsieve.llm.registry import table
 from docsieve.session import cut
 
@@ -26,6 +29,8 @@ from docsieve.session import cut
 FACTOR = 2862933555777941757
 WORD = 1 << 64
 HIGH = 1 << 33
+#: Jumps that are tried for every key. A key jumps about ln(shards) times, so few keys of many shards need more.
+STEPS = 48
 #: Rows of a range that is numbered in one task.
 RANGE_ROWS = 1_000_000
 
@@ -44,13 +49,29 @@ def jump_hash(key: Column, shards: int) -> Column:
         jumped = F.struct(s["next"].alias("shard"), target.alias("next"), seed.alias("seed"))
         return F.when(s["next"] < shards, jumped).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), state, step, lambda s: s["shard"].cast("int"))
+    def jumps(steps: int, start: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+
+    if shards <= STEPS:
+        return jumps(shards, state)["shard"].cast("int")
+    rest = lambda s: F.when(s["next"] < shards, jumps(shards - STEPS, s)["shard"]).otherwise(s["shard"])
+    return bind(jumps(STEPS, state), rest).cast("int")
+
+
+def key_number(df: DataFrame, key: str) -> Column:
+    """The key as a long: whole numbers as they are, strings and bytes by XXH64, null as 0."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.xxhash64(key)).cast("long")
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"keys are whole numbers, strings or bytes; {key!r} is {kind.simpleString()}")
+    return F.coalesce(F.col(key), F.lit(0)).cast("long")
 
 
 def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 16) -> DataFrame:
     """Key, size, checksum, shard, slot within the shard and the shard after one more is appended."""
     body = F.coalesce(F.col(text), F.lit(""))
-    number = F.coalesce(F.col(key), F.lit(0)).cast("long")
+    number = key_number(docs, key)
     placed = cut(docs.select(
         F.col(key).alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),

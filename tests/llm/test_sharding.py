@@ -1,7 +1,12 @@
 """Shards and slots against a plain jump hash."""
 
+import random
 import zlib
 
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
 from docsieve.llm import sharding
 
 
@@ -34,3 +39,25 @@ def test_odd_rows(odd, odd_rows, none):
 def test_no_python_in_the_plan(docs):
     plan = sharding.shard(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("shards", [1, 47, 48, 49, 10_000])
+def test_few_jumps_suffice_and_the_rest_is_finished(spark, shards, monkeypatch):
+    rng = random.Random(shards)
+    keys = [rng.getrandbits(63) - 2**62 for _ in range(300)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    want = [jump(k, shards) for k in keys]
+    assert [r.s for r in df.select(sharding.jump_hash(F.col("k"), shards).alias("s")).collect()] == want
+    monkeypatch.setattr(sharding, "STEPS", 3)
+    few = df.limit(20) if shards > 1000 else df
+    assert [r.s for r in few.select(sharding.jump_hash(F.col("k"), shards).alias("s")).collect()] == want[: few.count()]
+
+
+def test_strings_count_by_their_hash_and_other_types_are_refused(spark):
+    ids = ["doc-1", "doc-2", "", "5", None]
+    df = spark.createDataFrame([(i, "t") for i in ids], "doc_id string, text string")
+    signed = lambda i: 0 if i is None else xxhash.xxh64(i.encode(), seed=42).intdigest()
+    got = {r.doc_id: r.shard for r in sharding.shard(df).collect()}
+    assert got == {i: jump(signed(i), 16) for i in ids}
+    with pytest.raises(TypeError, match="whole numbers"):
+        sharding.shard(df.select(F.lit(1.5).alias("doc_id"), "text"))
