@@ -2,6 +2,8 @@
 
 import zlib
 
+from pyspark.sql import functions as F
+
 from docsieve.llm import quality_classifier, quality_rules
 from tests.oracle_check import compare, duck
 
@@ -40,3 +42,21 @@ def test_classifier_on_odd_rows(spark, odd, none):
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert quality_classifier.classify(none, labels).count() == 0
     assert {r.score for r in quality_classifier.classify(odd, labels.where("false")).collect()} == {0.5}
+
+
+def test_the_sample_is_the_rows_with_the_smallest_hashes(spark):
+    rows = spark.range(5000).withColumn("h", F.xxhash64("id")).cache()
+    every = sorted(r.h for r in rows.collect())
+    for size in (1, 100, 4999, 5000, 9000):
+        assert [r.h for r in quality_classifier.smallest(rows, "h", size).collect()] == every[:size]
+    clumped = spark.range(50).withColumn("h", F.col("id") + (1 << 62))
+    assert [r.id for r in quality_classifier.smallest(clumped, "h", 7).collect()] == list(range(7))
+    assert quality_classifier.smallest(rows.limit(0), "h", 7).count() == 0
+
+
+def test_repeated_rows_of_an_id_count_once_in_the_fit(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    first = docs.orderBy("doc_id").limit(1)
+    more = docs.unionByName(first.join(spark.range(100).drop("id")))
+    scores = lambda df: {r.doc_id: r.score for r in quality_classifier.classify(df, labels).collect()}
+    assert scores(docs) == scores(more)
