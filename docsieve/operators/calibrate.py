@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsieve.definition import FEATURES
+from docsieve.session import cut
 
 # The sweep grid, the coverage limits of an operating point and the frontier's targets.
 GRID = 200
@@ -109,27 +110,68 @@ def surviving_errors(scores: DataFrame, threshold: float) -> DataFrame:
     return kept.groupBy("error_class", "field").agg(F.count("*").alias("n"))
 
 
-def fit_logistic(rows: DataFrame, names: Sequence[str] = FEATURES, l2: float = 1.0, max_iter: int = 200) -> dict:
+def _newton_sums(z: list[Column], weights: Sequence[float], label: Column, times: Column) -> list[Column]:
+    """Loss, gradient and upper half of the Gram matrix, weighted by p (1 - p), as plain sums at the given weights."""
+    margin = F.lit(float(weights[-1]))
+    for w, c in zip(weights, z[:-1]):
+        margin = margin + F.lit(float(w)) * c
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_margin")))
+    loss = F.greatest(F.col("_margin"), F.lit(0.0)) - label * F.col("_margin") + F.log1p(F.exp(-F.abs(F.col("_margin"))))
+    curve = times * p * (F.lit(1.0) - p)
+    half = [F.sum(curve * z[i] * z[j]) for i in range(len(z)) for j in range(i, len(z))]
+    return [margin.alias("_margin"), F.sum(times * loss), *[F.sum(times * (p - label) * c) for c in z], *half]
+
+
+def fit_logistic(rows: DataFrame, names: Sequence[str] = FEATURES, l2: float = 1.0, max_iter: int = 60, tol: float = 1e-12) -> dict:
     """Standardised, L2-regularised logistic regression; weights, bias, mean and deviation.
 
-    Equal feature vectors are counted first, so training runs over the distinct
-    ones with weights. The penalty matches l2 / n on the weights alone.
+    Newton's method over an aggregated Gram matrix. Equal feature vectors are counted once; a step is one aggregate
+    without keys over the distinct ones (loss, gradient and the upper half of the matrix, partial sums in each task), and the driver
+    solves a system with one unknown per feature and one for the bias. A step that does not lower the loss is halved. The
+    penalty l2 / 2 is on the weights alone.
+
+    Rows with a NULL feature or label are left out; without rows there is nothing to fit and a ValueError is raised. A
+    constant feature has the deviation 1e-9 and the weight 0. With one label alone the bias has no optimum: the fit
+    stops where the gradient per row is below `tol`, or after `max_iter` steps.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    moments = rows.agg(
-        F.count("*").alias("n"), *[f(F.col(c).cast("double")).alias(f"{a}_{c}") for c in names for a, f in (("m", F.avg), ("s", F.stddev_pop))]
-    ).first()
-    n = moments["n"]
-    mean = [moments[f"m_{c}"] for c in names]
-    std = [moments[f"s_{c}"] + 1e-9 for c in names]
-    scaled = [((F.col(c) - F.lit(m)) / F.lit(s)) for c, m, s in zip(names, mean, std)]
-    distinct = rows.groupBy(*names, F.col("correct").cast("double").alias("label")).agg(F.count("*").cast("double").alias("weight"))
-    vectors = distinct.select("label", "weight", array_to_vector(F.array(*scaled)).alias("features"))
-    trainer = LogisticRegression(regParam=l2 / n, elasticNetParam=0.0, standardization=False, weightCol="weight", maxIter=max_iter, tol=1e-9)
-    model = trainer.fit(vectors)
-    return {"weights": [float(w) for w in model.coefficients], "bias": float(model.intercept), "mean": mean, "std": std, "rows": n}
+    import numpy as np
+
+    whole = rows.select(*[F.col(c).cast("double").alias(c) for c in names], F.col("correct").cast("double").alias("_label")).na.drop()
+    distinct = cut(whole.groupBy(*names, "_label").agg(F.count("*").cast("double").alias("_times")))
+    times = F.col("_times")
+    n, *means = distinct.agg(F.sum(times), *[F.sum(times * F.col(c)) / F.sum(times) for c in names]).first()
+    if not n:
+        raise ValueError("there are no rows to fit")
+    spread = distinct.agg(*[F.sqrt(F.sum(times * (F.col(c) - F.lit(m)) * (F.col(c) - F.lit(m))) / F.sum(times)) for c, m in zip(names, means)]).first()
+    std = [s + 1e-9 for s in spread]
+    z = [(F.col(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(names, means, std)]
+    scaled = distinct.select(*[c.alias(f"_z{i}") for i, c in enumerate(z)], F.lit(1.0).alias(f"_z{len(z)}"), "_label", "_times")
+    size = len(names) + 1
+    columns = [F.col(f"_z{i}") for i in range(size)]
+    penalty = np.array([l2] * (size - 1) + [0.0])
+    upper = np.triu_indices(size)
+
+    def sums_at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        margin, *sums = _newton_sums(columns, w.tolist(), F.col("_label"), times)
+        loss, *rest = scaled.withColumn("_margin", margin).agg(*sums).first()
+        gram = np.zeros((size, size))
+        gram[upper] = rest[size:]
+        gram = gram + np.triu(gram, 1).T + np.diag(penalty)
+        return loss + float(penalty @ (w * w)) / 2, np.array(rest[:size]) + penalty * w, gram
+
+    w = np.zeros(size)
+    loss, gradient, gram = sums_at(w)
+    for _ in range(max_iter):
+        if np.abs(gradient).max() <= tol * n:
+            break
+        step, share = np.linalg.solve(gram, gradient), 1.0
+        tried = sums_at(w - step)
+        while tried[0] > loss + 1e-12 * abs(loss) and share > 1e-6:
+            share /= 2
+            tried = sums_at(w - share * step)
+        w = w - share * step
+        loss, gradient, gram = tried
+    return {"weights": [float(v) for v in w[:-1]], "bias": float(w[-1]), "mean": list(means), "std": std, "rows": int(n)}
 
 
 def predict(rows: DataFrame, fit: dict, names: Sequence[str] = FEATURES) -> DataFrame:

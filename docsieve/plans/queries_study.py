@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.definition import FEATURES, confidence_model_for, load_confidence_model, load_definition, load_hints, load_settings
-from docsieve.functions.tables import with_prefixed
+from docsieve.functions.tables import literal_table, with_prefixed
 from docsieve.operators import calibrate, corruption, evaluate, evidence, scoring
 from docsieve.plans import oracle_views as O
 from docsieve.plans import queries_drift as drift_queries
 from docsieve.plans import views
 from docsieve.plans.catalog import query
-from docsieve.plans.queries_evidence import FIELDS, SQL_ROUTED, routed
+from docsieve.plans.queries_evidence import FIELDS, SQL_ROUTED, SQL_SIGNALS, _sql_features, routed
 from docsieve.session import cut
 
 INVOICE = load_definition("invoice")
@@ -131,23 +131,83 @@ def training_rows(spark, sf):
     return cut(long.select("doc_id", "field", "correct", *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(FEATURES)]))
 
 
-@query()
+def _sql_newton(steps: int = 40) -> str:
+    """The fit as a recursive query: one row per Newton step; its system is solved by eliminating one unknown after another, and no weight moves by more than 1."""
+    n = len(FEATURES) + 1
+    union = " UNION ALL ".join(
+        f"SELECT doc_id, '{f}' AS field, CASE WHEN coalesce({_WRONG.get(f, 'false')}, false) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS y, "
+        + ", ".join(f"{x}::DOUBLE AS x{i}" for i, x in enumerate(_sql_features(f)))
+        + " FROM sp"
+        for f in FIELDS
+    )
+    z = ", ".join(f"(x{i} - (SELECT m{i} FROM mom)) / (SELECT s{i} FROM mom)" for i in range(n - 1))
+    p = "1.0::DOUBLE / (1.0::DOUBLE + exp(-list_dot_product(w, z)))"
+    entry = lambda i, j: f"sum(c * q * (1 - q) * z[{i}] * z[{j}])" + (" + 1.0::DOUBLE" if i == j < n else "")
+    row = lambda i: "[" + ", ".join([*[entry(i, j) for j in range(1, n + 1)], f"sum(c * (q - y) * z[{i}])" + (f" + any_value(w)[{i}]" if i < n else "")]) + "]"
+    # the system, then the numbers of the unknowns in the shape of a system
+    parts = ", ".join(f"[[{k}.0::DOUBLE]]" for k in range(1, n + 1))
+    pivot = "list_transform(m[CAST(k[1][1] AS INT)], lambda v: v / m[CAST(k[1][1] AS INT)][CAST(k[1][1] AS INT)])"
+    gone = f"list_transform(m, lambda r, i: CASE WHEN i = k[1][1] THEN {pivot} ELSE list_transform(r, lambda v, j: v - r[CAST(k[1][1] AS INT)] * ({pivot})[j]) END)"
+    return f"""WITH {SQL_SIGNALS}, sp AS MATERIALIZED (SELECT sig.*, spoiled, respelled FROM sig JOIN (SELECT doc_id, line_items <> x_line_items AS spoiled, vendor <> x_vendor AS respelled FROM faulty) USING (doc_id)),
+    x AS MATERIALIZED ({union}),
+    mom AS MATERIALIZED (SELECT count(*) AS n, {', '.join(f'avg(x{i}) AS m{i}, stddev_pop(x{i}) + 1e-9::DOUBLE AS s{i}' for i in range(n - 1))} FROM x),
+    d AS MATERIALIZED (SELECT [{z}, 1.0::DOUBLE] AS z, y, CAST(count(*) AS DOUBLE) AS c FROM x GROUP BY 1, 2),
+    newton(k, w) AS (SELECT 0, list_transform(range({n}), lambda i: 0.0::DOUBLE) UNION ALL
+      SELECT k + 1, list_transform(w, lambda v, i: v - solved[i][{n + 1}] / greatest(1.0::DOUBLE, list_max(list_transform(solved, lambda r: abs(r[{n + 1}]))))) FROM
+      (SELECT k, w, list_reduce([system, {parts}], lambda m, k: {gone}) AS solved FROM
+       (SELECT k, w, [{', '.join(row(i) for i in range(1, n + 1))}] AS system FROM (SELECT k, w, z, y, c, {p} AS q FROM newton CROSS JOIN d WHERE k < {steps}) GROUP BY k, w))),
+    fit AS (SELECT w FROM newton WHERE k = {steps})"""
+
+
+_FIT_ROWS = " UNION ALL ".join(
+    f"SELECT {i} AS pos, '{f}' AS feature, w[{i + 1}] AS weight, m{i} AS mean, s{i} AS std FROM fit CROSS JOIN mom" for i, f in enumerate(FEATURES)
+)
+_ROUND6 = lambda *names: ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in names)
+
+
+@query(
+    f"""{_sql_newton()} SELECT feature, {_ROUND6('weight', 'mean', 'std')} FROM
+    ({_FIT_ROWS} UNION ALL SELECT {len(FEATURES)}, 'bias', w[{len(FEATURES) + 1}], 0.0::DOUBLE, 1.0::DOUBLE FROM fit)"""
+)
 def fit_logistic(spark, sf):
-    """Fitted weights per feature; the fit is compared with plain gradient descent in the tests."""
+    """Fitted weights per feature, to six places (a weight of nothing is plain zero)."""
     fit = calibrate.fit_logistic(training_rows(spark, sf))
-    from docsieve.functions.tables import literal_table
+    rows = zip([*FEATURES, "bias"], [*fit["weights"], fit["bias"]], [*fit["mean"], 0.0], [*fit["std"], 1.0])
+    table = literal_table(spark, ["feature", "weight", "mean", "std"], [(n, *map(float, values)) for n, *values in rows])
+    return table.select("feature", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("weight", "mean", "std")])
 
-    rows = [(n, w, m, s) for n, w, m, s in zip([*FEATURES, "bias"], [*fit["weights"], fit["bias"]], [*fit["mean"], 0.0], [*fit["std"], 1.0])]
-    return literal_table(spark, ["feature", "weight", "mean", "std"], [tuple(map(lambda v: float(v) if not isinstance(v, str) else v, r)) for r in rows])
 
+_FIT_CURVE = _sql_points("[0.99::DOUBLE]").replace(f"{SQL_SCORED}, ", "", 1)
+_FIT_SCORED = f"""scored AS MATERIALIZED (SELECT CAST(y AS INT) AS y, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(w[{len(FEATURES) + 1}] + {' + '.join(f'w[{i + 1}] * ((x{i} - m{i}) / s{i})' for i in range(len(FEATURES)))}))) AS p
+    FROM x CROSS JOIN fit CROSS JOIN mom)"""
 
-@query()
+
+@query(
+    f"""{_sql_newton()}, {_FIT_SCORED}, point AS ({'WITH ' + _FIT_CURVE}) SELECT 2 AS schema_version, 'logistic' AS model, 'invoice' AS slug, 1 AS pipeline_version,
+    feature, {_ROUND6('weight', 'mean', 'std')}, round(w[{len(FEATURES) + 1}], 6) AS bias, n AS train_rows, threshold, target AS target_precision, met AS target_met,
+    round(precision, 6) AS measured_precision, round(rate, 6) AS auto_approve_rate FROM ({_FIT_ROWS}) CROSS JOIN fit CROSS JOIN (SELECT n FROM mom) CROSS JOIN point"""
+)
 def model_artifact(spark, sf):
+    """The artifact, read back from its JSON: one row per feature with what holds for the whole model; figures to six places."""
     rows = training_rows(spark, sf)
     fit = calibrate.fit_logistic(rows)
     scores = calibrate.predict(rows, fit).select("p", F.col("correct").alias("y"))
     point = calibrate.operating_point(calibrate.sweep(scores))
-    return calibrate.model_artifact(spark, fit, point, "invoice", 1)
+    shape = (
+        "schema_version int, model string, features array<string>, weights array<double>, bias double, standardization struct<mean array<double>, std array<double>>, "
+        "calibrated_for struct<pipeline_slug string, pipeline_version int>, provenance struct<train_rows bigint>, "
+        "operating_point struct<threshold double, target_precision double, target_met boolean, measured_precision double, auto_approve_rate double>"
+    )
+    body = calibrate.model_artifact(spark, fit, point, "invoice", 1).select(F.from_json("json", shape).alias("a")).select("a.*")
+    one = F.arrays_zip(F.col("features").alias("feature"), F.col("weights").alias("weight"), F.col("standardization.mean").alias("mean"), F.col("standardization.std").alias("std"))
+    rounded = lambda c, name: (F.round(c, 6) + F.lit(0.0)).alias(name)
+    at = F.col("operating_point")
+    return body.withColumn("f", F.explode(one)).select(
+        "schema_version", "model", F.col("calibrated_for.pipeline_slug").alias("slug"), F.col("calibrated_for.pipeline_version").alias("pipeline_version"),
+        F.col("f.feature").alias("feature"), *[rounded(F.col(f"f.{c}"), c) for c in ("weight", "mean", "std")], F.round("bias", 6).alias("bias"),
+        F.col("provenance.train_rows").alias("train_rows"), at["threshold"].alias("threshold"), at["target_precision"].alias("target_precision"),
+        at["target_met"].alias("target_met"), rounded(at["measured_precision"], "measured_precision"), rounded(at["auto_approve_rate"], "auto_approve_rate"),
+    )
 
 
 # --- evaluation -------------------------------------------------------------------------------

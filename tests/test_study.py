@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docsieve.operators import calibrate
@@ -71,3 +72,18 @@ def test_fit_equals_gradient_descent(spark):
     assert np.allclose(fit["mean"], mu) and np.allclose(fit["std"], sd)
     predicted = calibrate.predict(df, fit, ("a", "b")).agg(F.avg("p")).first()[0]
     assert abs(predicted - y.mean()) < 1e-3
+
+
+def test_fit_of_extreme_rows(spark):
+    """Two labels that a feature tells apart, a constant feature, NULLs, one label alone, and no rows."""
+    rows = [(float(i), 7.0, int(i >= 50)) for i in range(100)]
+    df = spark.createDataFrame([*rows, (None, 7.0, 1), (3.0, 7.0, None)], "a double, b double, correct int")
+    fit = calibrate.fit_logistic(df, ("a", "b"))
+    assert fit["rows"] == 100 and fit["mean"] == [49.5, 7.0] and fit["weights"][0] > 2 and fit["weights"][1] == 0.0 and abs(fit["bias"]) < 1e-8
+    x = (np.arange(100) - 49.5) / fit["std"][0]
+    p = 1 / (1 + np.exp(-(fit["weights"][0] * x + fit["bias"])))
+    assert abs((p - (np.arange(100) >= 50)) @ x + fit["weights"][0]) < 1e-8
+    one = calibrate.fit_logistic(df.where("correct = 1"), ("a", "b"))
+    assert np.isfinite([*one["weights"], one["bias"]]).all() and one["bias"] > 20
+    with pytest.raises(ValueError):
+        calibrate.fit_logistic(df.where("a < 0"), ("a", "b"))
