@@ -11,6 +11,10 @@ byte-pair merging each position has one such edge at most, so the relaxation
 finds the same pieces as merging does. Whether two pieces stay apart is
 found by undoing their merges in reverse order, and remembered.
 
+A word of more than 512 bytes (a text in a script without spaces, encoded data) is cut between characters that no piece
+holds side by side, and equal parts are encoded once. A part that stays long is dealt into overlapping segments that advance together;
+those that do not fall in with their predecessor, mostly in long runs of one sign, are relaxed once more, an occurrence at a time.
+
 Characters outside the vocabulary become byte pieces and keep their neighbours apart. Runs of
 several spaces have the least rank and are merged last, from the left.
 
@@ -40,6 +44,14 @@ REMEMBERED = 1 << 19
 REMEMBERED_PAIRS = 1 << 21
 #: Bytes of new words that are indexed at a time; the edges take some two hundred times as much.
 INDEXED_BYTES = 64 << 10
+#: Ids that a task remembers.
+REMEMBERED_IDS = 1 << 23
+#: Bytes from which a word is cut, of a segment of a run that cannot be cut, and of its start before its own begin.
+LONG, SEGMENT, OVERLAP = 512, 384, 192
+#: Characters that are looked at together when a word is cut.
+CUT = 1 << 16
+#: What ends at a place: nothing; nothing yet, because a word starts there.
+NONE, FIRST = -3, -2
 #: Bytes of text that are encoded together.
 SLICE_BYTES = 512 << 10
 
@@ -100,6 +112,8 @@ class Vocabulary:
         self.low, self.high = low, high
         texts = [bytes([int(n[3:5], 16)]) if k == BYTE else n.replace(SPACE, " ").encode() if k == NORMAL else b"" for n, k in zip(names, kinds)]
         self.texts = pa.array(texts, pa.large_binary())
+        marks = [np.frombuffer(names[i].replace(SPACE, " ").encode("utf-32-le"), np.uint32).astype(np.int64) for i, _ in built]
+        self.neighbours = np.unique(np.concatenate([(m[:-1] << 21) | m[1:] for m in marks]))
         self.keys, self.apart = np.zeros(0, np.int64), np.zeros(0, bool)
         self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -149,6 +163,20 @@ class Vocabulary:
         if len(self.keys) > REMEMBERED_PAIRS:
             self.keys, self.apart = self.keys[:0], self.apart[:0]
 
+    def cut(self, word: bytes) -> list[bytes]:
+        """The word, cut between characters that stand side by side in no piece: no merge crosses such a place."""
+        text, places, done = word.decode(), [0], 0
+        for i in range(0, len(text), CUT):
+            # one character more, for the pair that crosses
+            marks = np.frombuffer(text[i : i + CUT + 1].encode("utf-32-le"), np.uint32).astype(np.int64)
+            pair = (marks[:-1] << 21) | marks[1:]
+            at = np.minimum(np.searchsorted(self.neighbours, pair), len(self.neighbours) - 1)
+            ends = done + np.cumsum(np.select([marks < 0x80, marks < 0x800, marks < 0x10000], [1, 2, 3], 4))
+            places.extend(ends[:-1][self.neighbours[at] != pair].tolist())
+            done = int(ends[min(CUT, len(ends)) - 1])
+        places.append(len(word))
+        return [word[s:e] for s, e in zip(places, places[1:])]
+
     def space_run(self, n: int) -> list[int]:
         """Ids of a run of n single spaces, merged from the left."""
         stack: list[int] = []
@@ -199,7 +227,34 @@ def occurrences(vocabulary: Vocabulary, data: np.ndarray) -> tuple[np.ndarray, n
 
 
 def encode_words(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words, and where each word's ids start; a word starts with its space."""
+    """Ids of all words, and where each word's ids start; a word starts with its space. Long words are cut first."""
+    if all(len(w) <= LONG for w in words):
+        return encode_short(vocabulary, words)
+    number: dict[bytes, int] = {}
+    use, count = [], []
+    for w in words:
+        chunks = vocabulary.cut(w) if len(w) > LONG else [w]
+        use.extend(number.setdefault(c, len(number)) for c in chunks)
+        count.append(len(chunks))
+    chunks = np.fromiter(map(len, number), np.int64, len(number))
+    short, long = np.flatnonzero(chunks <= LONG), np.flatnonzero(chunks > LONG)
+    names = list(number)
+    flat, offsets = encode_short(vocabulary, [names[i] for i in short])
+    chains = [encode_chain(vocabulary, names[i]) for i in long]
+    ids = np.concatenate([flat, *chains])
+    ends = np.concatenate([offsets, offsets[-1] + np.cumsum([len(c) for c in chains], dtype=np.int64)])
+    begin, size = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    begin[np.concatenate([short, long])], size[np.concatenate([short, long])] = ends[:-1], np.diff(ends)
+    use = np.array(use)
+    taken = size[use]
+    first = np.cumsum(taken) - taken
+    out = ids[np.arange(taken.sum()) - np.repeat(first - begin[use], taken)]
+    total = np.concatenate([[0], np.cumsum(taken)])
+    return out, total[np.cumsum([0, *count])]
+
+
+def encode_short(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """`encode_words` of words that advance together, group by group."""
     ends = np.cumsum([0, *map(len, words)])
     flat, offsets, at = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
     while at < len(words):
@@ -211,36 +266,58 @@ def encode_words(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray
     return np.concatenate(flat), np.concatenate(offsets)
 
 
-def encode_group(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """`encode_words` of words that are indexed together."""
-    data = np.frombuffer(b"\xff".join(words) + b"\xff", np.uint8)
-    ends = np.flatnonzero(data == BREAK)
-    starts = np.concatenate([[0], ends[:-1] + 1])
+def widths(data: np.ndarray) -> np.ndarray:
+    """Bytes of the character that starts at each place."""
+    return np.select([data < 0x80, data < 0xE0, data < 0xF0], [1, 2, 3], 4)
+
+
+def edges(vocabulary: Vocabulary, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, piece and length of all occurrences; a character without a piece leads to byte pieces and is marked by -1."""
     at, piece = occurrences(vocabulary, data)
-    size = vocabulary.length[piece]
-    # characters without a piece of their own lead to byte pieces and are marked by a negative number
+    size, width = vocabulary.length[piece], widths(data)
     lead = ((data & 0xC0) != 0x80) & (data != BREAK)
-    width = np.select([data < 0x80, data < 0xE0, data < 0xF0], [1, 2, 3], 4)
     covered = np.zeros(len(data), bool)
     covered[at[size == width[at]]] = True
     other = np.flatnonzero(lead & ~covered)
-    at, piece, size = np.concatenate([at, other]), np.concatenate([piece, np.full(len(other), -1)]), np.concatenate([size, width[other]])
-    word = np.searchsorted(ends, at)
-    step = at - starts[word]
+    return np.concatenate([at, other]), np.concatenate([piece, np.full(len(other), -1)]), np.concatenate([size, width[other]])
+
+
+def relaxed(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each place the piece that ends there and its length, all words from left to right at once; and all occurrences."""
+    at, piece, size = edges(vocabulary, data)
+    step = at - starts[np.searchsorted(ends, at)]
     order = np.argsort(step, kind="stable")
     at, piece, size, step = at[order], piece[order], size[order], step[order]
-    none = -3
-    last, back = np.full(len(data) + 1, none), np.zeros(len(data) + 1, np.int64)
-    last[starts] = -2
+    last, back = np.full(len(data) + 1, NONE), np.zeros(len(data) + 1, np.int64)
+    last[starts] = FIRST
     for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(step)) + 1):
         before = last[at[group]]
-        group = group[before != none]
+        group = group[before != NONE]
         taken = group[vocabulary.allowed(last[at[group]], piece[group])]
         # a word's end shares its place with nothing: it is the break behind the word
         last[at[taken] + size[taken]], back[at[taken] + size[taken]] = piece[taken], size[taken]
     vocabulary.remember()
-    if (last[ends] == none).any():
+    if (last[ends] == NONE).any():
         raise ValueError("a word cannot be encoded")
+    return last, back, (at, piece, size)
+
+
+def spelled(vocabulary: Vocabulary, data: np.ndarray, place: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of pieces at their places in order, and how many each has: a character without a piece has one for each byte."""
+    count = np.where(token >= 0, 1, widths(data)[place])
+    out = np.repeat(np.where(token >= 0, vocabulary.id[token], 0), count).astype(np.int32)
+    byte = np.repeat(token < 0, count)
+    offset = np.arange(len(out)) - np.repeat(np.cumsum(count) - count, count)
+    out[byte] = vocabulary.byte_id[data[(np.repeat(place, count) + offset)[byte]]]
+    return out, count
+
+
+def encode_group(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """`encode_words` of words that are indexed together."""
+    data = np.frombuffer(b"\xff".join(words) + b"\xff", np.uint8)
+    ends = np.flatnonzero(data == BREAK)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    last, back, _ = relaxed(vocabulary, data, starts, ends)
     steps, place, row = [], ends.copy(), np.arange(len(words))
     while len(row):
         steps.append((row, place - back[place], last[place]))
@@ -250,17 +327,72 @@ def encode_group(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray
     row, place, token = (np.concatenate(v) for v in zip(*steps))
     order = np.argsort(place)
     row, place, token = row[order], place[order], token[order]
-    # byte pieces: one id for each byte of the character
-    count = np.where(token >= 0, 1, width[place])
-    out = np.repeat(np.where(token >= 0, vocabulary.id[token], 0), count).astype(np.int32)
-    byte = np.repeat(token < 0, count)
-    offset = np.arange(len(out)) - np.repeat(np.cumsum(count) - count, count)
-    out[byte] = vocabulary.byte_id[data[(np.repeat(place, count) + offset)[byte]]]
+    out, count = spelled(vocabulary, data, place, token)
     total = np.zeros(len(words) + 1, np.int64)
     np.cumsum(np.bincount(row, count, len(words)).astype(np.int64), out=total[1:])
     return out, total
 
 
+def encode_chain(vocabulary: Vocabulary, chunk: bytes) -> np.ndarray:
+    """Ids of a long run of characters that pieces could cross anywhere.
+
+    Segments of it advance together, each from a little before its own begin. What ends at a place depends only on what
+    ends at the places one longest piece before it; so where a segment agrees with its predecessor over that stretch, it
+    is right from there on. Where it does not, it is relaxed once more, alone, from its predecessor's end.
+    """
+    data = np.frombuffer(chunk + b"\xff", np.uint8)
+    n, reach = len(chunk), int(vocabulary.length.max())
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    at_lead = lambda wanted: lead[np.searchsorted(lead, wanted, "right") - 1]
+    bounds = np.append(at_lead(np.arange(0, n, SEGMENT)), n)
+    begin = at_lead(np.maximum(0, bounds[:-1] - max(OVERLAP, 2 * reach)))
+    last, back = np.full(n + 1, NONE), np.zeros(n + 1, np.int64)
+    last[0] = FIRST
+    together = max(1, INDEXED_BYTES // (SEGMENT + OVERLAP))
+    known: dict[tuple[int, int], bool] = {}
+    for k in range(0, len(begin), together):
+        lows, highs = begin[k : k + together], bounds[k + 1 : k + 1 + together]
+        group = np.frombuffer(b"".join(chunk[s:e] + b"\xff" for s, e in zip(lows.tolist(), highs.tolist())), np.uint8)
+        ends = np.cumsum(highs - lows + 1) - 1
+        starts = ends - (highs - lows)
+        own_last, own_back, found = relaxed(vocabulary, group, starts, ends)
+        found = tuple(v[np.argsort(found[0], kind="stable")] for v in found)
+        for start, low, edge, high in zip(starts.tolist(), lows.tolist(), bounds[k : k + together].tolist(), highs.tolist()):
+            own = lambda place: start + place - low
+            seen = slice(max(low, edge + 1 - reach), edge + 1)
+            here = slice(own(seen.start), own(seen.stop))
+            if edge == 0 or (np.array_equal(own_last[here], last[seen]) and np.array_equal(own_back[here], back[seen])):
+                last[edge + 1 : high + 1], back[edge + 1 : high + 1] = own_last[own(edge + 1) : own(high + 1)], own_back[own(edge + 1) : own(high + 1)]
+            else:
+                mine = slice(*np.searchsorted(found[0], [here.start, own(high)]))
+                at, piece, size = (v[mine] for v in found)
+                after = at + size > own(edge)
+                relax_on(vocabulary, (at[after] - start + low, piece[after], size[after]), edge, seen.start, last, back, known)
+        vocabulary.remember()
+    tokens, steps, place = [], back.tolist(), n
+    while place > 0:
+        tokens.append(place)
+        place -= steps[place]
+    ends = np.array(tokens[::-1])
+    return spelled(vocabulary, data, ends - back[ends], last[ends])[0]
+
+
+def relax_on(vocabulary: Vocabulary, found_edges: tuple[np.ndarray, np.ndarray, np.ndarray], edge: int, low: int, last: np.ndarray, back: np.ndarray, known: dict[tuple[int, int], bool]) -> None:
+    """Fill the places after `edge` from those before, an occurrence at a time; pairs of pieces are looked up once."""
+    at, piece, size = found_edges
+    found = dict(enumerate(last[low : edge + 1].tolist(), low))
+    for s, p, w in zip(at.tolist(), piece.tolist(), size.tolist()):
+        a = found.get(s, NONE)
+        if a == NONE:
+            continue
+        ok = known.get((a, p))
+        if ok is None:
+            ok = known[a, p] = bool(vocabulary.allowed(np.array([a]), np.array([p]))[0])
+        if ok:
+            found[s + w] = p
+            last[s + w], back[s + w] = p, w
+
+
 class Encoder:
     """Ids of parts (extra spaces and a word), remembered by hash."""
 
@@ -291,7 +423,7 @@ class Encoder:
 
     def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the parts, one after another, and the number of each part's ids."""
-        if len(self.keys) > REMEMBERED:
+        if len(self.keys) > REMEMBERED or len(self.flat) > REMEMBERED_IDS:
             self.forget()
         keys, first, where = np.unique(arrays.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
