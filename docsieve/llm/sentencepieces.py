@@ -194,7 +194,11 @@ def suffixes(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]
     for k in range(8):
         head = (head << np.uint64(8)) | padded[k : k + len(head)]
     keys = [head[8 * d : 8 * d + len(data)] for d in range(depth)]
-    order = np.lexsort(keys[::-1])
+    # the first eight bytes tell most suffixes apart; only the others are compared further
+    order = np.argsort(keys[0], kind="stable")
+    same = keys[0][order[1:]] == keys[0][order[:-1]]
+    tied = order[np.append(same, False) | np.append(False, same)]
+    order[np.append(same, False) | np.append(False, same)] = tied[np.lexsort([k[tied] for k in keys[::-1]])]
     return order, [k[order] for k in keys]
 
 
@@ -216,10 +220,13 @@ def occurrences(vocabulary: Vocabulary, data: np.ndarray) -> tuple[np.ndarray, n
     """Start and piece of every occurrence of every piece."""
     order, keys = suffixes(data, vocabulary.depth)
     n = len(vocabulary.id)
-    low, high = np.zeros(n, np.int64), np.full(n, len(order))
-    for d, key in enumerate(keys):
-        inner = vocabulary.length > 8 * d
-        low, high = (np.where(inner, bisect(key, w[:, d], low, high, after), old) for w, after, old in ((vocabulary.low, False, low), (vocabulary.high, True, high)))
+    low, high = np.searchsorted(keys[0], vocabulary.low[:, 0], "left"), np.searchsorted(keys[0], vocabulary.high[:, 0], "right")
+    for d, key in enumerate(keys[1:], 1):
+        # pieces of more than 8 d bytes, in what is left of their range
+        inner = np.flatnonzero((vocabulary.length > 8 * d) & (low < high))
+        left, right = low[inner], high[inner]
+        low[inner] = bisect(key, vocabulary.low[inner, d], left, right, False)
+        high[inner] = bisect(key, vocabulary.high[inner, d], left, right, True)
     count = np.maximum(high - low, 0)
     piece = np.repeat(np.arange(n), count)
     at = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
