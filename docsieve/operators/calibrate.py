@@ -122,7 +122,7 @@ def _newton_sums(z: list[Column], weights: Sequence[float], label: Column, times
     return [margin.alias("_margin"), F.sum(times * loss), *[F.sum(times * (p - label) * c) for c in z], *half]
 
 
-def fit_logistic(rows: DataFrame, names: Sequence[str] = FEATURES, l2: float = 1.0, max_iter: int = 60, tol: float = 1e-12) -> dict:
+def fit_logistic(rows: DataFrame, names: Sequence[str] = FEATURES, l2: float = 1.0, max_iter: int = 60, tol: float = 1e-12, still: float = 1e-9) -> dict:
     """Standardised, L2-regularised logistic regression; weights, bias, mean and deviation.
 
     Newton's method over an aggregated Gram matrix. Equal feature vectors are counted once; a step is one aggregate
@@ -131,7 +131,8 @@ def fit_logistic(rows: DataFrame, names: Sequence[str] = FEATURES, l2: float = 1
     penalty l2 / 2 is on the weights alone.
 
     Rows with a NULL feature or label are left out; without rows there is nothing to fit and a ValueError is raised. A
-    constant feature has the deviation 1e-9 and the weight 0. With one label alone the bias has no optimum: the fit
+    constant feature has the deviation 1e-9 and the weight 0. The fit ends with a step that moves no weight by more than
+    `still`, which does not depend on the number of rows. With one label alone the bias has no optimum: that fit
     stops where the gradient per row is below `tol`, or after `max_iter` steps.
     """
     import numpy as np
@@ -139,7 +140,7 @@ def fit_logistic(rows: DataFrame, names: Sequence[str] = FEATURES, l2: float = 1
     whole = rows.select(*[F.col(c).cast("double").alias(c) for c in names], F.col("correct").cast("double").alias("_label")).na.drop()
     distinct = cut(whole.groupBy(*names, "_label").agg(F.count("*").cast("double").alias("_times")))
     times = F.col("_times")
-    n, *means = distinct.agg(F.sum(times), *[F.sum(times * F.col(c)) / F.sum(times) for c in names]).first()
+    n, low, high, *means = distinct.agg(F.sum(times), F.min("_label"), F.max("_label"), *[F.sum(times * F.col(c)) / F.sum(times) for c in names]).first()
     if not n:
         raise ValueError("there are no rows to fit")
     spread = distinct.agg(*[F.sqrt(F.sum(times * (F.col(c) - F.lit(m)) * (F.col(c) - F.lit(m))) / F.sum(times)) for c, m in zip(names, means)]).first()
@@ -162,9 +163,12 @@ def fit_logistic(rows: DataFrame, names: Sequence[str] = FEATURES, l2: float = 1
     w = np.zeros(size)
     loss, gradient, gram = sums_at(w)
     for _ in range(max_iter):
-        if np.abs(gradient).max() <= tol * n:
+        if low == high and np.abs(gradient).max() <= tol * n:
             break
         step, share = np.linalg.solve(gram, gradient), 1.0
+        if np.abs(step).max() <= still:
+            w = w - step
+            break
         tried = sums_at(w - step)
         while tried[0] > loss + 1e-12 * abs(loss) and share > 1e-6:
             share /= 2
