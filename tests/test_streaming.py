@@ -236,3 +236,16 @@ def test_nothing_committed_is_an_error_of_its_own(spark, tmp_path):
         assert "committed" in str(missing)
     else:
         raise AssertionError("a table without a commit was read")
+
+
+def test_a_stream_of_profiles_equals_a_stream_of_texts(spark, tmp_path):
+    """Profiles made before the replay stand for the texts, and the replay of a query holds no text."""
+    from docsieve.operators import drift
+    from docsieve.plans import queries_streams as S
+
+    docs = Q.stream(spark, "/root/testdata/sf0.001").where("tenant_id = 'en'").drop("n").cache()
+    texts = run_to_table(spark, stream_drift.observe(as_stream(spark, docs, tmp_path, "texts", "seq")), tmp_path, "texts")
+    profiles = S.replay_in_order(spark, drift.profiled(docs), "profiles", "seq")
+    assert "text" not in profiles.columns
+    seen = run_to_table(spark, stream_drift.observe(profiles), tmp_path, "profiles")
+    assert sorted(map(str, texts.collect())) == sorted(map(str, seen.collect())) and seen.count() == docs.count()
