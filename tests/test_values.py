@@ -117,3 +117,24 @@ def test_all_iso_dates_and_exact_amounts(spark):
     amounts = [("1.234567", "1.234567"), ("0.00004", "0.00004"), ("123456789012345678", "123456789012345678"), ("1,234,567.123456789", "1234567.123456789")]
     rows = spark.createDataFrame(amounts, "s string, d string").select(V.norm_amount(F.col("s")) == F.col("d").cast("decimal(38,12)")).collect()
     assert all(r[0] for r in rows)
+
+
+def test_white_space_one_by_one_and_by_class(spark):
+    """Words, trimming, single spaces and squashing agree with the class of white space on every kind of it."""
+    import random
+
+    from docsieve.functions import values
+    from docsieve.operators import reading
+
+    blanks, draw = "".join(values.BLANKS), random.Random(3)
+    atoms = [*blanks, "  ", "\r\n", "a", "Σ", "ß", "É", "​", "😀", "x-1", "$", "€", "USD"]
+    texts = ["".join(draw.choice(atoms) for _ in range(draw.randint(0, 9))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    s = F.col("s")
+    seen = df.select("s", values.words_of(s), values.strip_text(s), values.norm_text(s), values.squash(s), reading.lines_of(s)).collect()
+    cut_at = lambda t, these: "".join("\0" if c in these else c for c in t).split("\0")
+    for t, words, stripped, single, squashed, lines in seen:
+        want = [w for w in cut_at(t, blanks) if w]
+        assert words == want and stripped == t.strip(blanks) and single == " ".join(want)
+        assert squashed == "".join(want).lower().replace("ß", "ss")
+        assert lines == [x for x in (part.strip(blanks) for part in cut_at(t, "\r\n")) if x]
