@@ -14,13 +14,14 @@ from docsieve.llm import sentencepieces, stages
 from docsieve.session import scratch_table
 
 
-#: Rows of an Arrow batch: batches of long texts stay small.
-BATCH_ROWS = 1000
+#: Rows of an Arrow batch, and of a batch of Spark's Parquet reader: batches of long texts stay small.
+BATCH_ROWS, READ_ROWS = 250, 512
 
 
 def small_batches(spark: SparkSession) -> None:
     """Set for the session, because a stage's result is computed when its caller writes it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text per slice: the working arrays of a slice take about twenty times as much.
 SLICE_BYTES = 4 << 20
-#: Bytes of text hashed at a time.
-SEGMENT_BYTES = 1 << 20
+#: Bytes of text hashed at a time; the hashes do not depend on it.
+SEGMENT_BYTES = 1 << 18
 
 
 def byte_class(characters: bytes) -> np.ndarray:

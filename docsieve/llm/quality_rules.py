@@ -29,6 +29,8 @@ from docsieve.llm.registry import table
 from docsieve.session import cut
 
 WINDOW = 8
+#: Bytes of text that are measured together.
+SLICE_BYTES = 512 << 10
 SYMBOL = arrays.byte_class(b"#*$%&|<>")
 LETTER = arrays.byte_class(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B)]))
 UPPER = arrays.byte_class(bytes(range(0x41, 0x5B)))
@@ -74,10 +76,11 @@ def measure(column: pa.Array) -> list[np.ndarray]:
 
 def measurer(text: str, keep_text: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.slices(batches, text):
+        for batch in arrays.slices(batches, text, SLICE_BYTES):
             kept = [i for i, name in enumerate(batch.schema.names) if keep_text or name != text]
             columns = [batch.column(i) for i in kept] + [pa.array(x.astype(np.int64)) for x in measure(batch.column(text))]
             yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[i] for i in kept] + MEASURES)
+        arrays.release()
 
     return run
 
