@@ -177,6 +177,20 @@ def test_document_stream_equals_batch(spark, sf, tmp_path):
     assert stored.where("trigger IS NOT NULL AND (calls <> 2 OR model NOT LIKE '%extractor-v1')").count() == 0
 
 
+def test_a_cell_takes_its_confidence_from_a_map_of_its_page(spark):
+    """One look-up per cell, and no search by a lambda; a field without a score has none."""
+    kinds = "doc_id long, tenant_id string, status string, cells array<struct<name: string, value: string>>, scores array<struct<field: string, confidence: double>>"
+    rows = [(1, "t", "approved", [("a", "x"), ("b.0.c", None), ("z", "y")], [("a", 0.5), ("b", None)]), (2, "t", "approved", None, None), (3, "t", "needs_ocr", [("a", "x")], [("a", 1.0)])]
+    rest = ["decision", "doc_confidence", "flagged_fields", "validation_passed", "calibration", "output", "trigger", "text"]
+    calls = F.expr("cast(array() as array<struct<purpose: string, tier: string, model: string, input_tokens: bigint, output_tokens: bigint>>)")
+    answers = spark.createDataFrame(rows, kinds).select("*", *[F.lit(None).cast("string").alias(c) for c in rest], calls.alias("calls"))
+    cells = D.stored_tables(answers, "invoice")["extraction_fields"]
+    got = {tuple(r) for r in cells.select("doc_id", "name", "value", "confidence").collect()}
+    assert got == {(1, "a", "x", 0.5), (1, "b.0.c", None, None), (1, "z", "y", None), (2, None, None, None)}
+    assert cells.columns == ["doc_id", "tenant_id", "name", "value", "confidence"]
+    assert "lambda" not in cells._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_the_stronger_tier_reads_only_what_the_first_one_doubts(spark, sf):
     """Where the small tier loses a letter without doubt its answer stays; the strong one's own answer counts elsewhere."""
     desk = D.Desk.of("invoice")
