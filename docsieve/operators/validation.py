@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docsieve.definition import Definition, FieldSpec
 from docsieve.functions.values import norm_by_kind, normalize_record
@@ -27,6 +28,18 @@ def _listed(keys: Column) -> Column:
     return F.concat(F.lit("additional properties are not allowed ("), names, F.lit(")"))
 
 
+def _sound(items: dict, spec: FieldSpec, shape: Column, rows: Column) -> Column:
+    """Whether the shape of a table and its cells, read as text, already show that no row has an error. It may be false without one."""
+    props = items.get("properties", {})
+    read_as_text = set(props) <= {c.name for c in spec.columns.values()} and all(p.get("type") == "string" for p in props.values())
+    if not props or not read_as_text or not set(items.get("required", [])) <= set(props):
+        return F.lit(False)
+    # rows are merged in a shape, so that it hides what is missing from some of them; as text that is NULL
+    declared = f"ARRAY<OBJECT<{', '.join(f'{p}: STRING' for p in sorted(props))}>>"
+    gaps = F.exists(rows, lambda row: reduce(lambda a, p: a | row[p].isNull(), props, F.lit(False)))
+    return F.coalesce((shape == declared) & ~gaps, F.lit(False))
+
+
 def _row_errors(name: str, items: dict, cell: Column) -> Column:
     """Errors of the rows of a table (a variant), row by row: its type, undeclared and missing columns, types of cells."""
     props = items.get("properties", {})
@@ -63,14 +76,15 @@ def validate_payload(df: DataFrame, definition: Definition, payload: str = "payl
     schema = definition.schema
     props, required = schema.get("properties", {}), schema.get("required", [])
     text = F.col(payload)
-    keys = F.json_object_keys(F.when(F.try_parse_json(text).isNotNull(), text))
-    out = df.withColumns(
+    # parsed twice: into a variant, which properties and types are told by, and into the declared columns as text
+    out = df.withColumn("_parsed", F.try_parse_json(text)).withColumns(
         {
-            "_keys": keys,
             "_raw": F.from_json(text, definition.record_type(raw=True)),
-            "_cells": F.from_json(text, T.MapType(T.StringType(), T.VariantType())),
+            "_cells": F.try_variant_get("_parsed", "$", "map<string,variant>"),
         }
     )
+    shapes = {f"_shape_{name}": F.schema_of_variant(F.try_element_at("_cells", F.lit(name))) for name in props}
+    out = out.withColumns({"_keys": F.map_keys("_cells"), **shapes})
     raw, cells = F.col("_raw"), F.col("_cells")
     known = F.array(*[F.lit(p) for p in props])
     extra = F.array_except("_keys", known)
@@ -81,7 +95,7 @@ def validate_payload(df: DataFrame, definition: Definition, payload: str = "payl
         checks.append(_error("<root>", f"'{name}' is a required property", ~F.array_contains("_keys", name)))
     for name, prop in props.items():
         has = F.array_contains("_keys", name)
-        kind = F.schema_of_variant(F.try_element_at(cells, F.lit(name)))
+        kind = F.col(f"_shape_{name}")
         if prop["type"] == "string":
             wrong = has & (kind != "STRING")
             checks.append(_error(name, "not of type 'string'", wrong))
@@ -94,7 +108,8 @@ def validate_payload(df: DataFrame, definition: Definition, payload: str = "payl
         elif prop["type"] == "array":
             checks.append(_error(name, "not of type 'array'", has & ~F.startswith(kind, F.lit("ARRAY"))))
             if prop.get("items", {}).get("type") == "object":
-                row_checks.append(_row_errors(name, prop["items"], F.try_element_at(cells, F.lit(name))))
+                errors = _row_errors(name, prop["items"], F.try_element_at(cells, F.lit(name)))
+                row_checks.append(F.when(_sound(prop["items"], definition.fields[name], kind, raw[name]), F.array().cast("array<string>")).otherwise(errors))
     shape_checks, checks = checks, []
     for name, spec in definition.fields.items():
         if spec.kind in _KIND_ERRORS:
@@ -110,4 +125,4 @@ def validate_payload(df: DataFrame, definition: Definition, payload: str = "payl
     )
     out = out.withColumn("errors", shape)
     record = F.when(F.size("errors") == 0, normalize_record(raw, definition))
-    return out.withColumn("record", record).drop("_keys", "_raw", "_cells")
+    return out.withColumn("record", record).drop("_parsed", "_keys", "_raw", "_cells", *[f"_shape_{name}" for name in props])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from docsieve.definition import load_definition
 from docsieve.functions import values as V
-from docsieve.operators import evidence, reading, rules
+from docsieve.operators import evidence, reading, rules, validation
 
 INVOICE = load_definition("invoice")
 
@@ -75,3 +75,17 @@ def test_names_of_cells_are_those_of_the_flat_form(spark):
     record = V.normalize_record(F.struct(*parts), INVOICE)
     same = given.select((V.cell_names(record, INVOICE) == V.flatten_fields(record, INVOICE)["name"]).alias("same")).collect()
     assert [r.same for r in same] == [True] * 3
+
+
+def test_a_payload_is_parsed_twice_and_sound_rows_are_not_searched(spark):
+    row = dict.fromkeys(("description", "quantity", "unit_price", "amount"), "1")
+    good = dict.fromkeys(INVOICE.fields, "1") | {"currency": "EUR", "invoice_date": "2024-01-01", "due_date": "2024-01-02", "line_items": [row, row]}
+    short = {k: v for k, v in row.items() if k != "quantity"}
+    answers = [good, good | {"line_items": [row, short]}, good | {"line_items": [row, row | {"amount": None}]}, good | {"line_items": [row, None]}, good | {"line_items": []}]
+    df = spark.createDataFrame(list(enumerate(map(json.dumps, answers))), "i int, payload string")
+    checked = validation.validate_payload(df, INVOICE).select("i", "errors")
+    got = [r.errors for r in checked.orderBy("i").collect()]
+    at = "ValidationError: line_items/1"
+    assert got == [[], [f"{at}: 'quantity' is a required property"], [f"{at}/amount: not of type 'string'"], [f"{at}: not of type 'object'"], []]
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert "json_object_keys" not in plan and "from_json(MapType" not in plan
